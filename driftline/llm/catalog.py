@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from driftline.llm import langid, licenses, quality, sharding
+from driftline.llm import bpe, langid, licenses, packing, quality, sharding
 from driftline.llm.common import table
 
 
@@ -17,6 +17,18 @@ def op4_minimax_shards(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op5_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_byte_bpe(spark, sf_dir):
+    import public_tokenizers as public
+
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+
+
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -33,6 +45,8 @@ def queries():
     return {
         "op3_importance_resampling": op3_importance_resampling,
         "op4_minimax_shards": op4_minimax_shards,
+        "op5_packing": op5_packing,
+        "op8_byte_bpe": op8_byte_bpe,
         "op9_language": op9_language,
         "op10_license_scan": op10_license_scan,
         "pipeline": corpus_pipeline.run,
