@@ -5,10 +5,18 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, langid, licenses, packing, quality, sharding
+from driftline.llm import bpe, langid, licenses, linedup, packing, quality, sharding, winnow
 from driftline.llm.common import table
 
 
+def op2_line_dedup(spark, sf_dir):
+    told = linedup.delete_later_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return told.select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.size("__deleted").alias("n_deleted"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op3_importance_resampling(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -23,6 +31,10 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_winnowing(spark, sf_dir):
+    return winnow.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark, sf_dir):
     import public_tokenizers as public
 
@@ -43,9 +55,11 @@ def op10_license_scan(spark, sf_dir):
 
 def queries():
     return {
+        "op2_line_dedup": op2_line_dedup,
         "op3_importance_resampling": op3_importance_resampling,
         "op4_minimax_shards": op4_minimax_shards,
         "op5_packing": op5_packing,
+        "op7_winnowing": op7_winnowing,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_language": op9_language,
         "op10_license_scan": op10_license_scan,
@@ -54,7 +68,7 @@ def queries():
 
 
 def oracle_sql():
-    made = {"op10_license_scan": licenses.oracle()}
+    made = {"op2_line_dedup": linedup.oracle(), "op10_license_scan": licenses.oracle()}
     if corpus_pipeline.ORACLE_SQL:
         made["pipeline"] = corpus_pipeline.ORACLE_SQL
     return made
