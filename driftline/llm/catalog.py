@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, langid, licenses, linedup, packing, quality, sharding, winnow
+from driftline.llm import bpe, dartminhash, langid, licenses, linedup, packing, quality, sharding, winnow
 from driftline.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_dart_minhash(spark, sf_dir):
+    return dartminhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark, sf_dir):
     return winnow.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries():
         "op3_importance_resampling": op3_importance_resampling,
         "op4_minimax_shards": op4_minimax_shards,
         "op5_packing": op5_packing,
+        "op6_dart_minhash": op6_dart_minhash,
         "op7_winnowing": op7_winnowing,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_language": op9_language,
