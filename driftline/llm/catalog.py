@@ -5,10 +5,15 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, dartminhash, langid, licenses, linedup, packing, quality, sharding, winnow
+from driftline.llm import ann, bpe, dartminhash, langid, licenses, linedup, packing, quality, sharding, winnow
 from driftline.llm.common import table
 
 
+def op1_learned_partitions(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op2_line_dedup(spark, sf_dir):
     told = linedup.delete_later_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return told.select(
@@ -59,6 +64,7 @@ def op10_license_scan(spark, sf_dir):
 
 def queries():
     return {
+        "op1_learned_partitions": op1_learned_partitions,
         "op2_line_dedup": op2_line_dedup,
         "op3_importance_resampling": op3_importance_resampling,
         "op4_minimax_shards": op4_minimax_shards,

@@ -56,3 +56,8 @@ def spread_rank(df: DataFrame, group: list[str], tie: list[str], name: str, buck
         .withColumn(name, (F.col("__off") + F.col("__r") - 1).cast("long"))
         .drop("__b", "__off", "__r")
     )
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (cheap to count, see ``cut``) marked for a broadcast only if it has at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut, spread_rank
+from driftline.llm.common import broadcast_if_small, cut, spread_rank
 from driftline.llm.components import components
 
 U = np.uint64
@@ -105,7 +105,8 @@ class Shingler:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (shingles), c1, c2 (name of the shingle set), bands array<long>, shingles array<int>."""
+    """doc_id, h (hash of the text), n (shingles), c1, c2 (name of the shingle set), bands array<long>,
+    shingles array<int>."""
 
     def sign(batches):
         shingle = Shingler(words)
@@ -128,13 +129,13 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str,
                 keys.append(b.astype(np.int64))
                 sets.append(np.unique((x >> U(32)).astype(np.uint32)).view(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))],
-                names=["doc_id", "n", "c1", "c2", "bands", "shingles"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))],
+                names=["doc_id", "h", "n", "c1", "c2", "bands", "shingles"],
             )
 
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     kind = plain.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(sign, f"doc_id {kind}, n long, c1 long, c2 long, bands array<long>, shingles array<int>")
+    return plain.mapInArrow(sign, f"doc_id {kind}, h long, n long, c1 long, c2 long, bands array<long>, shingles array<int>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -146,20 +147,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.where(F.col("m") >= least * (F.col("t") - F.col("m"))).select("a", "b")
 
 
-def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, class_size, keeps): the class of every row.
-
-    Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles (lower
-    case, split at white space) is ``similarity`` or more; classes are the components of the links and
-    named by their least doc_id. A pair at the limit is missed by all bands with probability
-    (1 - similarity^rows)^bands: 3e-6 as given; every candidate is compared exactly, none is capped.
-    Texts without a word (null, empty, blank) are classes of one row each. Repeated rows are one class.
-    ``keeps`` marks one row of each class: of the least id (null last), then any. Other columns are not
-    read; an empty table gives no rows.
-    """
+def _classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     made = signatures(docs, words, bands, rows, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
     made = cut(made)
-    light = made.select("rid", "doc_id", "n", "c1", "c2")
+    light = made.select("rid", "doc_id", "h", "n", "c1", "c2")
     same = light.where("n > 0").groupBy("c1", "c2").agg(F.min("rid").alias("rep"))
     reps = same.select(F.col("rep").alias("rid"))
     full = made.where("n > 0").join(reps, "rid", "left_semi")
@@ -192,17 +183,38 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float =
         rest = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
         open_ = cut(comp.join(rest, "key"))
         total = open_.count()
-    rep = light.join(same, ["c1", "c2"], "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep"))
+    rep = light.join(same, ["c1", "c2"], "left").select("rid", "doc_id", "h", "n", F.coalesce("rep", "rid").alias("rep"))
     if labels is not None:
         rep = rep.join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left").withColumn("rep", F.coalesce("root", "rep"))
-    rep = cut(rep.select("rid", "doc_id", "n", "rep"))
+    rep = cut(rep.select("rid", "doc_id", "h", "n", "rep"))
     classes = rep.groupBy("rep").agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid"))["rid"].alias("kept")
     )
-    told = rep.join(classes, "rep")
-    return told.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "class_size", (F.col("rid") == F.col("kept")).alias("keeps"))
+    return rep.join(classes, "rep").select("doc_id", "h", F.col("n").alias("n_shingles"), "class_id", "class_size", (F.col("rid") == F.col("kept")).alias("keeps"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """``docs`` with one row of each class: the row that ``keeps`` marks."""
-    raise NotImplementedError
+def near_duplicate_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, class_id, class_size, keeps): the class of every row.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles (lower
+    case, split at white space) is ``similarity`` or more; classes are the components of the links and
+    named by their least doc_id. A pair at the limit is missed by all bands with probability
+    (1 - similarity^rows)^bands: 3e-6 as given; every candidate is compared exactly, none is capped.
+    Texts without a word (null, empty, blank) are classes of one row each. Repeated rows are one class.
+    ``keeps`` marks one row of each class: of the least id (null last), then any. Other columns are not
+    read; an empty table gives no rows.
+    """
+    return _classes(docs, words, similarity, bands, rows, id_col, text_col).drop("h")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: the row that ``keeps`` marks. Other columns pass."""
+    told = cut(_classes(docs, words, similarity, bands, rows, id_col, text_col).select("doc_id", "h", "keeps"))
+    gone = told.groupBy("doc_id", "h").agg(F.max("keeps").alias("k"), F.count(F.lit(1)).alias("m"))
+    repeated = gone.where("k and m > 1").limit(1).count() > 0
+    gone = broadcast_if_small(cut(gone.where("not k").select(F.col("doc_id").alias("__i"), F.col("h").alias("__g"))), 200_000)
+    keyed = docs.withColumn("__h", F.xxhash64(text_col))
+    left = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__g")), "left_anti")
+    if repeated:  # rows of equal id and text; the shuffle is spared where there are none
+        left = left.dropDuplicates([id_col, "__h"])
+    return left.drop("__h")

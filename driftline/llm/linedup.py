@@ -156,7 +156,9 @@ def delete_later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc
     """``docs`` with the lines of later copies deleted from the text, ``__n_lines`` (before) and
     ``__deleted`` (their numbers). Null texts stay null with no line, empty texts have one empty line;
     other columns pass; an empty table gives no rows."""
-    gone = later_copies(docs, min_words, id_col, text_col).select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), F.col("lines").alias("__deleted"))
+    gone = cut(later_copies(docs, min_words, id_col, text_col)).select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), F.col("lines").alias("__deleted"))
+    if (gone.agg(F.sum(F.size("__deleted"))).first()[0] or 0) <= 500_000:  # line numbers; else by a shuffle
+        gone = F.broadcast(gone)
     keyed = docs.withColumn("__x", F.xxhash64(text_col))
     joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__x") == F.col("__h")), "left")
     lines = F.split(F.col(text_col), LINE)
