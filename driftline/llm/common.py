@@ -13,14 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session's ``spark.checkpoint.dir`` names; one of our own only where it names
+    none (tests on one machine)."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="driftline-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
 
-    A folder of our own is set only where the session has none (tests on one machine).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="driftline-ckpt-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder; ends the lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

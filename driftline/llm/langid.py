@@ -111,17 +111,17 @@ _scorers: dict[str, Scorer] = {}
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, max_words: int = 30_000, longest: int = 4) -> WordBackoff:
-    """Fit on a bounded sample: ``max_docs`` whole texts a language, those of the least text hash, and
-    its ``max_words`` most frequent words (ties: the lesser word). Rows without text or language are
+    """Fit on a bounded sample: about ``max_docs`` distinct whole texts a language, those of the least
+    hash, and its ``max_words`` most frequent words (ties: the lesser word). Rows without text or language are
     not used; with no usable row the model knows no language."""
     keyed = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
-    hashed = keyed.select("l", F.xxhash64("t").alias("h"))
-    least = hashed.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).where(F.col("r") <= max_docs)
-    bounds = {r["l"]: r["m"] for r in least.groupBy("l").agg(F.max("h").alias("m")).collect()}
-    if not bounds:
+    have = {r["l"]: r["n"] for r in keyed.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n")).collect()}
+    if not have:
         return WordBackoff({}, longest)
-    bound = F.element_at(F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv]), F.col("l"))
-    sample = keyed.where(F.xxhash64("t") <= bound)
+    # the texts of least hash, by the share of a language's texts that max_docs is
+    most = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, min(1.0, max_docs / max(1, n)))])
+    place = F.shiftrightunsigned(F.xxhash64("t"), 11).cast("double") / float(2**53)
+    sample = keyed.where(place < F.element_at(most, F.col("l"))).dropDuplicates(["l", "t"])
 
     def count(batches):
         tally: Counter = Counter()
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
 
     words = sample.mapInPandas(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
     top = words.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= max_words)
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in bounds}
+    counts: dict[str, dict[str, int]] = {lang: {} for lang in have}
     for r in top.select("l", "w", "n").toLocalIterator():
         counts[r["l"]][r["w"]] = r["n"]
     return WordBackoff({k: v for k, v in counts.items() if v}, longest)
