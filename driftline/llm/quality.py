@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from driftline.llm.common import cut
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
+#: Features of ratio 0 that are added to every text, so that a few words alone decide little.
+PRIOR = 30
 
 
 class Features:
@@ -72,13 +74,13 @@ def _score_udf(log_ratio: np.ndarray, buckets: int):
         for t in texts:
             b = make(t)
             n.append(len(b))
-            mean.append(float(log_ratio[b].mean()) if len(b) else 0.0)
+            mean.append(float(log_ratio[b].sum()) / (len(b) + PRIOR) if len(b) else 0.0)
         return pd.DataFrame({"n": n, "mean": mean})
 
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets: int = 10_000, max_labels: int = 20_000, keep_good: float = 0.998) -> ImportanceModel:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", buckets: int = 1 << 17, max_labels: int = 20_000, keep_good: float = 0.9995) -> ImportanceModel:
     """The raw model counts every text; the target model counts the texts labelled good (quality 1),
     at most ``max_labels`` of them, the documented bound of the fitted sample.
 
@@ -92,13 +94,15 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     def count(batches):
         make, raw, good = Features(buckets), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for pdf in batches:
-            for t, q in zip(pdf["__t"], pdf["__q"]):
-                b = np.bincount(make(t), minlength=buckets)
-                raw += b
-                if q == 1:
-                    good += b
-        yield pd.DataFrame({"b": np.arange(buckets), "raw": raw, "good": good})
-
+            for i in range(0, len(pdf), 64):  # a bounded number of texts at once
+                found = [make(t) for t in pdf["__t"].iloc[i : i + 64]]
+                raw += np.bincount(np.concatenate(found), minlength=buckets)
+                if liked := [b for b, q in zip(found, pdf["__q"].iloc[i : i + 64]) if q == 1]:
+                    good += np.bincount(np.concatenate(liked), minlength=buckets)
+        at = np.flatnonzero(raw)
+        yield pd.DataFrame({"b": at, "raw": raw[at], "good": good[at]})
+
+    # as many rows as buckets
     sums = known.mapInPandas(count, "b int, raw long, good long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
     if sums.empty or not sums["good"].sum():
         return ImportanceModel(np.zeros(buckets), float("-inf"))
