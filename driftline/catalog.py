@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from driftline.harness import detection
+
+MODULES = [detection]
+
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
