@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftline.harness import detection
+from driftline.harness import detection, relational
 
-MODULES = [detection]
+MODULES = [detection, relational]
 
 
 def queries():

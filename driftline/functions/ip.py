@@ -29,7 +29,7 @@ def format_v4(n: Column) -> Column:
 
 def mask_v4(n: Column, bits: Column) -> Column:
     """Network of an address number: the leading ``bits`` of 32."""
-    size = F.shiftleft(F.lit(1).cast("long"), (F.lit(32) - bits).cast("int"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(32) - bits).cast("int"))
     return n - F.pmod(n, size)
 
 
@@ -50,7 +50,7 @@ def parse(ips: pd.Series) -> pd.DataFrame:
 
 def mask_v6(hi: Column, lo: Column, bits: Column) -> tuple[Column, Column]:
     """Leading ``bits`` of 128 of (hi, lo)."""
-    keep = lambda n: F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, F.lit(-1).cast("long")).otherwise(F.shiftleft(F.lit(-1).cast("long"), (64 - n).cast("int")))
+    keep = lambda n: F.when(n <= 0, F.lit(0).cast("long")).when(n >= 64, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(-1).cast("long"), (64 - n).cast("int")))
     return hi.bitwiseAND(keep(bits)), lo.bitwiseAND(keep(bits - 64))
 
 
