@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from driftline.harness import detection, relational
+from driftline.harness import detection, domain, relational
 
-MODULES = [detection, relational]
+MODULES = [detection, relational, domain]
 
 
 def queries():
