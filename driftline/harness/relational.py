@@ -29,7 +29,7 @@ J = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")  # n
 # --- scans, projections, filters ---
 
 
-@query("scan_window", f"WITH {M} SELECT CAST(day AS VARCHAR) AS day, count(*) AS n FROM m WHERE day BETWEEN DATE '{DAY}' - 7 AND DATE '{DAY}' GROUP BY 1")
+@query("scan_window", f"WITH {M} SELECT CAST(day AS VARCHAR) AS day, count(*) AS n FROM m WHERE day BETWEEN DATE '{DAY}' - 7 AND DATE '{DAY}' GROUP _by() 1")
 def scan_window(spark, d):
     day = F.to_date(F.lit(DAY))
     return measurements(spark, d).where(F.col("day").between(F.date_sub(day, 7), day)).groupBy(S("day")).agg(F.count(F.lit(1)).alias("n"))
@@ -74,7 +74,7 @@ def proj_mode_switch(spark, d, granularity="city"):
     return table(spark, d, "customer").select("c_custkey", label.alias("label"))
 
 
-@query("proj_swap_endpoints", "SELECT l_orderkey AS id, min(l_suppkey) AS dst, min(l_partkey) AS src FROM lineitem GROUP BY 1")
+@query("proj_swap_endpoints", "SELECT l_orderkey AS id, min(l_suppkey) AS dst, min(l_partkey) AS src FROM lineitem GROUP _by() 1")
 def proj_swap_endpoints(spark, d):
     t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_suppkey").alias("src"), F.min("l_partkey").alias("dst"))
     return t.select("id", F.col("src").alias("dst"), F.col("dst").alias("src"))
@@ -87,7 +87,7 @@ def filt_null(spark, d):
     return o.join(c, o.o_custkey == c.c_custkey, "left").where(F.col("c_custkey").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("filt_in", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1")
+@query("filt_in", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP _by() 1")
 def filt_in(spark, d):
     return table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
@@ -108,7 +108,7 @@ def filt_like(spark, d):
     return table(spark, d, "part").where(F.col("p_name").like("%a%") & F.col("p_type").like("%L")).select("p_partkey")
 
 
-_PATHS = f"{H1}, p AS (SELECT id, list(node ORDER BY ttl) AS path, list(rtt ORDER BY ttl) AS rtts FROM h1 GROUP BY id)"
+_PATHS = f"{H1}, p AS (SELECT id, list(node ORDER _by() ttl) AS path, list(rtt ORDER _by() ttl) AS rtts FROM h1 GROUP _by() id)"
 
 
 def _paths(spark, d):
@@ -136,7 +136,7 @@ def filt_anomaly_flags(spark, d):
 # --- joins ---
 
 
-@query("join_inner_group", f"WITH {M}, a AS (SELECT site, asn, count(*) AS n FROM m WHERE day = DATE '{DAY}' GROUP BY ALL), b AS (SELECT site, asn, max(rtt) AS r FROM m WHERE day < DATE '{DAY}' GROUP BY ALL) SELECT site, CAST(asn AS BIGINT) AS asn, n, r FROM a JOIN b USING (site, asn)")
+@query("join_inner_group", f"WITH {M}, a AS (SELECT site, asn, count(*) AS n FROM m WHERE day = DATE '{DAY}' GROUP _by() ALL), b AS (SELECT site, asn, max(rtt) AS r FROM m WHERE day < DATE '{DAY}' GROUP _by() ALL) SELECT site, CAST(asn AS BIGINT) AS asn, n, r FROM a JOIN b USING (site, asn)")
 def join_inner_group(spark, d):
     m = measurements(spark, d)
     a = m.where(F.col("day") == DAY).groupBy("site", "asn").agg(F.count(F.lit(1)).alias("n"))
@@ -148,7 +148,7 @@ def join_inner_id(spark, d):
     return table(spark, d, "orders").where("o_totalprice > 200000").join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_mktsegment")
 
 
-@query("join_fanout_baseline", f"WITH {M}, b AS (SELECT DISTINCT site, asn, day FROM m WHERE day < DATE '{DAY}' AND day >= DATE '{DAY}' - 2) SELECT m.id, count(*) AS copies FROM m JOIN b USING (site, asn) WHERE m.day = DATE '{DAY}' GROUP BY 1")
+@query("join_fanout_baseline", f"WITH {M}, b AS (SELECT DISTINCT site, asn, day FROM m WHERE day < DATE '{DAY}' AND day >= DATE '{DAY}' - 2) SELECT m.id, count(*) AS copies FROM m JOIN b USING (site, asn) WHERE m.day = DATE '{DAY}' GROUP _by() 1")
 def join_fanout_baseline(spark, d):
     """The right side is not unique by the join key: the fan-out is kept."""
     m = measurements(spark, d)
@@ -156,20 +156,20 @@ def join_fanout_baseline(spark, d):
     return m.where(F.col("day") == DAY).join(b, ["site", "asn"]).groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@query("join_left_stats", "SELECT n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP BY 1")
+@query("join_left_stats", "SELECT n_name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9000 GROUP _by() 1")
 def join_left_stats(spark, d):
     n, s = table(spark, d, "nation"), table(spark, d, "supplier").where("s_acctbal > 9000")
     return n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_name").agg(F.count("s_suppkey").alias("n"))
 
 
-@query("join_cross_totals", f"WITH {M}, g AS (SELECT site, count(*) AS n FROM m GROUP BY 1) SELECT site, n, round(n / (SELECT count(*) FROM m), 6) AS share FROM g")
+@query("join_cross_totals", f"WITH {M}, g AS (SELECT site, count(*) AS n FROM m GROUP _by() 1) SELECT site, n, round(n / (SELECT count(*) FROM m), 6) AS share FROM g")
 def join_cross_totals(spark, d):
     m = measurements(spark, d)
     total = m.agg(F.count(F.lit(1)).alias("total"))  # one row
     return m.groupBy("site").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("site", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
-@query("join_asof_nearest", "SELECT o_custkey AS cust, o_orderkey AS ord FROM (SELECT *, CAST(o_orderdate AS DATE) AS dt FROM orders) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY abs(date_diff('day', DATE '1996-06-15', dt)), dt <= DATE '1996-06-15' DESC, dt DESC, o_orderkey) = 1")
+@query("join_asof_nearest", "SELECT o_custkey AS cust, o_orderkey AS ord FROM (SELECT *, CAST(o_orderdate AS DATE) AS dt FROM orders) QUALIFY row_number() OVER (PARTITION _by() o_custkey ORDER _by() abs(date_diff('day', DATE '1996-06-15', dt)), dt <= DATE '1996-06-15' DESC, dt DESC, o_orderkey) = 1")
 def join_asof_nearest(spark, d):
     """The order nearest to a day: past before future, then the later, then the lesser key."""
     o = table(spark, d, "orders").select(F.format_string("%012d", "o_orderkey").alias("a_key"), F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("ord"), F.to_date("o_orderdate").alias("dt"))
@@ -190,27 +190,27 @@ def _prefixes(spark, d):
     return p.select(L("mask"), ip.mask_v4(F.col("n"), F.col("mask")).alias("network"), F.col("p_size").alias("asn")).distinct()
 
 
-@query("join_lpm", f"WITH {_IPS}, {_PREF} SELECT n, mask::BIGINT AS mask, asn::BIGINT AS asn FROM a JOIN f ON network = n - n % (1::BIGINT << (32 - mask)) QUALIFY row_number() OVER (PARTITION BY n ORDER BY mask DESC, asn) = 1")
+@query("join_lpm", f"WITH {_IPS}, {_PREF} SELECT n, mask::BIGINT AS mask, asn::BIGINT AS asn FROM a JOIN f ON network = n - n % (1::BIGINT << (32 - mask)) QUALIFY row_number() OVER (PARTITION _by() n ORDER _by() mask DESC, asn) = 1")
 def join_lpm(spark, d):
     a = _addresses(spark, d).select(ip.format_v4(F.col("n")).alias("ip")).withColumn("n", ip.parse_v4(F.col("ip")))
     return joins.longest_prefix_v4(a, _prefixes(spark, d), [F.col("asn")]).select("n", "mask", "asn")
 
 
-@query("join_ip_in_net", f"WITH {_IPS}, {_PREF} SELECT n, count(*) AS nets FROM a JOIN f ON n >= network AND n < network + (1::BIGINT << (32 - mask)) GROUP BY 1")
+@query("join_ip_in_net", f"WITH {_IPS}, {_PREF} SELECT n, count(*) AS nets FROM a JOIN f ON n >= network AND n < network + (1::BIGINT << (32 - mask)) GROUP _by() 1")
 def join_ip_in_net(spark, d):
     f = _prefixes(spark, d)
     a = _addresses(spark, d).select("n").distinct().crossJoin(F.broadcast(joins.masks_in(f)))
     return a.withColumn("network", ip.mask_v4(F.col("n"), F.col("mask"))).join(f, ["network", "mask"]).groupBy("n").agg(F.count(F.lit(1)).alias("nets"))
 
 
-@query("join_full_outer_prefix", "SELECT coalesce(a.k, b.k)::BIGINT AS k, coalesce(a.x, 0) AS x, coalesce(b.y, 0) AS y FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS y FROM supplier WHERE s_nationkey > 8 GROUP BY 1) b ON a.k = b.k")
+@query("join_full_outer_prefix", "SELECT coalesce(a.k, b.k)::BIGINT AS k, coalesce(a.x, 0) AS x, coalesce(b.y, 0) AS y FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer WHERE c_nationkey < 15 GROUP _by() 1) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS y FROM supplier WHERE s_nationkey > 8 GROUP _by() 1) b ON a.k = b.k")
 def join_full_outer_prefix(spark, d):
     a = table(spark, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("x"))
     b = table(spark, d, "supplier").where("s_nationkey > 8").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("y"))
     return a.join(b, "k", "full_outer").select("k", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
 
 
-@query("join_full_outer_revtr", "SELECT o_orderkey, l.n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+@query("join_full_outer_revtr", "SELECT o_orderkey, l.n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP _by() 1) l ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
 def join_full_outer_revtr(spark, d):
     """A full outer join whose left side a later filter needs is a left join."""
     l = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
@@ -226,7 +226,7 @@ def join_full_outer_resolved(spark, d):
     return a.unionByName(b).select("c_custkey", "s_suppkey").distinct()
 
 
-@query("join_regex_key", "SELECT p.page_id, q.n FROM pages p JOIN (SELECT regexp_replace(regexp_extract(url, '^https?://([^/:]+)', 1), '\\.$', '') AS host, count(*) AS n FROM pages GROUP BY 1) q ON q.host = regexp_replace(regexp_extract(p.url, '^https?://([^/:]+)', 1), '\\.$', '')")
+@query("join_regex_key", "SELECT p.page_id, q.n FROM pages p JOIN (SELECT regexp_replace(regexp_extract(url, '^https?://([^/:]+)', 1), '\\.$', '') AS host, count(*) AS n FROM pages GROUP _by() 1) q ON q.host = regexp_replace(regexp_extract(p.url, '^https?://([^/:]+)', 1), '\\.$', '')")
 def join_regex_key(spark, d):
     host = F.regexp_replace(F.regexp_extract("url", r"^https?://([^/:]+)", 1), r"\.$", "")
     p = table(spark, d, "pages").select("page_id", host.alias("host"))
@@ -260,18 +260,18 @@ def join_not_in(spark, d):
     return spark.sql("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name FROM __nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM __supplier WHERE s_acctbal > 5000)")
 
 
-@query("join_exists_self", f"WITH {H} SELECT id, ttl, max(CASE WHEN rtt > 48 THEN 1 ELSE 0 END) OVER (PARTITION BY id) = 1 AS flagged FROM h")
+@query("join_exists_self", f"WITH {H} SELECT id, ttl, max(CASE WHEN rtt > 48 THEN 1 ELSE 0 END) OVER (PARTITION _by() id) = 1 AS flagged FROM h")
 def join_exists_self(spark, d):
     return hops(spark, d).select("id", "ttl", (F.max((F.col("rtt") > 48).cast("int")).over(W.partitionBy("id")) == 1).alias("flagged"))
 
 
-@query("join_self_consecutive", f"WITH {H1} SELECT id, ttl, node AS a, lead(node) OVER (PARTITION BY id ORDER BY ttl) AS b FROM h1 QUALIFY b IS NOT NULL")
+@query("join_self_consecutive", f"WITH {H1} SELECT id, ttl, node AS a, lead(node) OVER (PARTITION _by() id ORDER _by() ttl) AS b FROM h1 QUALIFY b IS NOT NULL")
 def join_self_consecutive(spark, d):
     h = one_per_ttl(spark, d)
     return h.select("id", "ttl", F.col("node").alias("a"), F.lead("node").over(W.partitionBy("id").orderBy("ttl")).alias("b")).where("b is not null")
 
 
-@query("join_using", "SELECT o_custkey AS k, count(*) AS n FROM orders JOIN (SELECT c_custkey AS o_custkey FROM customer WHERE c_acctbal < 0) USING (o_custkey) GROUP BY 1")
+@query("join_using", "SELECT o_custkey AS k, count(*) AS n FROM orders JOIN (SELECT c_custkey AS o_custkey FROM customer WHERE c_acctbal < 0) USING (o_custkey) GROUP _by() 1")
 def join_using(spark, d):
     c = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
     return table(spark, d, "orders").join(c, on="o_custkey").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
@@ -284,10 +284,10 @@ def join_lookup_coalesce(spark, d):
     return table(spark, d, "supplier").join(c, "s_nationkey", "left").select("s_suppkey", F.coalesce(metro, "canon", "s_name").alias("metro"))
 
 
-_DAILY = f"{M}, v AS (SELECT site, day, count(*) AS n FROM m GROUP BY ALL)"
+_DAILY = f"{M}, v AS (SELECT site, day, count(*) AS n FROM m GROUP _by() ALL)"
 
 
-@query("join_neighbour_window", f"WITH {_DAILY} SELECT a.site, CAST(a.day AS VARCHAR) AS day, count(*) AS others, sum(b.n)::BIGINT AS total FROM v a JOIN v b ON a.site = b.site AND b.day BETWEEN a.day - 7 AND a.day + 7 AND b.day <> a.day GROUP BY ALL")
+@query("join_neighbour_window", f"WITH {_DAILY} SELECT a.site, CAST(a.day AS VARCHAR) AS day, count(*) AS others, sum(b.n)::BIGINT AS total FROM v a JOIN v b ON a.site = b.site AND b.day BETWEEN a.day - 7 AND a.day + 7 AND b.day <> a.day GROUP _by() ALL")
 def join_neighbour_window(spark, d):
     v = measurements(spark, d).groupBy("site", "day").agg(F.count(F.lit(1)).alias("n"))
     return joins.neighbour_window(v, ["site"], "day", 7).groupBy("site", S("day")).agg(F.count(F.lit(1)).alias("others"), F.sum("other_n").alias("total"))
@@ -301,7 +301,7 @@ def join_multi_meta(spark, d):
     return l.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("ln"), "f", "t")
 
 
-@query("join_facility", "SELECT n_nationkey::BIGINT AS k, string_agg(s_name, ',' ORDER BY s_name) AS facilities FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
+@query("join_facility", "SELECT n_nationkey::BIGINT AS k, string_agg(s_name, ',' ORDER _by() s_name) AS facilities FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP _by() 1")
 def join_facility(spark, d):
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     got = n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy(F.col("n_nationkey").cast("long").alias("k")).agg(F.sort_array(F.collect_list("s_name")).alias("f"))
@@ -311,37 +311,37 @@ def join_facility(spark, d):
 # --- aggregations ---
 
 
-@query("agg_count_distinct", f"WITH {M} SELECT site, count(*) AS n, count(DISTINCT ip) AS ips, count(DISTINCT CASE WHEN loss > 0.05 THEN ip END) AS lossy_ips, count(*) FILTER (rtt > 50) AS slow FROM m GROUP BY 1")
+@query("agg_count_distinct", f"WITH {M} SELECT site, count(*) AS n, count(DISTINCT ip) AS ips, count(DISTINCT CASE WHEN loss > 0.05 THEN ip END) AS lossy_ips, count(*) FILTER (rtt > 50) AS slow FROM m GROUP _by() 1")
 def agg_count_distinct(spark, d):
     return measurements(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ip").alias("ips"), F.countDistinct(F.when(F.col("loss") > 0.05, F.col("ip"))).alias("lossy_ips"), F.count_if(F.col("rtt") > 50).alias("slow"))
 
 
-@query("agg_sum_min_max_avg", f"WITH {M} SELECT site, round(sum(rtt), 4) AS s, min(rtt) AS lo, max(rtt) AS hi, round(avg(rtt), 6) AS a, round(avg(CASE WHEN loss > 0.05 THEN rtt END), 6) AS aif, max(CASE WHEN loss > 0.05 THEN rtt END) AS mif, round(stddev_samp(rtt), 6) AS sd FROM m GROUP BY 1")
+@query("agg_sum_min_max_avg", f"WITH {M} SELECT site, round(sum(rtt), 4) AS s, min(rtt) AS lo, max(rtt) AS hi, round(avg(rtt), 6) AS a, round(avg(CASE WHEN loss > 0.05 THEN rtt END), 6) AS aif, max(CASE WHEN loss > 0.05 THEN rtt END) AS mif, round(stddev_samp(rtt), 6) AS sd FROM m GROUP _by() 1")
 def agg_sum_min_max_avg(spark, d):
     lossy = F.when(F.col("loss") > 0.05, F.col("rtt"))
     return measurements(spark, d).groupBy("site").agg(F.round(F.sum("rtt"), 4).alias("s"), F.min("rtt").alias("lo"), F.max("rtt").alias("hi"), F.round(F.avg("rtt"), 6).alias("a"), F.round(F.avg(lossy), 6).alias("aif"), F.max(lossy).alias("mif"), F.round(F.stddev_samp("rtt"), 6).alias("sd"))
 
 
-@query("agg_any_value", "SELECT o_custkey AS k, o_orderkey AS ord, o_orderstatus AS st FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+@query("agg_any_value", "SELECT o_custkey AS k, o_orderkey AS ord, o_orderstatus AS st FROM orders QUALIFY row_number() OVER (PARTITION _by() o_custkey ORDER _by() o_orderkey) = 1")
 def agg_any_value(spark, d):
     """One row's values, so that columns stay consistent: those of the least id."""
     a = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min_by(F.struct("o_orderkey", "o_orderstatus"), "o_orderkey").alias("r"))
     return a.select("k", F.col("r.o_orderkey").alias("ord"), F.col("r.o_orderstatus").alias("st"))
 
 
-@query("agg_array", f"WITH {M} SELECT site, CAST(asn AS BIGINT) AS asn, count(*) FILTER (loss > 0.05) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (loss > 0.05) AS ids, string_agg(DISTINCT CAST(ip AS VARCHAR), ',' ORDER BY CAST(ip AS VARCHAR)) AS ips FROM m GROUP BY ALL")
+@query("agg_array", f"WITH {M} SELECT site, CAST(asn AS BIGINT) AS asn, count(*) FILTER (loss > 0.05) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER _by() id) FILTER (loss > 0.05) AS ids, string_agg(DISTINCT CAST(ip AS VARCHAR), ',' ORDER _by() CAST(ip AS VARCHAR)) AS ips FROM m GROUP _by() ALL")
 def agg_array(spark, d):
     got = measurements(spark, d).groupBy("site", "asn").agg(F.sort_array(F.collect_list(F.when(F.col("loss") > 0.05, F.col("id")))).alias("ids"), F.sort_array(F.collect_set(F.col("ip").cast("string"))).alias("ips"))
     return got.select("site", L("asn"), F.size("ids").cast("long").alias("n"), F.when(F.size("ids") > 0, J(F.col("ids"))).alias("ids"), F.array_join("ips", ",").alias("ips"))
 
 
-@query("agg_array_ordered", f"WITH {H1} SELECT id, string_agg(node || '@' || ttl, ',' ORDER BY ttl) AS path FROM h1 GROUP BY 1")
+@query("agg_array_ordered", f"WITH {H1} SELECT id, string_agg(node || '@' || ttl, ',' ORDER _by() ttl) AS path FROM h1 GROUP _by() 1")
 def agg_array_ordered(spark, d):
     s = F.array_sort(F.collect_list(F.struct("ttl", "node")))
     return one_per_ttl(spark, d).groupBy("id").agg(F.array_join(F.transform(s, lambda x: F.concat(x.node, F.lit("@"), x.ttl)), ",").alias("path"))
 
 
-@query("agg_topk_array", "SELECT l_orderkey AS id, arg_min(l_partkey, l_extendedprice * 1000000 + l_partkey) AS part FROM lineitem GROUP BY 1")
+@query("agg_topk_array", "SELECT l_orderkey AS id, arg_min(l_partkey, l_extendedprice * 1000000 + l_partkey) AS part FROM lineitem GROUP _by() 1")
 def agg_topk_array(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min_by("l_partkey", F.col("l_extendedprice") * 1000000 + F.col("l_partkey")).alias("part"))
 
@@ -352,7 +352,7 @@ def agg_approx_quantiles(spark, d):
     return measurements(spark, d).groupBy("site").agg(q.alias("q")).select("site", *[F.col("q")[i].alias(f"q{i}") for i in range(6)])
 
 
-@query("agg_group_min_first", f"WITH {H1}, f AS (SELECT id, node % 7 AS x, min(ttl) AS t FROM h1 GROUP BY ALL) SELECT id, string_agg(CAST(x AS VARCHAR), '>' ORDER BY t) AS path FROM f GROUP BY 1")
+@query("agg_group_min_first", f"WITH {H1}, f AS (SELECT id, node % 7 AS x, min(ttl) AS t FROM h1 GROUP _by() ALL) SELECT id, string_agg(CAST(x AS VARCHAR), '>' ORDER _by() t) AS path FROM f GROUP _by() 1")
 def agg_group_min_first(spark, d):
     p = paths.ordered_distinct(one_per_ttl(spark, d).withColumn("x", F.col("node") % 7), "x")
     return p.select("id", F.array_join(F.transform("path", lambda v: v.cast("string")), ">").alias("path"))
@@ -363,43 +363,43 @@ def agg_distinct(spark, d):
     return measurements(spark, d).select("site", L("asn")).distinct()
 
 
-@query("agg_having", f"WITH {M} SELECT site, CAST(asn AS BIGINT) AS asn, count(*) AS n FROM m GROUP BY ALL HAVING count(*) FILTER (loss > 0.098) = 0")
+@query("agg_having", f"WITH {M} SELECT site, CAST(asn AS BIGINT) AS asn, count(*) AS n FROM m GROUP _by() ALL HAVING count(*) FILTER (loss > 0.098) = 0")
 def agg_having(spark, d):
     g = measurements(spark, d).groupBy("site", L("asn")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("loss") > 0.098).alias("c"))
     return g.where("c = 0").drop("c")
 
 
-@query("agg_two_level", f"WITH {M}, g AS (SELECT site, asn, avg(rtt) AS a FROM m GROUP BY ALL) SELECT site, round(avg(a), 6) AS mean, round(max(a), 6) AS most FROM g GROUP BY 1")
+@query("agg_two_level", f"WITH {M}, g AS (SELECT site, asn, avg(rtt) AS a FROM m GROUP _by() ALL) SELECT site, round(avg(a), 6) AS mean, round(max(a), 6) AS most FROM g GROUP _by() 1")
 def agg_two_level(spark, d):
     g = measurements(spark, d).groupBy("site", "asn").agg(F.avg("rtt").alias("a"))
     return g.groupBy("site").agg(F.round(F.avg("a"), 6).alias("mean"), F.round(F.max("a"), 6).alias("most"))
 
 
-@query("agg_group_concat_key", f"WITH {M} SELECT CAST(asn AS BIGINT) || ' - ' || site || ' - ' || CASE WHEN ip % 2 = 0 THEN 'a' END AS pair, count(*) AS n FROM m GROUP BY 1")
+@query("agg_group_concat_key", f"WITH {M} SELECT CAST(asn AS BIGINT) || ' - ' || site || ' - ' || CASE WHEN ip % 2 = 0 THEN 'a' END AS pair, count(*) AS n FROM m GROUP _by() 1")
 def agg_group_concat_key(spark, d):
     """A null part makes the key null, as concat does (concat_ws would not)."""
     pair = F.concat(F.col("asn").cast("string"), F.lit(" - "), "site", F.lit(" - "), F.when(F.col("ip") % 2 == 0, "a"))
     return measurements(spark, d).groupBy(pair.alias("pair")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_mode", f"WITH {M}, c AS (SELECT ip, site, count(*) AS n FROM m GROUP BY ALL) SELECT ip, arg_max(site, n || site) AS site FROM (SELECT ip, site, lpad(CAST(n AS VARCHAR), 9, '0') AS n FROM c) GROUP BY ip")
+@query("agg_mode", f"WITH {M}, c AS (SELECT ip, site, count(*) AS n FROM m GROUP _by() ALL) SELECT ip, arg_max(site, n || site) AS site FROM (SELECT ip, site, lpad(CAST(n AS VARCHAR), 9, '0') AS n FROM c) GROUP _by() ip")
 def agg_mode(spark, d):
     c = measurements(spark, d).groupBy("ip", "site").agg(F.count(F.lit(1)).alias("n"))
     return c.groupBy("ip").agg(F.max_by("site", F.struct("n", "site")).alias("site"))
 
 
-@query("agg_pivot", f"WITH {M} SELECT site, count(DISTINCT CASE WHEN loss > 0.05 THEN ip END) AS anomalous, count(DISTINCT CASE WHEN loss <= 0.05 THEN ip END) AS healthy FROM m GROUP BY 1")
+@query("agg_pivot", f"WITH {M} SELECT site, count(DISTINCT CASE WHEN loss > 0.05 THEN ip END) AS anomalous, count(DISTINCT CASE WHEN loss <= 0.05 THEN ip END) AS healthy FROM m GROUP _by() 1")
 def agg_pivot(spark, d):
     kind = F.when(F.col("loss") > 0.05, "anomalous").otherwise("healthy")
     return measurements(spark, d).withColumn("kind", kind).groupBy("site").pivot("kind", ["anomalous", "healthy"]).agg(F.countDistinct("ip"))
 
 
-@query("agg_set_index", f"WITH {M} SELECT site, string_agg(DISTINCT CAST(asn AS VARCHAR), ',' ORDER BY CAST(asn AS VARCHAR)) AS pairs FROM m WHERE loss > 0.095 GROUP BY 1")
+@query("agg_set_index", f"WITH {M} SELECT site, string_agg(DISTINCT CAST(asn AS VARCHAR), ',' ORDER _by() CAST(asn AS VARCHAR)) AS pairs FROM m WHERE loss > 0.095 GROUP _by() 1")
 def agg_set_index(spark, d):
     return measurements(spark, d).where("loss > 0.095").groupBy("site").agg(F.array_join(F.sort_array(F.collect_set(F.col("asn").cast("string"))), ",").alias("pairs"))
 
 
-_EDGES = f"{H1}, e AS (SELECT id, ttl, node AS a, lead(node) OVER (PARTITION BY id ORDER BY ttl) AS b FROM h1 QUALIFY b IS NOT NULL)"
+_EDGES = f"{H1}, e AS (SELECT id, ttl, node AS a, lead(node) OVER (PARTITION _by() id ORDER _by() ttl) AS b FROM h1 QUALIFY b IS NOT NULL)"
 
 
 def _edges(spark, d):
@@ -407,7 +407,7 @@ def _edges(spark, d):
     return h.select("id", "ttl", F.col("node").alias("a"), F.lead("node").over(W.partitionBy("id").orderBy("ttl")).alias("b")).where("b is not null")
 
 
-@query("agg_node_counts", f"WITH {_EDGES} SELECT node, count(*) AS n FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1")
+@query("agg_node_counts", f"WITH {_EDGES} SELECT node, count(*) AS n FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP _by() 1")
 def agg_node_counts(spark, d):
     e = _edges(spark, d)
     part = lambda c: e.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("n"))
@@ -416,36 +416,41 @@ def agg_node_counts(spark, d):
 
 # --- windows ---
 
-BY = W.partitionBy("id").orderBy("ttl")
-RUN = BY.rowsBetween(W.unboundedPreceding, 0)
 
+def _by():
+    return W.partitionBy("id").orderBy("ttl")
 
-@query("win_row_number", f"WITH {H} SELECT id, ttl, node, rtt, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN rtt > 25 THEN 0 ELSE 1 END, ttl DESC, node, rtt, part) AS rn FROM h")
+
+def _run():
+    return _by().rowsBetween(W.unboundedPreceding, 0)
+
+
+@query("win_row_number", f"WITH {H} SELECT id, ttl, node, rtt, row_number() OVER (PARTITION _by() id ORDER _by() CASE WHEN rtt > 25 THEN 0 ELSE 1 END, ttl DESC, node, rtt, part) AS rn FROM h")
 def win_row_number(spark, d):
     w = W.partitionBy("id").orderBy(F.when(F.col("rtt") > 25, 0).otherwise(1), F.desc("ttl"), "node", "rtt", "part")
     return hops(spark, d).select("id", "ttl", "node", "rtt", F.row_number().over(w).alias("rn"))
 
 
-@query("win_count", f"WITH {H} SELECT id, ttl, part, count(*) OVER (PARTITION BY id) AS n, (SELECT count(DISTINCT node) FROM h x WHERE x.id = h.id) AS nodes FROM h")
+@query("win_count", f"WITH {H} SELECT id, ttl, part, count(*) OVER (PARTITION _by() id) AS n, (SELECT count(DISTINCT node) FROM h x WHERE x.id = h.id) AS nodes FROM h")
 def win_count(spark, d):
     """COUNT(DISTINCT) OVER as the size of a collected set."""
     w = W.partitionBy("id")
     return hops(spark, d).select("id", "ttl", "part", F.count(F.lit(1)).over(w).alias("n"), F.size(F.collect_set("node").over(w)).cast("long").alias("nodes"))
 
 
-@query("win_percentile_cont", f"WITH {M} SELECT id, round(quantile_cont(rtt, 0.5) OVER (PARTITION BY site), 6) AS med FROM m")
+@query("win_percentile_cont", f"WITH {M} SELECT id, round(quantile_cont(rtt, 0.5) OVER (PARTITION _by() site), 6) AS med FROM m")
 def win_percentile_cont(spark, d):
     m = measurements(spark, d)
     return m.join(m.groupBy("site").agg(F.round(F.percentile("rtt", F.lit(0.5)), 6).alias("med")), "site").select("id", "med")
 
 
-@query("win_avg_stddev_sum", f"WITH {M} SELECT id, round(avg(rtt) OVER (PARTITION BY site), 6) AS a, round(stddev_samp(rtt) OVER (PARTITION BY site), 6) AS sd, sum(ip) OVER (PARTITION BY site)::BIGINT AS s FROM m")
+@query("win_avg_stddev_sum", f"WITH {M} SELECT id, round(avg(rtt) OVER (PARTITION _by() site), 6) AS a, round(stddev_samp(rtt) OVER (PARTITION _by() site), 6) AS sd, sum(ip) OVER (PARTITION _by() site)::BIGINT AS s FROM m")
 def win_avg_stddev_sum(spark, d):
     w = W.partitionBy("site")
     return measurements(spark, d).select("id", F.round(F.avg("rtt").over(w), 6).alias("a"), F.round(F.stddev_samp("rtt").over(w), 6).alias("sd"), F.sum("ip").over(w).alias("s"))
 
 
-@query("win_first_value", f"WITH {H} SELECT DISTINCT id, first_value(rtt) OVER (PARTITION BY id ORDER BY ttl DESC, rtt) AS r FROM h")
+@query("win_first_value", f"WITH {H} SELECT DISTINCT id, first_value(rtt) OVER (PARTITION _by() id ORDER _by() ttl DESC, rtt) AS r FROM h")
 def win_first_value(spark, d):
     return hops(spark, d).select("id", F.first("rtt").over(W.partitionBy("id").orderBy(F.desc("ttl"), "rtt")).alias("r")).distinct()
 
@@ -453,31 +458,31 @@ def win_first_value(spark, d):
 _GAPS = f"{H1}, g AS (SELECT id, ttl, CASE WHEN node % 3 > 0 THEN node END AS v FROM h1)"
 
 
-@query("win_fill", f"WITH {_GAPS} SELECT id, ttl, last_value(v IGNORE NULLS) OVER (PARTITION BY id ORDER BY ttl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fwd, last_value(v IGNORE NULLS) OVER (PARTITION BY id ORDER BY ttl DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bwd, last_value(v IGNORE NULLS) OVER (PARTITION BY id ORDER BY ttl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, first_value(v IGNORE NULLS) OVER (PARTITION BY id ORDER BY ttl ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM g")
+@query("win_fill", f"WITH {_GAPS} SELECT id, ttl, last_value(v IGNORE NULLS) OVER (PARTITION _by() id ORDER _by() ttl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fwd, last_value(v IGNORE NULLS) OVER (PARTITION _by() id ORDER _by() ttl DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bwd, last_value(v IGNORE NULLS) OVER (PARTITION _by() id ORDER _by() ttl ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, first_value(v IGNORE NULLS) OVER (PARTITION _by() id ORDER _by() ttl ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM g")
 def win_fill(spark, d):
     """win_last_value_ignore_nulls and win_prev_next_non_null."""
     g = one_per_ttl(spark, d).withColumn("v", F.when(F.col("node") % 3 > 0, F.col("node")))
     down = W.partitionBy("id").orderBy(F.desc("ttl")).rowsBetween(W.unboundedPreceding, 0)
     return g.select(
-        "id", "ttl", F.last("v", True).over(RUN).alias("fwd"), F.last("v", True).over(down).alias("bwd"),
-        F.last("v", True).over(BY.rowsBetween(W.unboundedPreceding, -1)).alias("prev"), F.first("v", True).over(BY.rowsBetween(1, W.unboundedFollowing)).alias("next"),
+        "id", "ttl", F.last("v", True).over(_run()).alias("fwd"), F.last("v", True).over(down).alias("bwd"),
+        F.last("v", True).over(_by().rowsBetween(W.unboundedPreceding, -1)).alias("prev"), F.first("v", True).over(_by().rowsBetween(1, W.unboundedFollowing)).alias("next"),
     )
 
 
-@query("win_min_partition_if", f"WITH {H} SELECT id, ttl, part, min(CASE WHEN rtt > 25 THEN ttl END) OVER (PARTITION BY id) AS first_slow FROM h")
+@query("win_min_partition_if", f"WITH {H} SELECT id, ttl, part, min(CASE WHEN rtt > 25 THEN ttl END) OVER (PARTITION _by() id) AS first_slow FROM h")
 def win_min_partition_if(spark, d):
     return hops(spark, d).select("id", "ttl", "part", F.min(F.when(F.col("rtt") > 25, F.col("ttl"))).over(W.partitionBy("id")).alias("first_slow"))
 
 
-@query("win_lag", f"WITH {H1} SELECT id, ttl, lag(rtt) OVER (PARTITION BY id ORDER BY ttl) AS up, lag(rtt) OVER (PARTITION BY id ORDER BY ttl DESC) AS down FROM h1")
+@query("win_lag", f"WITH {H1} SELECT id, ttl, lag(rtt) OVER (PARTITION _by() id ORDER _by() ttl) AS up, lag(rtt) OVER (PARTITION _by() id ORDER _by() ttl DESC) AS down FROM h1")
 def win_lag(spark, d):
-    return one_per_ttl(spark, d).select("id", "ttl", F.lag("rtt").over(BY).alias("up"), F.lag("rtt").over(W.partitionBy("id").orderBy(F.desc("ttl"))).alias("down"))
+    return one_per_ttl(spark, d).select("id", "ttl", F.lag("rtt").over(_by()).alias("up"), F.lag("rtt").over(W.partitionBy("id").orderBy(F.desc("ttl"))).alias("down"))
 
 
-@query("win_running", f"WITH {H1} SELECT id, ttl, round(sum(rtt) OVER (PARTITION BY id ORDER BY ttl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS total, count(CASE WHEN rtt > 40 THEN 1 END) OVER (PARTITION BY id ORDER BY ttl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 0 AS seen FROM h1")
+@query("win_running", f"WITH {H1} SELECT id, ttl, round(sum(rtt) OVER (PARTITION _by() id ORDER _by() ttl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS total, count(CASE WHEN rtt > 40 THEN 1 END) OVER (PARTITION _by() id ORDER _by() ttl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 0 AS seen FROM h1")
 def win_running(spark, d):
     """win_running_sum and win_running_count_if."""
-    return one_per_ttl(spark, d).select("id", "ttl", F.round(F.sum("rtt").over(RUN), 6).alias("total"), (F.count(F.when(F.col("rtt") > 40, 1)).over(RUN) > 0).alias("seen"))
+    return one_per_ttl(spark, d).select("id", "ttl", F.round(F.sum("rtt").over(_run()), 6).alias("total"), (F.count(F.when(F.col("rtt") > 40, 1)).over(_run()) > 0).alias("seen"))
 
 
 @query("win_in_subquery", f"WITH {_PATHS} SELECT id, list_sum(list_transform(generate_series(2, len(rtts)), lambda i: CASE WHEN rtts[i] > rtts[i - 1] THEN 1 ELSE 0 END))::BIGINT AS rises FROM p WHERE len(rtts) > 1")
@@ -487,13 +492,13 @@ def win_in_subquery(spark, d):
     return _paths(spark, d).where(F.size("rtts") > 1).select("id", F.aggregate(rise, F.lit(0).cast("long"), lambda s, x: s + x).alias("rises"))
 
 
-@query("win_qualify", "SELECT o_custkey AS k, o_orderkey AS ord FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1")
+@query("win_qualify", "SELECT o_custkey AS k, o_orderkey AS ord FROM orders QUALIFY row_number() OVER (PARTITION _by() o_custkey ORDER _by() o_orderdate DESC, o_orderkey) = 1")
 def win_qualify(spark, d):
     w = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
     return table(spark, d, "orders").withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ord"))
 
 
-@query("win_median_excl_self", f"WITH {_DAILY} SELECT a.site, CAST(a.day AS VARCHAR) AS day, any_value(a.n) AS n, quantile_cont(b.n, 0.5) AS med, any_value(a.n) / quantile_cont(b.n, 0.5) < 0.5 AS stale FROM v a JOIN v b ON a.site = b.site AND b.day BETWEEN a.day - 7 AND a.day + 7 AND b.day <> a.day GROUP BY a.site, a.day")
+@query("win_median_excl_self", f"WITH {_DAILY} SELECT a.site, CAST(a.day AS VARCHAR) AS day, any_value(a.n) AS n, quantile_cont(b.n, 0.5) AS med, any_value(a.n) / quantile_cont(b.n, 0.5) < 0.5 AS stale FROM v a JOIN v b ON a.site = b.site AND b.day BETWEEN a.day - 7 AND a.day + 7 AND b.day <> a.day GROUP _by() a.site, a.day")
 def win_median_excl_self(spark, d):
     v = measurements(spark, d).groupBy("site", "day").agg(F.count(F.lit(1)).alias("n"))
     j = joins.neighbour_window(v, ["site"], "day", 7).groupBy("site", S("day"), "n").agg(F.percentile("other_n", F.lit(0.5)).alias("med"))
@@ -503,13 +508,13 @@ def win_median_excl_self(spark, d):
 # --- sort, limit, top-k, sets ---
 
 
-@query("topk_global", f"WITH {M}, g AS (SELECT site, CAST(asn AS BIGINT) AS asn, count(*) FILTER (loss > 0.05) AS c FROM m GROUP BY ALL) SELECT * FROM g ORDER BY c DESC, site, asn LIMIT 11")
+@query("topk_global", f"WITH {M}, g AS (SELECT site, CAST(asn AS BIGINT) AS asn, count(*) FILTER (loss > 0.05) AS c FROM m GROUP _by() ALL) SELECT * FROM g ORDER _by() c DESC, site, asn LIMIT 11")
 def topk_global(spark, d):
     g = measurements(spark, d).groupBy("site", L("asn")).agg(F.count_if(F.col("loss") > 0.05).alias("c"))
     return g.orderBy(F.desc("c"), "site", "asn").limit(11)
 
 
-@query("topk_per_group", "SELECT n_regionkey::BIGINT AS r, n_name FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) <= 2")
+@query("topk_per_group", "SELECT n_regionkey::BIGINT AS r, n_name FROM nation QUALIFY row_number() OVER (PARTITION _by() n_regionkey ORDER _by() n_name) <= 2")
 def topk_per_group(spark, d):
     w = W.partitionBy("n_regionkey").orderBy("n_name")
     return table(spark, d, "nation").withColumn("rn", F.row_number().over(w)).where("rn <= 2").select(F.col("n_regionkey").cast("long").alias("r"), "n_name")
@@ -520,7 +525,7 @@ def topk_in_array(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.sort_array("embedding", False)[0].cast("double").alias("top"), F.array_position("embedding", F.array_max("embedding")).alias("at"))
 
 
-@query("sort_array_output", f"WITH {M} SELECT site, string_agg(DISTINCT CAST(ip AS VARCHAR), ' ' ORDER BY CAST(ip AS VARCHAR) DESC) AS ips FROM m GROUP BY 1")
+@query("sort_array_output", f"WITH {M} SELECT site, string_agg(DISTINCT CAST(ip AS VARCHAR), ' ' ORDER _by() CAST(ip AS VARCHAR) DESC) AS ips FROM m GROUP _by() 1")
 def sort_array_output(spark, d):
     return measurements(spark, d).groupBy("site").agg(F.array_join(F.sort_array(F.collect_set(F.col("ip").cast("string")), False), " ").alias("ips"))
 
@@ -532,7 +537,7 @@ def limit_1(spark, d):
     return spark.range(1).select(F.lit(probe("loss > 0.098")).alias("any_"), F.lit(probe("loss > 2")).alias("none"))
 
 
-@query("set_union_all", "SELECT kind, count(*) AS n FROM (SELECT 'c' AS kind, c_nationkey AS k FROM customer UNION ALL SELECT 's', s_nationkey FROM supplier) GROUP BY 1")
+@query("set_union_all", "SELECT kind, count(*) AS n FROM (SELECT 'c' AS kind, c_nationkey AS k FROM customer UNION ALL SELECT 's', s_nationkey FROM supplier) GROUP _by() 1")
 def set_union_all(spark, d):
     a = table(spark, d, "customer").select(F.lit("c").alias("kind"), F.col("c_nationkey").alias("k"))
     return a.unionByName(table(spark, d, "supplier").select(F.lit("s").alias("kind"), F.col("s_nationkey").alias("k"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
