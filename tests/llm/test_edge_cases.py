@@ -2,7 +2,6 @@
 names, for every operator."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers as public
@@ -93,4 +92,3 @@ def test_line_runs(spark):
     d = spark.createDataFrame([(1, f"{run}\nown one"), (2, f"own two\n{run}\nown three"), (3, "first line of some words\nother"), (4, f"{run}\n{run}")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linedup.delete_later_copies(d, 8).collect()}
     assert got == {1: f"{run}\nown one", 2: "own two\nown three", 3: "first line of some words\nother", 4: ""}
-    assert F.col("x") is not None
