@@ -1,4 +1,4 @@
-"""Connected components by repeated contraction, all in joins; nothing is collected."""
+"""Connected components by alternating large-star and small-star steps, all in joins."""
 
 from __future__ import annotations
 
@@ -8,33 +8,30 @@ from pyspark.sql import functions as F
 from driftline.llm.common import cut
 
 
-def _jump(parent: DataFrame) -> DataFrame:
-    """Follow (v, p) pointers to their ends; p < v, and an end has no pointer of its own."""
-    while True:
-        up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        parent = cut(parent.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")))
-        if parent.where("moved").limit(1).count() == 0:
-            return parent.select("v", "p")
-        parent = parent.select("v", "p")
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every vertex hands its greater neighbours to the least of itself and its neighbours."""
+    turn = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    both = e.select(F.explode(F.array(F.struct("u", "v"), turn)).alias("e")).select("e.u", "e.v")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(e: DataFrame) -> DataFrame:
+    """Every vertex hands itself and its lesser neighbours to the least of them."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    return e.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of edges (u, v) that is not its component's least vertex."""
-    left = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct())
-    found = None
-    while left.limit(1).count():
-        # every vertex points at its least neighbour, if that is less than itself
-        parent = _jump(cut(left.groupBy("v").agg(F.min("u").alias("p"))))
-        a, b = parent.select(F.col("v").alias("u"), F.col("p").alias("pu")), parent.select("v", F.col("p").alias("pv"))
-        moved = left.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("pu", "u").alias("x"), F.coalesce("pv", "v").alias("y"))
-        left = cut(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u < v").distinct())
-        if found is not None:
-            up = parent.select(F.col("v").alias("root"), F.col("p").alias("q"))
-            old = found.join(up, "root", "left").select("v", F.coalesce("q", "root").alias("root"))
-            new = parent.join(found.select("v"), "v", "left_anti").select("v", F.col("p").alias("root"))
-            found = cut(old.unionByName(new))
-        else:
-            found = parent.select("v", F.col("p").alias("root"))
-    if found is None:
-        return left.select("v", F.col("u").alias("root"))
-    return found
+    """(v, root) for every vertex of edges (u, v) that is not its component's least vertex.
+
+    Each round takes a constant number of shuffles; rounds grow with the logarithm of the longest path.
+    """
+    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
+    mark = None
+    while True:
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if not now[0] or now == mark:
+            return e.select(F.col("u").alias("v"), F.col("v").alias("root"))
+        mark = now
+        e = cut(_small_star(_large_star(e).distinct()).distinct())

@@ -160,29 +160,36 @@ def _classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: i
     total = members.count()
     members = cut(spread_rank(members, ["key"], ["rid"], "pos", max(1, min(4096, total // 200_000))))
     sets = cut(made.select("rid", "shingles").join(members.select("rid").distinct(), "rid", "left_semi")) if total else made.select("rid", "shingles")
-    labels, tested, links = None, None, None
-    first, last = 0, 1
-    open_ = members
+    labels = tested = None
+    first, last, open_ = 0, 1, members
     while total:
-        lead = open_.where(F.col("pos").between(first, last - 1))
+        lead = open_ if last is None else open_.where(F.col("pos").between(first, last - 1))
         cols = ["key", "rid", "n", "pos"] + (["comp"] if labels is not None else [])
         x = lead.select(*[F.col(c).alias(c if c == "key" else f"l_{c}") for c in cols])
-        met = open_.where(F.col("pos") > first).join(x, "key").where(F.col("pos") > F.col("l_pos"))
+        met = open_.join(x, "key").where(F.col("pos") > F.col("l_pos"))
         met = met.where(F.least("n", "l_n") >= similarity * F.greatest("n", "l_n"))
         if labels is not None:
             met = met.where("comp <> l_comp")
         pairs = met.select(F.least("rid", "l_rid").alias("a"), F.greatest("rid", "l_rid").alias("b")).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
         new = _similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = cut(new if links is None else links.unionByName(new))
-        labels = cut(components(links))
-        comp = members.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
+        if labels is not None:  # the classes so far, as stars
+            new = new.unionByName(labels.select(F.col("v").alias("u"), F.col("root").alias("v")))
+        labels = components(new)
+        if last is None:
+            break
+        tested = pairs if tested is None else cut(tested.unionByName(pairs).distinct())
+        comp = members.where(F.col("pos") >= last).join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
+        # pairs of members of different classes, by bucket
+        sizes = comp.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("cross"))
+        rest = cut(sizes.where("cross > 0"))
+        cross = rest.agg(F.sum("cross")).first()[0] or 0
+        if not cross:
+            break
+        open_ = cut(comp.join(rest.select("key"), "key"))
         first, last = last, last + 4 * (last - first)
-        comp = cut(comp.where(F.col("pos") >= first))
-        rest = comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-        open_ = cut(comp.join(rest, "key"))
-        total = open_.count()
+        if cross <= 4 * total:  # no more than a few for each row: all at once
+            last = None
     rep = light.join(same, ["c1", "c2"], "left").select("rid", "doc_id", "h", "n", F.coalesce("rep", "rid").alias("rep"))
     if labels is not None:
         rep = rep.join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left").withColumn("rep", F.coalesce("root", "rep"))
