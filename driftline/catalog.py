@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from driftline.harness import detection, domain, relational
+from driftline.workers import with_workers
 
 MODULES = [detection, relational, domain]
 
 
 def queries():
-    return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
+    return {name: with_workers(f) for m in MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql():

@@ -44,6 +44,15 @@ def detect_degradation(spark, sf_dir):
     )
 
 
+BY_SITE = D.Detection(day=DAY, group=("site",))
+
+
+def detect_by_site(spark, sf_dir):
+    """The flagship: which sites degraded on the day against the trailing week."""
+    d = D.detect(measurements(spark, sf_dir), BY_SITE)
+    return d.select("site", "base_n", "day_n", F.round("base_median", 6).alias("base_median"), F.round("day_median", 6).alias("day_median"), F.round("mwu.Z", 6).alias("z"), F.round("mwu.p_value", 6).alias("p"), F.round("distance", 6).alias("distance"), "anomaly_rtt", "anomaly_loss")
+
+
 _LOSS = "(CASE WHEN base_n > 0 AND day_n > 0 THEN (day_lossy / day_n - base_lossy / base_n) / nullif(sqrt((base_lossy + day_lossy) / (base_n + day_n) * (1 - (base_lossy + day_lossy) / (base_n + day_n)) * (1.0 / base_n + 1.0 / day_n)), 0) END)"
 DETECT_SQL = f"""WITH {BASE}, {_stats('base', 'sb')}, {_stats('day', 'st')}, {RANKS},
 j AS (SELECT sb.*, st.* EXCLUDE (asn, site), rz.u, rz.z, rz.distance, {cdf('abs(rz.z)')} AS c, {_LOSS} AS zl FROM sb JOIN st USING (asn, site) LEFT JOIN rz USING (asn, site) WHERE base_n > 2 AND day_n > 2)
@@ -150,7 +159,14 @@ def d8_flags_with_welch(spark, sf_dir):
     return d.select(F.col("asn").cast("long").alias("asn"), "site", "anomaly_rtt", "anomaly_loss")
 
 
+def _by_site(sql: str) -> str:
+    return sql.replace("CAST(asn AS BIGINT) AS asn, ", "").replace("asn, site, ", "site, ").replace("asn, site", "site")
+
+
+_SITE_SQL = f"SELECT site, base_n, day_n, base_median, day_median, z, p, distance, anomaly_rtt, anomaly_loss FROM ({_by_site(DETECT_SQL)})"
+
 QUERIES = {
+    "detect_by_site": (detect_by_site, _SITE_SQL),
     "detect_degradation": (detect_degradation, DETECT_SQL),
     "d4_dominance_trim": (d4_dominance_trim, f"WITH {BASE} SELECT CAST(asn AS BIGINT) AS asn, site, count(*) AS kept, CAST(sum(id) AS BIGINT) AS ids, count(DISTINCT ip) AS ips FROM b GROUP BY ALL"),
     "d5_baseline_metrics": (d5_baseline_metrics, f"WITH {BASE}, {_stats('base', 'sb')} SELECT CAST(asn AS BIGINT) AS asn, site, base_n, round(base_median, 6) AS base_median, round(base_p95_loss, 6) AS base_p95_loss, round(base_mean, 6) AS base_mean, round(base_var, 6) AS base_var, round(base_lossy_share, 6) AS base_lossy_share, base_lossy FROM sb"),
