@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm import ann, bpe, dartminhash, langid, licenses, linedup, packing, quality, sharding, winnow
 from driftline.llm.common import table
+from driftline.workers import with_workers
 
 
 def op1_learned_partitions(spark, sf_dir):
@@ -63,7 +64,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 def queries():
-    return {
+    made = {
         "op1_learned_partitions": op1_learned_partitions,
         "op2_line_dedup": op2_line_dedup,
         "op3_importance_resampling": op3_importance_resampling,
@@ -76,6 +77,7 @@ def queries():
         "op10_license_scan": op10_license_scan,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: with_workers(f) for name, f in made.items()}
 
 
 def oracle_sql():
