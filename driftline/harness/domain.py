@@ -9,7 +9,7 @@ from driftline.functions import geo, stats
 from driftline.harness.base import DAY, H1, KM, M, N, hops, measurements, nations, one_per_ttl, table
 from driftline.harness.relational import _DAILY, _EDGES, _GAPS, _edges
 from driftline.operators import geometry, joins, paths
-from driftline.plans import mapping, publish, tomography, traces
+from driftline.plans import legacy, mapping, publish, tomography, traces
 
 Q = {}
 
@@ -302,6 +302,62 @@ def d36_contract(spark, d):
     return publish.contract_violations(c, table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("label")))
 
 
+@query("d22_source_metro", f"WITH {N}, e AS (SELECT c_custkey AS id, lon, lat, 'New-' || n_name || '-S-' || rk AS m FROM customer JOIN n ON nk = c_nationkey WHERE nk % 4 > 0) SELECT c_custkey AS id, m AS src_metro, 'New-' || substr(m, 5, length(m) - 8) AS src_metro_city FROM customer LEFT JOIN e ON e.id = c_custkey")
+def d22_source_metro(spark, d):
+    n = nations(spark, d)
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("nk")).join(n.select("nk", "lon", "lat"), "nk")
+    r = n.where("nk % 4 > 0").select("lon", "lat", F.concat(F.lit("New-"), "n_name", F.lit("-S-"), F.col("rk").cast("string")).alias("metro_id"))
+    return legacy.source_metro(e, r).select("id", "src_metro", "src_metro_city")
+
+
+@query("d38_legacy_loss", f"WITH {M} SELECT site, CAST(asn AS BIGINT) AS asn, CAST(quantile_cont(loss, 0.5) > 0.05 AS INT) AS flag FROM m GROUP BY ALL")
+def d38_legacy_loss(spark, d):
+    m = measurements(spark, d).groupBy("site", F.col("asn").cast("long").alias("asn")).agg(F.percentile("loss", F.lit(0.5)).alias("l"))
+    return m.select("site", "asn", legacy.legacy_loss_flag(F.col("l")).alias("flag"))
+
+
+@query("d38_legacy_best_node", f"WITH {H1}, p AS (SELECT id % 50 AS pair, ttl, node % 20 AS node FROM h1) SELECT pair, ttl, node FROM (SELECT pair, ttl, node, count(*) AS n FROM p GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY pair, ttl ORDER BY n DESC, node) = 1")
+def d38_legacy_best_node(spark, d):
+    return legacy.legacy_best_node(one_per_ttl(spark, d).select((F.col("id") % 50).alias("pair"), "ttl", (F.col("node") % 20).alias("node")))
+
+
+# --- sources and sinks ---
+
+
+@query("scan_nested", f"WITH {H1} SELECT id, sum(rtt) AS rtts, count(*) AS n FROM h1 GROUP BY 1")
+def scan_nested(spark, d):
+    """scan_scamper1/2 and scan_revtr: nested traces, only the fields asked for are kept."""
+    s = F.array_sort(F.collect_list(F.struct("ttl", "node", F.array(F.struct("rtt")).alias("replies"))))
+    nested = one_per_ttl(spark, d).groupBy("id").agg(s.alias("nodes"))
+    flat = nested.select("id", F.explode("nodes").alias("x")).select("id", F.explode("x.replies").alias("r"))
+    return flat.groupBy("id").agg(F.sum("r.rtt").alias("rtts"), F.count(F.lit(1)).alias("n"))
+
+
+@query("scan_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def scan_json(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k INT").getField("k").alias("k"))
+
+
+@query("sink_merge_update", "SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN n_name ELSE c_mktsegment END AS v FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def sink_merge_update(spark, d):
+    """WHEN MATCHED UPDATE as a left join keyed on the match."""
+    new = table(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("new"), F.lit(True).alias("hit"))
+    return table(spark, d, "customer").join(F.broadcast(new), "c_nationkey", "left").select("c_custkey", F.when(F.col("hit"), F.col("new")).otherwise(F.col("c_mktsegment")).alias("v"))
+
+
+@query("sink_first_writer_wins", f"WITH {M} SELECT DISTINCT ip, site FROM m WHERE day = DATE '{DAY}' AND (ip, site) NOT IN (SELECT (ip, site) FROM m WHERE day BETWEEN DATE '{DAY}' - 3 AND DATE '{DAY}' - 1)")
+def sink_first_writer_wins(spark, d):
+    m, day = measurements(spark, d), F.to_date(F.lit(DAY))
+    old = m.where(F.col("day").between(F.date_sub(day, 3), F.date_sub(day, 1))).select("ip", "site")
+    return m.where(F.col("day") == day).select("ip", "site").distinct().join(old, ["ip", "site"], "left_anti")
+
+
+@query("sink_update_provenance", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 4 > 0 THEN 'city' END, CASE WHEN c_acctbal <= 0 THEN 'metro' END) AS granularity FROM customer")
+def sink_update_provenance(spark, d):
+    g = F.when(F.col("c_custkey") % 4 > 0, "city")
+    return table(spark, d, "customer").select("c_custkey", F.when(g.isNull() & (F.col("c_acctbal") <= 0), "metro").otherwise(g).alias("granularity"))
+
+
 # --- geometry ---
 
 
