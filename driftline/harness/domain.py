@@ -321,6 +321,43 @@ def d38_legacy_best_node(spark, d):
     return legacy.legacy_best_node(one_per_ttl(spark, d).select((F.col("id") % 50).alias("pair"), "ttl", (F.col("node") % 20).alias("node")))
 
 
+_PREV = f"{_E2}, {_BAD}, z AS (SELECT CAST(pair AS VARCHAR) AS pair, count(DISTINCT CASE WHEN NOT bad THEN id END) AS healthy_n, count(DISTINCT CASE WHEN bad THEN id END) AS dayof_n FROM o GROUP BY 1), pp AS (SELECT CAST(pair AS VARCHAR) AS pair, edge, count(DISTINCT CASE WHEN NOT bad THEN id END) AS u, count(DISTINCT CASE WHEN bad THEN id END) AS d FROM ee JOIN o USING (id) GROUP BY ALL), pv AS (SELECT pair, edge, coalesce(u / nullif(healthy_n, 0), 0) AS prev_u, coalesce(d / nullif(dayof_n, 0), 0) AS prev_d, healthy_n, dayof_n FROM pp JOIN z USING (pair))"
+
+
+def _prevalence(spark, d):
+    return tomography.edge_prevalence(_pair_edges(spark, d), _pairs(spark, d).withColumnRenamed("bad", "dayof"))
+
+
+@query("udf_label_edges", f"WITH {_PREV} SELECT pair, edge, CASE WHEN prev_d - prev_u >= 0.02 THEN 'diverted' WHEN prev_d - prev_u <= -0.02 THEN 'abandoned' ELSE 'stable' END AS label FROM pv")
+def udf_label_edges(spark, d):
+    return _prevalence(spark, d).select("pair", "edge", stats.edge_label(F.col("prev_u"), F.col("prev_d"), 0.02).alias("label"))
+
+
+@query("udf_divergence", f"WITH {_PREV} SELECT pair, round(sum(greatest(0, prev_d - prev_u)), 6) AS divergence FROM pv GROUP BY 1")
+def udf_divergence(spark, d):
+    gain = F.greatest(F.lit(0.0), F.col("prev_d") - F.col("prev_u"))
+    return _prevalence(spark, d).groupBy("pair").agg(F.round(F.sum(gain), 6).alias("divergence"))
+
+
+@query("udf_classify", f"WITH {_PREV}, g AS (SELECT pair, sum(greatest(0, prev_d - prev_u)) AS div, max(healthy_n) AS h, max(dayof_n) AS n FROM pv GROUP BY 1) SELECT pair, CASE WHEN h < 5 OR n < 5 THEN 'indeterminate' WHEN div >= 0.3 THEN 'reroute' ELSE 'congestion_in_place' END AS verdict, CASE WHEN h >= 5 AND n >= 5 THEN CASE WHEN div >= 0.25 THEN 'forward' ELSE 'reverse' END END AS direction FROM g")
+def udf_classify(spark, d):
+    gain = F.sum(F.greatest(F.lit(0.0), F.col("prev_d") - F.col("prev_u")))
+    g = _prevalence(spark, d).groupBy("pair").agg(gain.alias("f"), F.max("healthy_n").alias("h"), F.max("dayof_n").alias("n"))
+    what, way = stats.verdict(F.col("f"), F.lit(0.25), F.col("h"), F.col("n"), 0.3)
+    return g.select("pair", what.alias("verdict"), way.alias("direction"))
+
+
+@query("udf_confidence_tier", f"WITH {M} SELECT id, CASE WHEN asn = 0 THEN 'path_local' WHEN loss <= 0.01 AND ip % 7 >= 3 AND rtt >= 2 THEN 'strong' ELSE 'weak' END AS tier FROM m")
+def udf_confidence_tier(spark, d):
+    return measurements(spark, d).select("id", stats.confidence_tier(F.col("asn") == 0, F.col("loss"), F.col("ip") % 7, F.col("rtt")).alias("tier"))
+
+
+@query("udf_flag_reason", f"WITH {M} SELECT id, CASE WHEN loss > 0.05 THEN 'loss rises' WHEN rtt > 50 THEN 'latency rises' END AS reason FROM m")
+def udf_flag_reason(spark, d):
+    flags = F.filter(F.array(F.when(F.col("rtt") > 50, "rtt"), F.when(F.col("loss") > 0.05, "loss")), lambda x: x.isNotNull())
+    return measurements(spark, d).select("id", stats.flag_reason(flags, [("loss", "loss rises"), ("rtt", "latency rises")]).alias("reason"))
+
+
 # --- sources and sinks ---
 
 
