@@ -53,7 +53,7 @@ def op8_byte_bpe(spark, sf_dir):
 
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     train = docs.where(~held)
     told = langid.predict_languages(train, docs.select("doc_id", "text"))
     return told.select("doc_id", held.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))

@@ -7,9 +7,10 @@ probability equal to their weighted Jaccard similarity. An element's darts arriv
 so only as many are made as fall under the rank that fills every coordinate: about
 ``size`` log ``size`` for a set, not ``size`` for an element.
 
-Bands of the sketch give candidate buckets. Inside a bucket no pairs are enumerated up front: its
-first members are compared with the others, exactly, on shingle sets; what is found similar becomes
-one class; a bucket is left once it holds one class only or all its members have been compared.
+Bands of the sketch give candidate buckets. Inside a bucket no pairs are enumerated up front: members
+are compared, exactly, on shingle sets, with their neighbours in a random order, what is found similar
+becomes one class, and members outside a bucket's largest class go on to farther neighbours. A bucket
+is left once it holds one class only or every pair of different classes has been compared.
 """
 
 from __future__ import annotations
@@ -147,6 +148,22 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.where(F.col("m") >= least * (F.col("t") - F.col("m"))).select("a", "b")
 
 
+def _possible(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The members of open buckets that can have a partner there, with ``s``, how many of their
+    shingles any other open member has.
+
+    A pair has at most s shingles in common, and its partner has at least as many as the bucket's
+    smallest member, so a member whose bound is under ``least`` is in no link and goes.
+    """
+    words = sets.join(members.select("rid").distinct(), "rid", "left_semi").select("rid", F.explode("shingles").alias("w"))
+    often = words.groupBy("w").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("w")
+    shared = words.join(often, "w").groupBy("rid").agg(F.count(F.lit(1)).alias("s"))
+    smallest = members.groupBy("key").agg(F.min("n").alias("t"))
+    met = members.join(shared, "rid").join(smallest, "key")
+    other = F.greatest(F.col("t"), F.ceil(F.col("n") * least), F.col("s"))
+    return met.where(F.col("s") >= least * (F.col("n") + other - F.col("s"))).drop("t")
+
+
 def _classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     made = signatures(docs, words, bands, rows, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
     made = cut(made)
@@ -160,36 +177,39 @@ def _classes(docs: DataFrame, words: int, similarity: float, bands: int, rows: i
     total = members.count()
     members = cut(spread_rank(members, ["key"], ["rid"], "pos", max(1, min(4096, total // 200_000))))
     sets = cut(made.select("rid", "shingles").join(members.select("rid").distinct(), "rid", "left_semi")) if total else made.select("rid", "shingles")
-    labels = tested = None
-    first, last, open_ = 0, 1, members
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    # members of a bucket at distances low .. high - 1 are compared, then farther ones, in growing steps
+    low, high, labels, tested = 1, 2, None, None
+    open_ = members.join(size, "key").withColumns({"comp": F.col("rid"), "minor": F.lit(True), "s": F.col("n")})
     while total:
-        lead = open_ if last is None else open_.where(F.col("pos").between(first, last - 1))
-        cols = ["key", "rid", "n", "pos"] + (["comp"] if labels is not None else [])
-        x = lead.select(*[F.col(c).alias(c if c == "key" else f"l_{c}") for c in cols])
-        met = open_.join(x, "key").where(F.col("pos") > F.col("l_pos"))
-        met = met.where(F.least("n", "l_n") >= similarity * F.greatest("n", "l_n"))
-        if labels is not None:
-            met = met.where("comp <> l_comp")
-        pairs = met.select(F.least("rid", "l_rid").alias("a"), F.greatest("rid", "l_rid").alias("b")).distinct()
+        pos, m, empty = F.col("pos"), F.col("m"), F.array().cast("array<bigint>")
+        span = lambda x, y: F.when(x <= y, F.sequence(x, F.greatest(x, y))).otherwise(empty)
+        right = span(pos + low, F.least(m - 1, pos + high - 1))
+        left = span(F.greatest(F.lit(0).cast("long"), pos - high + 1), pos - low)
+        near = right if labels is None else F.concat(left, right)
+        x = open_.where("minor").select("key", F.col("rid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"), F.col("s").alias("xs"), F.explode(near).alias("pos"))
+        met = x.join(open_.select("key", "pos", "rid", "n", "comp", "s"), ["key", "pos"]).where("comp <> xc")
+        met = met.where(F.least("n", "xn") >= similarity * F.greatest("n", "xn"))
+        if labels is not None:  # no more can be common than the less that either shares with anyone
+            common = F.least("s", "xs")
+            met = met.where(common >= similarity * (F.col("n") + F.col("xn") - common))
+        pairs = met.select(F.least("rid", "x").alias("a"), F.greatest("rid", "x").alias("b")).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         new = _similar(pairs, sets, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
         if labels is not None:  # the classes so far, as stars
             new = new.unionByName(labels.select(F.col("v").alias("u"), F.col("root").alias("v")))
         labels = components(new)
-        if last is None:
-            break
         tested = pairs if tested is None else cut(tested.unionByName(pairs).distinct())
-        comp = members.where(F.col("pos") >= last).join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("root", "rid")).drop("root")
-        # pairs of members of different classes, by bucket
-        sizes = comp.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("cross"))
-        rest = cut(sizes.where("cross > 0"))
-        cross = rest.agg(F.sum("cross")).first()[0] or 0
-        if not cross:
-            break
-        open_ = cut(comp.join(rest.select("key"), "key"))
-        first, last = last, last + 4 * (last - first)
-        if cross <= 4 * total:  # no more than a few for each row: all at once
-            last = None
+        comp = members.join(labels.withColumnRenamed("v", "rid"), "rid", "left").select("key", "rid", "n", "pos", F.coalesce("root", "rid").alias("comp"))
+        # a bucket is open while it holds several classes and pairs farther apart; all but its most
+        # frequent class look for partners
+        classes = comp.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        state = classes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp"))["comp"].alias("most"))
+        state = cut(state.where("k > 1").join(size.where(F.col("m") > high), "key"))
+        open_ = cut(comp.join(state, "key").withColumn("minor", F.col("comp") != F.col("most")).drop("most", "k"))
+        open_ = cut(_possible(open_, sets, similarity))
+        total = open_.count()
+        low, high = high, high + 15 * (high - low)
     rep = light.join(same, ["c1", "c2"], "left").select("rid", "doc_id", "h", "n", F.coalesce("rep", "rid").alias("rep"))
     if labels is not None:
         rep = rep.join(labels.select(F.col("v").alias("rep"), "root"), "rep", "left").withColumn("rep", F.coalesce("root", "rep"))

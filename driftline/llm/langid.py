@@ -82,7 +82,16 @@ class Scorer:
         self.table = np.vstack([self.table, found])
         self.rows.update(zip(new, range(at, at + len(new))))
 
-    def batch(self, texts) -> tuple[list[str], list[float]]:
+    def batch(self, texts, at_once: int = 128) -> tuple[list[str], list[float]]:
+        """Best language and its share of each text, a bounded number of texts at once."""
+        langs, scores = [], []
+        texts = list(texts)
+        for i in range(0, len(texts), at_once):
+            for to, got in zip((langs, scores), self._some(texts[i : i + at_once])):
+                to += got
+        return langs, scores
+
+    def _some(self, texts: list) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         words = [LETTERS.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
         if not self.model.langs:

@@ -136,7 +136,8 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
             F.xxhash64(s).alias("a"), F.xxhash64(F.lit(7), s).alias("b"),
         )
     )
-    often = ids.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    # cut, so that the join deals its rows by itself and a very common line can be split over tasks
+    often = cut(ids.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"))
     shared = ids.join(often, ["a", "b"]).dropDuplicates(["doc_id", "h", "line"])
     doc = W.partitionBy("doc_id", "h").orderBy("line")
     shared = shared.withColumn("seg", F.col("line") - F.row_number().over(doc))
