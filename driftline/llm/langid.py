@@ -46,12 +46,20 @@ class WordBackoff:
                 grams, matrix = list(seen), np.array(list(seen.values()))
                 logs = np.log((matrix + 0.5) / (matrix.sum(axis=0) + 0.5 * len(grams)))
                 self.grams[n] = dict(zip(grams, logs))
+                if n == 3:
+                    self.never = np.log(0.5 / (matrix.sum(axis=0) + 0.5 * len(grams)))
 
     @staticmethod
     def _cut(word: str, n: int) -> list[str]:
         padded = f"^{word}$"
         return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
+    def fit(self, word: str) -> np.ndarray:
+        """Sum over the word's trigrams of their log frequencies; trigrams never seen count as half an
+        occurrence. A word has as many trigrams as letters."""
+        seen = self.grams.get(3, {})
+        return np.sum([seen.get(g, self.never) for g in self._cut(word, 3)], axis=0)
+
     def unseen(self, word: str) -> np.ndarray | None:
         """Mean log frequency of the longest n-grams of the word that are known at all."""
         for n in range(min(self.longest, len(word) + 2), 0, -1):
@@ -115,23 +123,55 @@ class Scorer:
         return langs, scores
 
 
+class Fitter:
+    """How well whole texts fit one language of a model, whatever the others say; remembers words
+    within a bound."""
+
+    def __init__(self, model: WordBackoff, remember: int = 200_000):
+        self.model, self.remember, self.fits = model, remember, {}
+        self.at = {lang: j for j, lang in enumerate(model.langs)}
+
+    def one(self, text, lang: str, usual: float = 0.0, prior: int = 0) -> float | None:
+        """Mean log frequency of the text's trigrams in ``lang``, with ``prior`` more of the ``usual``
+        fit; None without a letter or for a language that the model does not know."""
+        words = LETTERS.findall(text.lower()) if isinstance(text, str) else []
+        if not words or lang not in self.at:
+            return None
+        if len(self.fits) > self.remember:
+            self.fits.clear()
+        j, total, letters = self.at[lang], usual * prior, prior
+        for w in words:
+            if (v := self.fits.get(w)) is None:
+                v = self.fits[w] = self.model.fit(w)
+            total += v[j]
+            letters += len(w)
+        return float(total / letters)
+
+
 #: The scorer of a Python worker, by model.
 _scorers: dict[str, Scorer] = {}
+_fitters: dict[str, Fitter] = {}
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, max_words: int = 30_000, longest: int = 4) -> WordBackoff:
-    """Fit on a bounded sample: about ``max_docs`` distinct whole texts a language, those of the least
-    hash, and its ``max_words`` most frequent words (ties: the lesser word). Rows without text or language are
-    not used; with no usable row the model knows no language."""
+def _sample(docs: DataFrame, text_col: str, lang_col: str, max_docs: int) -> tuple[dict[str, int], DataFrame | None]:
+    """Distinct texts a language, about, and the rows (l, t) of about ``max_docs`` of them each."""
     keyed = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
     have = {r["l"]: r["n"] for r in keyed.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n")).collect()}
     if not have:
-        return WordBackoff({}, longest)
+        return {}, None
     # the texts of least hash, by the share of a language's texts that max_docs is
     most = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, min(1.0, max_docs / max(1, n)))])
     place = F.shiftrightunsigned(F.xxhash64("t"), 11).cast("double") / float(2**53)
-    sample = keyed.where(place < F.element_at(most, F.col("l"))).dropDuplicates(["l", "t"])
+    return have, keyed.where(place < F.element_at(most, F.col("l"))).dropDuplicates(["l", "t"])
+
 
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, max_words: int = 30_000, longest: int = 4) -> WordBackoff:
+    """Fit on a bounded sample: about ``max_docs`` distinct whole texts a language, those of the least
+    hash, and its ``max_words`` most frequent words (ties: the lesser word). Rows without text or language are
+    not used; with no usable row the model knows no language."""
+    have, sample = _sample(docs, text_col, lang_col, max_docs)
+    if not have:
+        return WordBackoff({}, longest)
     def count(batches):
         tally: Counter = Counter()
         for pdf in batches:
@@ -175,3 +215,46 @@ def predict_languages(train: DataFrame, docs: DataFrame, text_col: str = "text",
     predict = predictor(docs.sparkSession, fit(train, text_col=text_col, **params))
     told = docs.withColumn("__p", predict(F.col(text_col)))
     return told.withColumn("__lang", F.col("__p.lang")).withColumn("__score", F.col("__p.score")).drop("__p")
+
+
+def _fitter(key: str, shared) -> Fitter:
+    if key not in _fitters:
+        _fitters.clear()
+        _fitters[key] = Fitter(shared.value)
+    return _fitters[key]
+
+
+def usual_fits(docs: DataFrame, model: WordBackoff, text_col: str = "text", lang_col: str = "lang", max_docs: int = 1000, least_slack: float = 3.0) -> dict[str, tuple[float, float]]:
+    """Per language the median fit of labelled texts (about ``max_docs`` a language) and the cut under
+    which a text is not in it: twenty times as far below the median as the lower quartile is, and
+    ``least_slack`` at least; so a few wrongly labelled texts do not move it."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
+    have, sample = _sample(docs, text_col, lang_col, max_docs)
+    if not have:
+        return {}
+
+    @F.pandas_udf("double")
+    def own(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        fitter = _fitter(key, shared)
+        return pd.Series([fitter.one(t, lang) for t, lang in zip(texts, langs)], dtype="float64")
+
+    told = sample.select("l", own("t", "l").alias("f")).where("f is not null and not isnan(f)")
+    rows = told.groupBy("l").agg(F.percentile("f", F.lit(0.5)).alias("mid"), F.percentile("f", F.lit(0.25)).alias("low")).collect()
+    return {r["l"]: (r["mid"], r["mid"] - max(least_slack, 20 * (r["mid"] - r["low"]))) for r in rows}
+
+
+def fits_language(spark, model: WordBackoff, usual: dict[str, tuple[float, float]], prior: int = 10):
+    """A column function of text and language: whether the text's fit reaches the language's cut. Short
+    texts are drawn to the median by ``prior`` trigrams."""
+    shared, key = spark.sparkContext.broadcast(model), uuid4().hex
+
+    @F.pandas_udf("boolean")
+    def fits(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        fitter, told = _fitter(key, shared), []
+        for text, lang in zip(texts, langs):
+            mid, cut = usual.get(lang, (0.0, float("inf")))
+            got = fitter.one(text, lang, mid, prior)
+            told.append(got is not None and got >= cut)
+        return pd.Series(told, dtype=bool)
+
+    return fits

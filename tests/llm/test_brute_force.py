@@ -368,6 +368,28 @@ def test_pipeline_stages(spark, tmp_path):
         docs = out
 
 
+FOREIGN = {
+    "Italian": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura. Il governo ha annunciato oggi nuove misure per sostenere le famiglie e le imprese.",
+    "Polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Wczoraj wieczorem padał deszcz, więc zostaliśmy w domu.",
+    "Finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Eilen illalla satoi vettä, joten jäimme kotiin.",
+    "Dutch": "Alle mensen worden vrij en gelijk in waardigheid en rechten geboren. Gisteravond regende het, dus bleven we thuis en keken we naar een oude film.",
+    "code": "parser = argparse.ArgumentParser(); args = parser.parse_args(argv); for idx, row in enumerate(csv.reader(open(args.path))): logger.debug(row)",
+    "base64": "TG9yZW0gaXBzdW0gZG9sb3Igc2l0IGFtZXQ gY29uc2VjdGV0dXIgYWRpcGlzY2luZyBlbGl0 c2VkIGRvIGVpdXNtb2QgdGVtcG9y",
+    "mashing": "asdkfj qwoeiu zxmcnv aslkdjf qpwoei zmxnb alskd fjgh qwpoeir zxcvmn lkjasd poiuqw mnbzxc",
+}
+
+
+def test_pipeline_language_rejects_foreign_and_gibberish(spark):
+    rnd = random.Random(3)
+    planted = list(FOREIGN.values()) + [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 10))) for _ in range(30)) for _ in range(50)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    # labelled, so that the model learns from them too
+    more = spark.createDataFrame([(-1 - i, t, ("en", "es", "de", "fr")[i % 4], "planted", len(t)) for i, t in enumerate(planted)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(more), SF).select("doc_id").collect()}
+    assert not {i for i in kept if i < 0}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
 def _without_repeats(texts, words):
     """Every line run of enough words, at every place: later copies of a run seen before go."""
     seen, gone = {}, defaultdict(set)
