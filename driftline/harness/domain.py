@@ -238,13 +238,19 @@ def d32_public_groups(spark, d):
 
 
 @query("d32_resolved", "WITH c AS (SELECT o_custkey % 50 AS pair, min(o_orderkey % 30) AS f, min(o_orderkey % 25) AS t FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), g AS (SELECT DISTINCT c_custkey % 50 AS pair FROM customer) SELECT pair, a.n_name || '>' || b.n_name AS edge FROM g JOIN c USING (pair) JOIN nation a ON a.n_nationkey = f JOIN nation b ON b.n_nationkey = t UNION ALL SELECT pair, 'unresolved' FROM g WHERE pair NOT IN (SELECT pair FROM c)")
-def d32_resolved(spark, d):
-    c = table(spark, d, "orders").where("o_custkey % 3 = 0").groupBy((F.col("o_custkey") % 50).alias("pair")).agg(F.min(F.col("o_orderkey") % 30).alias("from_asn"), F.min(F.col("o_orderkey") % 25).alias("to_asn"))
-    g = table(spark, d, "customer").select((F.col("c_custkey") % 50).alias("pair")).distinct()
+def d32_resolved(spark, d, those="o_custkey % 3 = 0", pairs=50):
+    c = table(spark, d, "orders").where(those).groupBy((F.col("o_custkey") % 50).alias("pair")).agg(F.min(F.col("o_orderkey") % 30).alias("from_asn"), F.min(F.col("o_orderkey") % 25).alias("to_asn"))
+    g = table(spark, d, "customer").select((F.col("c_custkey") % pairs).alias("pair")).distinct()
     yes, no = publish.resolved(g, c, ["pair"], table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("asn"), F.col("n_name").alias("name")))
     return yes.select("pair", F.concat("from_name", F.lit(">"), "to_name").alias("edge")).unionByName(no.select("pair", F.lit("unresolved").alias("edge")))
 
 
+@query("d32_resolved_whole", "WITH c AS (SELECT o_custkey % 50 AS pair, min(o_orderkey % 30) AS f, min(o_orderkey % 25) AS t FROM orders GROUP BY 1), g AS (SELECT DISTINCT c_custkey % 60 AS pair FROM customer) SELECT pair, a.n_name || '>' || b.n_name AS edge FROM g JOIN c USING (pair) JOIN nation a ON a.n_nationkey = f JOIN nation b ON b.n_nationkey = t UNION ALL SELECT pair, 'unresolved' FROM g WHERE pair NOT IN (SELECT pair FROM c)")
+def d32_resolved_whole(spark, d):
+    """Pairs 50 to 59 have no order and stay unresolved."""
+    return d32_resolved(spark, d, "true", 60)
+
+
 @query("d32_source_override", f"WITH {M}, e AS (SELECT ip, site, max(loss) > 0.05 AS bad FROM m GROUP BY ALL), s AS (SELECT ip, count(*) >= 2 AND count(*) FILTER (bad) >= 0.75 * count(*) AS src FROM e GROUP BY 1) SELECT ip, site, CASE WHEN src THEN 'source' ELSE 'path' END AS location FROM e JOIN s USING (ip)")
 def d32_source_override(spark, d):
     e = measurements(spark, d).groupBy("ip", "site").agg((F.max("loss") > 0.05).alias("bad")).withColumn("location", F.lit("path"))
