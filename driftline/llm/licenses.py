@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,19 @@ KNOWN = [
 ]
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """The licences of ``license_texts`` (a file each, named by its id), whole and without what follows
+    the terms."""
+    out = []
+    for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = f.read_text(encoding="utf-8")
+        out.append((f.stem, text))
+        terms, end, more = text.partition("END OF TERMS AND CONDITIONS")
+        if more.strip():
+            out += [(f.stem, terms + end), (f.stem, terms)]
+    return out
+
+
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, words only, one spelling, joined by single blanks."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), NOTICE, " "), RESERVED, " ")
@@ -72,14 +87,15 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, canonical_sha256 and license_id (null: no known licence) of every row.
 
     The entire text must be the licence, up to case, punctuation, copyright lines and spelling. Null
     texts have a null digest and no licence; empty texts have the digest of nothing. ``known`` has a
-    row for each wording and is broadcast only while it is short; two licences of one wording give the
+    row for each wording (``KNOWN`` and ``full_texts()`` if not given) and is broadcast only while it is short; two licences of one wording give the
     lesser id. Repeated rows repeat; an empty table gives no rows.
     """
+    known = KNOWN + full_texts() if known is None else known
     listed = constants(docs.sparkSession, known, "license_id string, wording string")
     listed = listed.groupBy(digest(F.col("wording")).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
     if len(known) <= 10_000:
@@ -89,7 +105,7 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col:
 
 
 def oracle() -> str:
-    """The same scan in DuckDB SQL."""
+    """The scan for the wordings of ``KNOWN`` in DuckDB SQL; the whole licences of ``full_texts()`` are not in it."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     canon = "regexp_replace(regexp_replace(lower(t), {n}, ' ', 'g'), {r}, ' ', 'g')".format(n=q(NOTICE), r=q(RESERVED))
     canon = f"trim(regexp_replace(regexp_replace({canon}, '(\\p{{L}})-(\\p{{L}})', '\\1\\2', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"

@@ -92,3 +92,12 @@ def test_line_runs(spark):
     d = spark.createDataFrame([(1, f"{run}\nown one"), (2, f"own two\n{run}\nown three"), (3, "first line of some words\nother"), (4, f"{run}\n{run}")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linedup.delete_later_copies(d, 8).collect()}
     assert got == {1: f"{run}\nown one", 2: "own two\nown three", 3: "first line of some words\nother", 4: ""}
+
+
+def test_whole_licences(spark):
+    texts = dict(licenses.full_texts()[::-1])
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Unlicense", "BSL-1.0", "Zlib"} <= set(texts)
+    names = sorted(texts)
+    rows = [(i, texts[n].upper(), None) for i, n in enumerate(names)] + [(100, "Own words.\n" + texts["GPL-3.0"], None)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    assert got == {**dict(enumerate(names)), 100: None}
