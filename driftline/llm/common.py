@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
+from pyarrow.compute import binary_length
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,17 +16,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session's ``spark.checkpoint.dir`` names; one of our own only where it names
-    none (tests on one machine)."""
+    """The folder that the session's ``spark.checkpoint.dir`` names. Where it names none, a folder of
+    our own on a single machine, and an error on a cluster, whose executors could not see it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="driftline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What this worker process keeps between batches and tasks: of one operator at a time.
+_held: dict = {}
+
+
+def held(key, make):
+    """``make()``, kept in the worker under ``key``; what another operator kept there goes first, so the
+    memory of a worker is that of one operator however many stages it serves."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
+def by_bytes(batches, column: int, most: int = 4 << 20):
+    """The Arrow batches in slices whose values of ``column`` have about ``most`` bytes at most (one row
+    at least), so that what is made of a slice is bounded whatever the texts' lengths."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        size, start = 0, 0
+        for i, n in enumerate(binary_length(batch.column(column)).to_pylist()):
+            if size and size + (n or 0) > most:
+                yield batch.slice(start, i - start)
+                size, start = 0, i
+            size += n or 0
+        yield batch.slice(start)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; ends the lineage."""
     shared_dir(df.sparkSession)

@@ -193,7 +193,8 @@ def _near_classes(texts):
     sets = {}
     for i, t in texts.items():
         w = t.lower().split()
-        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+        times = Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter()
+        sets[i] = {(x, k) for x, n in times.items() for k in range(n)}  # a shingle weighs as often as it occurs
     inverse, shared, parent = defaultdict(list), Counter(), {i: i for i in texts}
 
     def find(x):
@@ -218,6 +219,31 @@ def test_op6_classes(spark, texts):
     assert got == _near_classes(texts)
 
 
+def test_op6_large_groups_of_near_copies(spark):
+    """Copies with few and with many edits, few of which are near enough to their base."""
+    rnd = random.Random(8)
+    texts = {}
+    for g in range(2):
+        base = [f"w{rnd.randrange(4000)}" for _ in range(rnd.choice((70, 90)))]
+        for i in range(300):
+            t = list(base)
+            for _ in range(rnd.choice((0, 1, 2, 3, 4, 6, 9))):
+                at = rnd.randrange(len(t))
+                t[at : at + rnd.choice((0, 1, 1, 1))] = [f"e{rnd.randrange(4)}"]
+            texts[1000 * g + i] = " ".join(t)
+    texts |= {5000 + i: "again and again the same " * i + "end" for i in range(1, 30)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicate_classes(d, bands=80, rows=3).collect()}
+    want = _near_classes(texts)
+    assert len(set(want.values())) > 50 and got == want
+
+
+def test_op6_null_ids_tell_classes_apart(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    got = dartminhash.near_duplicate_classes(spark.createDataFrame([(None, a), (None, a), (None, b), (None, b)], "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in got} == {None} and len({r["class_hash"] for r in got}) == 2 and {r["class_size"] for r in got} == {2}
+
+
 def test_op6_sketches_estimate_weighted_similarity():
     r = np.random.default_rng(4)
     e = r.integers(0, 2**63, 60).astype(np.uint64)
