@@ -49,6 +49,16 @@ def held(key, make):
     return _held[key]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and 4 MB from here on, where the session has Spark's own
+    settings (10,000 rows): a worker holds a batch and what is made of it."""
+    for key, usual, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", None, "4m")):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is not None and (usual is None or now == usual):
+            spark.conf.set(name, own)
+
+
 def by_bytes(batches, column: int, most: int = 4 << 20):
     """The Arrow batches in slices whose values of ``column`` have about ``most`` bytes at most (one row
     at least), so that what is made of a slice is bounded whatever the texts' lengths."""

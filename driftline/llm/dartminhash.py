@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import broadcast_if_small, by_bytes, cut, held
+from driftline.llm.common import broadcast_if_small, by_bytes, cut, held, small_batches
 from driftline.llm.components import components
 
 #: Rows of ids (8 or 16 bytes each) up to which a join may broadcast them.
@@ -154,6 +154,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str,
                 names=["doc_id", "h", "n", "c1", "c2", "bands", "shingles"],
             )
 
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     kind = plain.schema["doc_id"].dataType.simpleString()
     return plain.mapInArrow(sign, f"doc_id {kind}, h long, n long, c1 long, c2 long, bands array<long>, shingles array<int>")
@@ -205,7 +206,8 @@ def _roots(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     (key, rid, n, m), m the bucket's size."""
     company = members.groupBy("rid").agg(F.sum("m").alias("company"))
     best = F.max_by(F.struct("rid", "n"), F.struct("company", -F.col("rid"))).alias("hub")
-    hubs = members.join(company, "rid").groupBy("key").agg(best).select("key", F.col("hub.rid").alias("hub"), F.col("hub.n").alias("hub_n"))
+    # cut, so that Spark can split a large bucket in the join that follows
+    hubs = cut(members.join(company, "rid").groupBy("key").agg(best).select("key", F.col("hub.rid").alias("hub"), F.col("hub.n").alias("hub_n")))
     met = cut(members.join(hubs, "key").where(F.col("rid") != F.col("hub")))
     near = F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n")
     pairs = met.where(near).select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct()
