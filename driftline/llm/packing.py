@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut, spread_rank
+from driftline.llm.common import by_bytes, cut, held, small_batches, spread_rank
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -98,29 +98,31 @@ class WordTokens(dict):
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks.
     """
 
-    def __init__(self, spec: str, remember: int = 500_000):
+    def __init__(self, spec: str, remember: int = 100_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.remember = self.tokenizer.model, remember
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Strings that stand for tokens of their own; chunks that hold one go to the tokenizer.
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         byte = byte_characters()
         self.written = {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
         self.words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk):
+        if PLAIN.fullmatch(chunk) and not ("|" in chunk and self.special(chunk)):
             ids = b"".join([self.words.get(w) or self._word(w) for w in SPLIT.findall(chunk.lower())])
         else:
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= 64:
+        if len(chunk) <= 48:
             self[chunk] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.translate(self.written))])
-        if len(word) <= 64:
+        if len(word) <= 48:
             self.words[word] = ids
         return ids
 
@@ -131,22 +133,17 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_tokenizers: dict[int, WordTokens] = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids cut every ``capacity`` ids."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     shared, key = docs.sparkSession.sparkContext.broadcast(spec), zlib.crc32(spec.encode())
     end = end_id.to_bytes(4, "little")
+    small_batches(docs.sparkSession)
 
     def cut_up(batches):
-        if key not in _tokenizers:
-            _tokenizers.clear()
-            _tokenizers[key] = WordTokens(shared.value)
-        words = _tokenizers[key]
-        for batch in batches:
+        words = held(("words", key), lambda: WordTokens(shared.value))
+        for batch in by_bytes(batches, 1):
             of, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 ids = words.ids(text.as_py() or "") + end
@@ -170,8 +167,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
 
     Documents are cut at multiples of ``capacity``; the lengths of the pieces form a histogram of at
     most ``capacity`` rows, which the driver packs; patterns are joined back by each piece's rank among
-    the pieces of its length. Null and empty texts are the end token alone; repeated rows are packed
-    each; an empty table gives no rows; other columns are not read.
+    the pieces of its length. Whole texts are tokenised, however long; the tokenizer's special strings
+    in a text are its special tokens. Null and empty texts are the end token alone; repeated rows are
+    packed each; pieces of equal length change places only among themselves (order: doc_id, start,
+    checksum); an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
