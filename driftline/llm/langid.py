@@ -5,21 +5,26 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+from driftline.llm.common import held, small_batches
+
+#: Characters that count as word characters though they are neither letters nor decimal digits (fractions,
+#: superscripts, circled and Roman numerals).
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 UNDETERMINED = "und"
 
 
 class WordBackoff:
-    """Tables of one fitted model; bounded by ``max_words`` words a language."""
+    """Tables of one fitted model; bounded by the texts it was fitted on."""
 
     def __init__(self, counts: dict[str, dict[str, int]], longest: int = 4):
         self.langs = sorted(counts)
@@ -28,26 +33,29 @@ class WordBackoff:
         vocabulary = sorted({w for c in counts.values() for w in c})
         self.rows = {w: i for i, w in enumerate(vocabulary)}
         self.table = np.zeros((len(vocabulary), size), dtype=np.float64)
-        self.grams: dict[int, dict[str, np.ndarray]] = {}
+        #: Per length the row of an n-gram, and the table of log frequencies.
+        self.grams: dict[int, tuple[dict[str, int], np.ndarray]] = {}
         for j, lang in enumerate(self.langs):
             total = sum(counts[lang].values()) + 0.5 * len(vocabulary)
             self.table[:, j] = math.log(0.5 / total)
             for w, n in counts[lang].items():
                 self.table[self.rows[w], j] = math.log((n + 0.5) / total)
         for n in range(1, longest + 1):
-            seen: dict[str, np.ndarray] = {}
+            at: dict[str, int] = {}
+            of, to, times = [], [], []
             for j, lang in enumerate(self.langs):
                 for w, c in counts[lang].items():
                     for g in self._cut(w, n):
-                        if g not in seen:
-                            seen[g] = np.zeros(size)
-                        seen[g][j] += c
-            if seen:
-                grams, matrix = list(seen), np.array(list(seen.values()))
-                logs = np.log((matrix + 0.5) / (matrix.sum(axis=0) + 0.5 * len(grams)))
-                self.grams[n] = dict(zip(grams, logs))
+                        of.append(at.setdefault(g, len(at)))
+                        to.append(j)
+                        times.append(c)
+            if at:
+                matrix = np.zeros((len(at), size))
+                np.add.at(matrix, (of, to), times)
+                whole = matrix.sum(axis=0) + 0.5 * len(at)
+                self.grams[n] = at, np.log((matrix + 0.5) / whole)
                 if n == 3:
-                    self.never = np.log(0.5 / (matrix.sum(axis=0) + 0.5 * len(grams)))
+                    self.never = np.log(0.5 / whole)
 
     @staticmethod
     def _cut(word: str, n: int) -> list[str]:
@@ -57,38 +65,37 @@ class WordBackoff:
     def fit(self, word: str) -> np.ndarray:
         """Sum over the word's trigrams of their log frequencies; trigrams never seen count as half an
         occurrence. A word has as many trigrams as letters."""
-        seen = self.grams.get(3, {})
-        return np.sum([seen.get(g, self.never) for g in self._cut(word, 3)], axis=0)
+        at, table = self.grams.get(3, ({}, None))
+        return np.sum([table[i] if (i := at.get(g)) is not None else self.never for g in self._cut(word, 3)], axis=0)
 
     def unseen(self, word: str) -> np.ndarray | None:
         """Mean log frequency of the longest n-grams of the word that are known at all."""
         for n in range(min(self.longest, len(word) + 2), 0, -1):
-            known = [v for g in self._cut(word, n) if (v := self.grams.get(n, {}).get(g)) is not None]
+            at, table = self.grams.get(n, ({}, None))
+            known = [i for g in self._cut(word, n) if (i := at.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return table[known].mean(axis=0)
         return None
 
 
 class Scorer:
     """Applies a model to whole texts; remembers unseen words within a bound."""
 
-    def __init__(self, model: WordBackoff, remember: int = 200_000):
+    def __init__(self, model: WordBackoff, remember: int = 50_000):
         self.model, self.remember = model, remember
         self.reset()
 
     def reset(self) -> None:
-        self.rows, self.extra = dict(self.model.rows), []
-        self.table = self.model.table
+        """Forgets the unseen words; their rows follow those of the model's table."""
+        self.rows, self.used = dict(self.model.rows), len(self.model.table)
+        self.table = np.vstack([self.model.table, np.zeros((self.remember, len(self.model.langs)))])
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.rows) > len(self.model.rows) + self.remember:
-            self.reset()
-        blank = np.zeros(len(self.model.langs))
-        new = list(dict.fromkeys(words))
-        at = len(self.table)
-        found = [x if (x := self.model.unseen(w)) is not None else blank for w in new]
-        self.table = np.vstack([self.table, found])
-        self.rows.update(zip(new, range(at, at + len(new))))
+    def _learn(self, words: set[str]) -> None:
+        for w in words:
+            known = self.model.unseen(w)
+            self.table[self.used] = 0.0 if known is None else known
+            self.rows[w] = self.used
+            self.used += 1
 
     def batch(self, texts, at_once: int = 128) -> tuple[list[str], list[float]]:
         """Best language and its share of each text, a bounded number of texts at once."""
@@ -104,11 +111,13 @@ class Scorer:
         words = [LETTERS.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
         if not self.model.langs:
             return [UNDETERMINED] * len(words), [0.0] * len(words)
-        if missing := [w for ws in words for w in ws if w not in self.rows]:
-            self._learn(missing)
-            # a reset inside _learn forgets words of this batch that were remembered before
-            if again := [w for ws in words for w in ws if w not in self.rows]:
-                self._learn(again)
+        missing = {w for ws in words for w in ws if w not in self.rows}
+        if self.used + len(missing) > len(self.table):
+            self.reset()
+            missing = {w for ws in words for w in ws if w not in self.rows}
+            if self.used + len(missing) > len(self.table):  # these texts alone have more; the rows go with the next reset
+                self.table = np.vstack([self.table, np.zeros((len(missing), len(self.model.langs)))])
+        self._learn(missing)
         get = self.rows.__getitem__
         for ws in words:
             if not ws:
@@ -127,7 +136,7 @@ class Fitter:
     """How well whole texts fit one language of a model, whatever the others say; remembers words
     within a bound."""
 
-    def __init__(self, model: WordBackoff, remember: int = 200_000):
+    def __init__(self, model: WordBackoff, remember: int = 100_000):
         self.model, self.remember, self.fits = model, remember, {}
         self.at = {lang: j for j, lang in enumerate(model.langs)}
 
@@ -148,11 +157,6 @@ class Fitter:
         return float(total / letters)
 
 
-#: The scorer of a Python worker, by model.
-_scorers: dict[str, Scorer] = {}
-_fitters: dict[str, Fitter] = {}
-
-
 def _sample(docs: DataFrame, text_col: str, lang_col: str, max_docs: int) -> tuple[dict[str, int], DataFrame | None]:
     """Distinct texts a language, about, and the rows (l, t) of about ``max_docs`` of them each."""
     keyed = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
@@ -165,28 +169,29 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, max_docs: int) -> tup
     return have, keyed.where(place < F.element_at(most, F.col("l"))).dropDuplicates(["l", "t"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, max_words: int = 30_000, longest: int = 4) -> WordBackoff:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 2000, longest: int = 4) -> WordBackoff:
     """Fit on a bounded sample: about ``max_docs`` distinct whole texts a language, those of the least
-    hash, and its ``max_words`` most frequent words (ties: the lesser word). Rows without text or language are
-    not used; with no usable row the model knows no language."""
+    hash, with all their words. Rows without text or language are not used; with no usable row the model
+    knows no language."""
+    small_batches(docs.sparkSession)
     have, sample = _sample(docs, text_col, lang_col, max_docs)
     if not have:
         return WordBackoff({}, longest)
+
     def count(batches):
         tally: Counter = Counter()
         for pdf in batches:
             for lang, text in zip(pdf["l"], pdf["t"]):
                 tally.update((lang, w) for w in LETTERS.findall(text.lower()))
-            if len(tally) > 300_000:
+            if len(tally) > 100_000:
                 yield pd.DataFrame([(a, b, n) for (a, b), n in tally.items()], columns=["l", "w", "n"])
                 tally.clear()
         if tally:
             yield pd.DataFrame([(a, b, n) for (a, b), n in tally.items()], columns=["l", "w", "n"])
 
     words = sample.mapInPandas(count, "l string, w string, n long").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    top = words.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= max_words)
     counts: dict[str, dict[str, int]] = {lang: {} for lang in have}
-    for r in top.select("l", "w", "n").toLocalIterator():
+    for r in words.toLocalIterator():  # the words of the sample
         counts[r["l"]][r["w"]] = r["n"]
     return WordBackoff({k: v for k, v in counts.items() if v}, longest)
 
@@ -197,10 +202,7 @@ def predictor(spark, model: WordBackoff):
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        langs, scores = _scorers[key].batch(texts)
+        langs, scores = held(("scorer", key), lambda: Scorer(shared.value)).batch(texts)
         return pd.DataFrame({"lang": langs, "score": scores})
 
     return predict
@@ -209,21 +211,16 @@ def predictor(spark, model: WordBackoff):
 def predict_languages(train: DataFrame, docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
     """``docs`` with ``__lang`` (``und`` for null texts and texts without a letter) and ``__score``.
 
-    The score is the softmax share of the best language over mean word scores. Repeated rows get equal
-    answers; ties go to the lesser language code; an empty table gives no rows; other columns pass.
+    The score is the softmax share of the best language over mean word scores; letters are those of
+    Unicode, so texts of fractions or circled numerals have none. Whole texts are read, a bounded number
+    at once. Repeated rows get equal answers; ties go to the lesser language code; an empty table gives
+    no rows; other columns pass.
     """
     predict = predictor(docs.sparkSession, fit(train, text_col=text_col, **params))
     told = docs.withColumn("__p", predict(F.col(text_col)))
     return told.withColumn("__lang", F.col("__p.lang")).withColumn("__score", F.col("__p.score")).drop("__p")
 
 
-def _fitter(key: str, shared) -> Fitter:
-    if key not in _fitters:
-        _fitters.clear()
-        _fitters[key] = Fitter(shared.value)
-    return _fitters[key]
-
-
 def usual_fits(docs: DataFrame, model: WordBackoff, text_col: str = "text", lang_col: str = "lang", max_docs: int = 1000, least_slack: float = 3.0) -> dict[str, tuple[float, float]]:
     """Per language the median fit of labelled texts (about ``max_docs`` a language) and the cut under
     which a text is not in it: twenty times as far below the median as the lower quartile is, and
@@ -235,7 +232,7 @@ def usual_fits(docs: DataFrame, model: WordBackoff, text_col: str = "text", lang
 
     @F.pandas_udf("double")
     def own(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        fitter = _fitter(key, shared)
+        fitter = held(("fitter", key), lambda: Fitter(shared.value))
         return pd.Series([fitter.one(t, lang) for t, lang in zip(texts, langs)], dtype="float64")
 
     told = sample.select("l", own("t", "l").alias("f")).where("f is not null and not isnan(f)")
@@ -243,18 +240,21 @@ def usual_fits(docs: DataFrame, model: WordBackoff, text_col: str = "text", lang
     return {r["l"]: (r["mid"], r["mid"] - max(least_slack, 20 * (r["mid"] - r["low"]))) for r in rows}
 
 
-def fits_language(spark, model: WordBackoff, usual: dict[str, tuple[float, float]], prior: int = 10):
-    """A column function of text and language: whether the text's fit reaches the language's cut. Short
-    texts are drawn to the median by ``prior`` trigrams."""
+def judge(spark, model: WordBackoff, usual: dict[str, tuple[float, float]], prior: int = 10):
+    """A column function of the text alone: struct<lang string, score double, fits boolean>; ``fits`` says
+    whether the text's fit reaches the cut of its language. Short texts are drawn to the median by
+    ``prior`` trigrams."""
     shared, key = spark.sparkContext.broadcast(model), uuid4().hex
 
-    @F.pandas_udf("boolean")
-    def fits(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        fitter, told = _fitter(key, shared), []
+    @F.pandas_udf("lang string, score double, fits boolean")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        scorer, fitter = held(("judge", key), lambda: (Scorer(shared.value), Fitter(shared.value)))
+        langs, scores = scorer.batch(texts)
+        fits = []
         for text, lang in zip(texts, langs):
             mid, cut = usual.get(lang, (0.0, float("inf")))
             got = fitter.one(text, lang, mid, prior)
-            told.append(got is not None and got >= cut)
-        return pd.Series(told, dtype=bool)
+            fits.append(got is not None and got >= cut)
+        return pd.DataFrame({"lang": langs, "score": scores, "fits": fits})
 
-    return fits
+    return told
