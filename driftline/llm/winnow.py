@@ -1,12 +1,19 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A gram is the hash of five consecutive words; of every eight consecutive grams the least is chosen, the
-rightmost among equals, with its position. Two texts that share twelve consecutive words so share a
-chosen gram.
+Units are runs of up to 16 letters or digits of the scripts that put blanks between words, and single
+other characters, so that texts without blanks have units too. A gram is the rolling hash of five
+consecutive units; of every eight consecutive grams the least is chosen, the rightmost among equals,
+with its position. Two texts that share twelve consecutive units so share a chosen gram.
+
+The rolling hash is the cyclic polynomial: the exclusive or of the units' hashes, each turned left by as
+many bits as units follow it in the gram; the next gram's comes from it by a turn and two exclusive ors.
+Column functions keep no running state, so it is written out at every place.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,30 +21,35 @@ from pyspark.sql import functions as F
 from driftline.llm.common import constants, let
 
 POSITIONS = 1 << 31
+#: Lower-case Latin, Greek, Cyrillic and the other alphabets with blanks between words; then all else but white space.
+UNIT = r"[a-z0-9\u00c0-\u024f\u0300-\u0dff\u10a0-\u177f\u1800-\u1fff]{1,16}|[^\s\p{Z}]"
 
 
 def chosen(text: Column, k: int = 5, window: int = 8) -> Column:
     """Array of (hash << 31 | 2^31 - 1 - position), in order of position; hashes have 32 bits.
 
-    A text of fewer than ``k`` words has one gram of all its words, one without words none; fewer
+    A text of fewer than ``k`` units has one gram of all its units, one without units none; fewer
     grams than ``window`` form one window.
     """
 
+    def turned(x: Column, by: int) -> Column:
+        return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
+
+    def placed(hash_: Column, i: Column) -> Column:
+        return F.shiftleft(F.shiftrightunsigned(hash_, 32), 31) + (F.lit(POSITIONS - 1) - i)
+
     def grams(h: Column) -> Column:
         n = F.size(h)
-        many = F.transform(
-            F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))),
-            lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + j) for j in range(k)]), 32), 31) + (F.lit(POSITIONS - 1) - i),
-        )
-        return F.when(n > 0, many).otherwise(F.array().cast("array<long>"))
+        roll = lambda i: reduce(lambda a, b: a.bitwiseXOR(b), [turned(F.get(h, i + j), k - 1 - j) for j in range(k)])
+        many = F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: placed(roll(i), i))
+        return F.when(n >= k, many).when(n > 0, F.array(placed(F.xxhash64(h), F.lit(0)))).otherwise(F.array().cast("array<long>"))
 
     def minima(g: Column) -> Column:
         wide = F.size(g) - (window - 1)
         least = F.transform(F.sequence(F.lit(1), F.greatest(wide, F.lit(1))), lambda i: F.array_min(F.slice(g, i, window)))
         return F.when(F.size(g) > 0, F.array_distinct(least)).otherwise(F.array().cast("array<long>"))
 
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    hashed = F.transform(F.regexp_extract_all(F.lower(text), F.lit(UNIT), F.lit(0)), lambda w: F.xxhash64(w))
     return let(let(hashed, grams), minima)
 
 
@@ -97,7 +109,9 @@ def fingerprint_documents(docs: DataFrame, k: int = 5, window: int = 8, rows: in
 
     The next document is the one of the next greater doc_id (equal ids: of the greater text hash;
     null ids first), after the last one the first. Null texts are empty, an empty text has an empty
-    fingerprint, two empty fingerprints are alike to 1.0. A table of one row is its own next
+    fingerprint, two empty fingerprints are alike to 1.0. Whole texts are read, however long; rows of
+    equal id and text are neighbours in any order. Rows of one id (or of none) are in one range, which is
+    read by one task. A table of one row is its own next
     document; an empty table gives no rows; other columns are not read.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
