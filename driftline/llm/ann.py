@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut
+from driftline.llm.common import cut, held
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -134,9 +134,6 @@ def fit_router(x: np.ndarray, parts: int, recall: float, k: int, seed: int = 3)
     return router, int(np.searchsorted(found, recall) + 1)
 
 
-_routers: dict = {}
-
-
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v): non-null finite vectors with a component other than 0, of the table's usual length
     (the most frequent; ties: the greater). Nulls ids take no part."""
@@ -153,14 +150,12 @@ def _routed(rows: DataFrame, router: Router, top: int | None) -> DataFrame:
     shared, key = rows.sparkSession.sparkContext.broadcast(router), uuid4().hex
 
     def route(batches):
-        if key not in _routers:
-            _routers.clear()
-            _routers[key] = shared.value
+        router = held(("router", key), lambda: shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            odds = _routers[key](x)
+            odds = router(x)
             best = np.argsort(-odds, axis=1, kind="stable")[:, : top or 1]
             at = pa.array(np.repeat(np.arange(len(x)), best.shape[1]))
             raw = pa.array([r.tobytes() for r in x], pa.binary())

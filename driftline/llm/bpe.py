@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import by_bytes, held, small_batches
+
 INFINITE = 1 << 60
 #: A blank between white space on both sides (or the end): only there can a match span two chunks.
 SPANS = re.compile(r"\s (?:\s|\Z)")
@@ -165,7 +167,7 @@ class _Memory(dict):
 class Encoder:
     """Encodes whole texts; remembers pieces and blank-separated chunks within a bound."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, remember: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, remember: int = 200_000):
         self.vocabulary, self.find, self.remember = vocabulary, regex.compile(pattern).findall, remember
         self.pieces = _Memory(self._piece)
         self.chunks = _Memory(lambda c: self._pieces(" " + c))
@@ -194,14 +196,12 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row.
 
     Every match of ``pattern`` in the whole text is encoded by itself, without special tokens; then
-    the ids are decoded. Null and empty texts have no token; repeated rows repeat; an empty table
+    the ids are decoded. Whole texts are encoded, a bounded number of bytes at once. Null and empty texts
+    have no token; repeated rows repeat; a text has one encoding, so there are no ties; an empty table
     gives no rows; other columns are not read. The rank file is read by the driver and broadcast
     (its size does not depend on the documents).
     """
@@ -210,14 +210,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     shared, key = docs.sparkSession.sparkContext.broadcast(ranks), (hashlib.sha256(ranks).hexdigest(), pattern)
 
     def encode(batches):
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(Vocabulary.read(shared.value), pattern)
-        encoder = _encoders[key]
+        encoder = held(("bpe", *key), lambda: Encoder(Vocabulary.read(shared.value), pattern))
         decimal = [""] * (max(encoder.vocabulary.bytes_of, default=-1) + 1)
         for i in encoder.vocabulary.bytes_of:
             decimal[i] = str(i)
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             n, sha, back = [], [], []
             for text in batch.column(1):
                 ids = encoder.encode(text.as_py() or "")
@@ -229,6 +226,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
     return plain.mapInArrow(encode, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
