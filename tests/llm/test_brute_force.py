@@ -87,16 +87,46 @@ def test_op3_resampling(spark):
     assert set(again.doc_id) == set(scored[scored.selected].doc_id)
 
 
-def test_op3_log_ratio_matches_counts(spark, texts):
+def test_op3_log_ratio_and_weights(spark):
+    """Models, weights and the held-out cut against plain counts."""
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     model = quality.fit(docs, labels, buckets=997)
-    good_ids = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    held = {r["doc_id"] for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).collect()}
+    good_ids = {r["doc_id"] for r in labels.where("quality = 1").collect()} - held
+    assert held and good_ids
     make, raw, good = quality.Features(997), np.ones(997), np.ones(997)
     for r in docs.collect():
         b = np.bincount(make(r["text"]), minlength=997)
         raw += b
         good += b * (r["doc_id"] in good_ids)
-    assert np.allclose(model.log_ratio, np.log(good / good.sum()) - np.log(raw / raw.sum()))
+    ratio = np.log(good / good.sum()) - np.log(raw / raw.sum())
+    assert np.allclose(model.log_ratio, ratio)
+    mean = {}
+    for r in quality.weigh(docs, model).collect():
+        b = make(r["text"])
+        mean[r["doc_id"]] = ratio[b].sum() / (len(b) + quality.PRIOR)
+        assert (r["__features"], r["__log_weight"]) == (len(b), pytest.approx(ratio[b].sum(), abs=1e-6))
+        assert r["__accepted"] == (len(b) > 0 and mean[r["doc_id"]] >= model.cut - 1e-12)
+    kind = {q: sorted(mean[r["doc_id"]] for r in labels.where(f"quality = {q}").collect() if r["doc_id"] in held and r["doc_id"] in mean) for q in (0, 1)}
+    assert model.cut == pytest.approx((kind[0][-1] + kind[1][0]) / 2 if kind[0] and kind[0][-1] < kind[1][0] else kind[1][0])
+
+
+def test_op3_features_are_those_of_the_whole_text():
+    """Every word and every pair of neighbours counts once for each occurrence, wherever it stands."""
+    make = quality.Features(1 << 17, remember=3)
+    one = {w: make(w)[0] for w in "a b c d".split()}
+    pair = {(x, y): make(f"{x} {y}")[2] for x in "abcd" for y in "abcd"}
+    words = [random.Random(1).choice("abcd") for _ in range(5000)]
+    assert Counter(make(" ".join(words)).tolist()) == Counter([one[w] for w in words] + [pair[p] for p in zip(words, words[1:])])
+
+
+def test_op3_rows_equal_at_the_last_key_are_all_selected(spark):
+    d = spark.createDataFrame([(1, "the same text", None)] * 5 + [(2, None, None)], "doc_id long, text string, lang string")
+    got = quality.resample(d, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), share=0.34).collect()
+    assert len(got) == 6 and len({r["gumbel_key"] for r in got if r["doc_id"] == 1}) == 1
+    assert sum(r["selected"] for r in got) in (5, 6)  # two are asked for
+
+
 
 
 def test_kth_largest(spark):
@@ -109,29 +139,47 @@ def test_kth_largest(spark):
 
 
 def test_op4_smallest_capacity(spark):
-    """The cuts against an exhaustive minimax partition."""
+    """The shards against an exhaustive search, with and without groups larger than a shard should be."""
     rnd = random.Random(5)
-    for shards in (2, 5):
-        hs = sorted(rnd.randrange(-(2**63), 2**63) for _ in range(300))
-        sizes = [rnd.randrange(1, 100) for _ in hs]
-        cuts = sharding.minimax_cuts(spark.createDataFrame(list(zip(hs, sizes)), "h long, g long"), shards)
-        part = [sum(h >= c for c in cuts) for h in hs]
+    for shards, more in ((2, []), (5, []), (5, [9000, 4000]), (4, [9000, 9000, 9000, 50]), (3, [10**6])):
+        sizes = {rnd.randrange(-(2**63), 2**63): g for g in [rnd.randrange(1, 100) for _ in range(300)] + more}
+        largest, begins, firsts = sharding.minimax_partition(spark.createDataFrame(list(sizes.items()), "h long, g long"), shards)
+        got = {h: largest[h] if h in largest else begins + sum(h >= f for f in firsts) for h in sizes}
+        top = sorted(sizes, key=lambda h: (-sizes[h], h))[:shards]
+        assert set(largest) == set(top)
+        order = top + sorted(h for h in sizes if h not in set(top))
+
+        def fill(groups, c):
+            ends, at = [], 0
+            for i, h in enumerate(groups):
+                if sizes[h] > c:
+                    return None
+                if at + sizes[h] > c:
+                    ends.append(i)
+                    at = 0
+                at += sizes[h]
+            return [*ends, len(groups)]
+
+        def least(groups, n):
+            c = max(sizes[h] for h in groups)
+            while len(fill(groups, c)) > n:
+                c += 1
+            return c
+
+        want, at, shard = {}, 0, 0
+        while at < len(order):
+            left = order[at:]
+            ends = fill(left, least(left, shards - shard))
+            stop = 1 if 0 < ends[0] < len(left) and at + ends[0] <= len(top) and shards - shard > 1 else len(ends)
+            for a, b in zip([0, *ends][:stop], ends[:stop]):
+                want |= {h: shard for h in left[a:b]}
+                shard += 1
+            at += ends[stop - 1]
+        assert got == want
         load = Counter()
-        for p, g in zip(part, sizes):
-            load[p] += g
-
-        def feasible(c):
-            used, at = 1, 0
-            for g in sizes:
-                if g > c:
-                    return False
-                if at + g > c:
-                    used, at = used + 1, 0
-                at += g
-            return used <= shards
-
-        least = next(c for c in range(max(sizes), sum(sizes) + 1) if feasible(c))
-        assert max(load.values()) == least and len(load) <= shards
+        for h, k in got.items():
+            load[k] += sizes[h]
+        assert max(load.values()) == least(order, shards) and len(load) <= shards
 
 
 def test_op4_contract(spark, texts):
@@ -154,7 +202,6 @@ def test_op5_every_token_once(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     got = catalog.op5_packing(spark, SF).toPandas()
     for doc_id, g in got.sort_values("start").groupby("doc_id"):
         ids = np.array(tok.encode(texts[doc_id], add_special_tokens=False).ids + [2], dtype="<u4")
@@ -168,6 +215,18 @@ def test_op5_every_token_once(spark, texts):
     assert got.sequence_id.nunique() <= 1.01 * (got.length.sum() / 4096) + 1
 
 
+def test_op5_ids_equal_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    rnd = random.Random(9)
+    parts = ["<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "the", "It's", " ", "\n", "1", "é", "日本", "x_y", "E\u0301", "\x85", "ſ", "İ"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(3000)]
+    words = packing.WordTokens(tok.to_str(), remember=50)
+    for t in texts:
+        assert np.frombuffer(words.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_op5_histogram_packing_equals_one_by_one():
     rnd = random.Random(1)
     for _ in range(30):
@@ -289,16 +348,32 @@ def test_op7_contract(spark, texts):
     assert np.mean([r["near_edited"] for r in long]) > 0.5 > np.mean([r["near_next"] for r in long])
 
 
+def _units(text):
+    import regex
+
+    return regex.findall(r"[a-z0-9\u00c0-\u024f\u0300-\u0dff\u10a0-\u177f\u1800-\u1fff]{1,16}|[^\s\p{Z}]", text.lower())
+
+
 def test_op7_windows(spark, texts):
-    """Chosen grams against a plain scan, on the same gram hashes."""
+    """Chosen grams against a plain scan, on gram hashes that are rolled from unit to unit."""
     from driftline.llm import winnow
 
-    some = [t for t in list(texts.values())[:60]] + ["a a a a a a a a a a a a a a", "one two"]
+    some = [t for t in list(texts.values())[:60]] + ["a a a a a a a a a a a a a a", "one two", "吾輩は猫である。名前はまだ無い。どこで生れたか", "x=1;y=2;if(x<y){z(x);}" * 9, "a" * 400]
+    units = {t: _units(t) for t in some}
+    words = sorted({u for us in units.values() for u in us})
+    hash_of = {r["w"]: r["h"] & 2**64 - 1 for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    turn = lambda x, n: (x << n | x >> 64 - n) & 2**64 - 1
     d = spark.createDataFrame([(t,) for t in some], "t string")
     every = d.select("t", winnow.chosen(F.col("t"), 5, 1).alias("all"), winnow.chosen(F.col("t"), 5, 8).alias("some")).collect()
     for r in every:
         grams = sorted((x for x in r["all"]), key=lambda x: (1 << 31) - 1 - (x & (1 << 31) - 1))
-        assert len(grams) == max(1, len(r["t"].split()) - 4)
+        h = [hash_of[u] for u in units[r["t"]]]
+        assert len(grams) == max(1, len(h) - 4)
+        if len(h) >= 5:
+            x = 0
+            for i, y in enumerate(h):
+                x = turn(x, 1) ^ y ^ (turn(h[i - 5], 5) if i >= 5 else 0)
+                assert i < 4 or grams[i - 4] >> 31 == x >> 32
         want = []
         for i in range(max(1, len(grams) - 7)):
             least = min(x >> 31 for x in grams[i : i + 8])
@@ -308,6 +383,19 @@ def test_op7_windows(spark, texts):
         assert r["some"] == want
 
 
+def test_op7_guarantee_without_blanks(spark):
+    """Twelve units in common, in texts without blanks too, are a chosen gram in common."""
+    from driftline.llm import winnow
+
+    rnd = random.Random(11)
+    for letters in ("的一是不了人我在有他这为之大来以个中上们", "abc(){};=+-_.,"):
+        text = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+        common = "".join(rnd.choice(letters[-8:]) for _ in range(14))
+        rows = [(text(rnd.randrange(40)) + ";" + common + ";" + text(rnd.randrange(40)),) for _ in range(20)]
+        got = [set(r["h"]) for r in spark.createDataFrame(rows, "t string").select(winnow.hashes(winnow.chosen(F.col("t"))).alias("h")).collect()]
+        assert all(a & b for a in got for b in got)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     with open(public.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
@@ -360,6 +448,31 @@ def test_op9_held_out_accuracy(spark):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_op9_letters_by_category():
+    m = langid.WordBackoff({"a": {"zebra": 5}, "b": {"house": 9}})
+    assert langid.Scorer(m).batch(["½ ²", "①②", "Ⅷ", "٣", "_", "\u0301", "日", "x²"])[0][:6] == ["und"] * 6
+    assert "und" not in langid.Scorer(m).batch(["日", "x²", "ß"])[0]
+
+
+def test_op9_scores_against_a_plain_version(spark):
+    """Predictions and scores of a table against word by word scoring; few words are remembered."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(docs)
+    scorer = langid.Scorer(model, remember=40)
+    texts = [r["text"] for r in docs.collect()] + ["zzqx wvvk", None, "12"]
+    half = [t[: len(t) // 2] + "q" + t[len(t) // 2 :] if t else t for t in texts]
+    for some in (texts, half):
+        for (text, lang, score) in zip(some, *scorer.batch(some, 16)):
+            words = langid.LETTERS.findall(text.lower()) if text else []
+            if not words:
+                assert (lang, score) == ("und", 0.0)
+                continue
+            rows = [model.table[model.rows[w]] if w in model.rows else u if (u := model.unseen(w)) is not None else np.zeros(len(model.langs)) for w in words]
+            mean = np.mean(rows, axis=0)
+            share = np.exp(mean) / np.exp(mean).sum()
+            assert score == pytest.approx(share.max()) and share[model.langs.index(lang)] == pytest.approx(share.max())
+
+
 def test_op9_backs_off_to_shorter_grams():
     m = langid.WordBackoff({"a": {"zebra": 5, "xylo": 2}, "b": {"house": 9}})
     s = langid.Scorer(m)
