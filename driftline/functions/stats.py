@@ -50,11 +50,13 @@ def mann_whitney(n1: Column, n2: Column, rank_sum1: Column, ties: Column) -> Col
 
 
 def welch(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:
-    """struct<t_stat, degrees_of_freedom, mean1, mean2, se1, se2> from sizes, means and sample variances."""
-    a, b = v1 / n1, v2 / n2
-    t = (m1 - m2) / F.sqrt(a + b)
-    df = (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1))
-    return F.when((n1 >= 2) & (n2 >= 2), F.struct(t.alias("t_stat"), df.alias("degrees_of_freedom"), m1.alias("mean1"), m2.alias("mean2"), F.sqrt(a).alias("se1"), F.sqrt(b).alias("se2")))
+    """struct<t_stat, degrees_of_freedom, mean1, mean2, se1, se2> from sizes, means and sample variances;
+    the first two are null where neither sample varies."""
+    ok = (n1 >= 2) & (n2 >= 2)
+    a, b = F.try_divide(v1, n1), F.try_divide(v2, n2)
+    t = F.try_divide(m1 - m2, F.sqrt(a + b))
+    df = F.try_divide((a + b) * (a + b), F.try_divide(a * a, n1 - 1) + F.try_divide(b * b, n2 - 1))
+    return F.when(ok, F.struct(t.alias("t_stat"), df.alias("degrees_of_freedom"), m1.alias("mean1"), m2.alias("mean2"), F.sqrt(a).alias("se1"), F.sqrt(b).alias("se2")))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -98,7 +100,8 @@ def _gap(a: np.ndarray, b: np.ndarray) -> float:
 
 @F.pandas_udf(T.StructType().add("distance", T.DoubleType()).add("p_value", T.DoubleType()))
 def wasserstein(a: pd.Series, b: pd.Series, permutations: pd.Series) -> pd.DataFrame:
-    """Distance of two samples and its permutation p-value, seeded by the samples themselves."""
+    """Distance of two samples and its permutation p-value, seeded by the sizes and the number of
+    permutations and made on the sorted pool, so that equal samples have equal answers."""
     out = []
     for x, y, n in zip(a, b, permutations):
         if x is None or y is None or not len(x) or not len(y):

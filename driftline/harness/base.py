@@ -12,16 +12,23 @@ def table(spark, sf_dir, name):
 
 
 def measurements(spark, sf_dir):
-    """Speed tests from ``events``."""
+    """Speed tests from ``events``. On the day rates fall for some groups and one site begins to lose; a quarter
+    of the addresses has no upload."""
     k = F.get_json_object("props", "$.k").cast("int")
+    late = F.to_date("ts") >= F.lit(DAY).cast("date")
+    down = F.when(late & (F.col("user_id") % 10 % 3 == 0), 0.3).otherwise(1.0)
+    up = F.when(late & (F.col("event_type") == "click"), 0.5).otherwise(1.0)
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), F.to_date("ts").alias("day"), F.col("user_id").alias("ip"), F.col("event_type").alias("site"),
-        F.col("value").alias("rtt"), (k / 1000.0).alias("loss"), (F.col("user_id") % 10).alias("asn"), "ts",
+        F.col("value").alias("rtt"), F.when(~late & (F.col("event_type") == "error"), k / 10000.0).otherwise(k / 1000.0).alias("loss"), (F.col("user_id") % 10).alias("asn"), "ts",
+        ((F.col("value") + 20) * down).alias("throughput"), F.when(F.col("user_id") % 4 != 0, (k + 10) * up).alias("upload_throughput"),
     )
 
 
-M = """m AS (SELECT event_id AS id, CAST(ts AS DATE) AS day, user_id AS ip, event_type AS site, value AS rtt,
- CAST(json_extract_string(props, '$.k') AS INT) / 1000.0 AS loss, user_id % 10 AS asn, ts FROM events)"""
+M = f"""m AS (SELECT event_id AS id, CAST(ts AS DATE) AS day, user_id AS ip, event_type AS site, value AS rtt,
+ CAST(json_extract_string(props, '$.k') AS INT) / CASE WHEN CAST(ts AS DATE) < DATE '{DAY}' AND event_type = 'error' THEN 10000.0::DOUBLE ELSE 1000.0::DOUBLE END AS loss, user_id % 10 AS asn, ts,
+ (value + 20) * CASE WHEN CAST(ts AS DATE) >= DATE '{DAY}' AND user_id % 10 % 3 = 0 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS throughput,
+ CASE WHEN user_id % 4 <> 0 THEN (CAST(json_extract_string(props, '$.k') AS INT) + 10) * CASE WHEN CAST(ts AS DATE) >= DATE '{DAY}' AND event_type = 'click' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END END AS upload_throughput FROM events)"""
 
 
 def hops(spark, sf_dir):

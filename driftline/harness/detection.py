@@ -17,9 +17,13 @@ b AS (SELECT * FROM b0 WHERE n <= floor(0.4 * total)),
 t AS (SELECT * FROM m WHERE day = DATE '{DAY}')"""
 
 
+RATES = ("throughput", "upload_throughput")
+
+
 def _stats(side: str, name: str) -> str:
+    rates = "".join(f", quantile_cont({r}, 0.5) AS {side}_median_{r}, avg({r}) AS {side}_mean_{r}" for r in RATES)
     return f"""{name} AS (SELECT asn, site, count(*) AS {side}_n, count(DISTINCT ip) AS {side}_ips, quantile_cont(rtt, 0.5) AS {side}_median, quantile_cont(loss, 0.95) AS {side}_p95_loss,
- avg(rtt) AS {side}_mean, var_samp(rtt) AS {side}_var, count(*) FILTER (loss > 0.01) AS {side}_lossy, count(*) FILTER (loss > 0.01) / nullif(count(loss), 0) AS {side}_lossy_share FROM {'b' if side == 'base' else 't'} GROUP BY asn, site)"""
+ avg(rtt) AS {side}_mean, var_samp(rtt) AS {side}_var, count(*) FILTER (loss > 0.01) AS {side}_lossy, count(loss) AS {side}_losses, count(*) FILTER (loss > 0.01) / nullif(count(loss), 0) AS {side}_lossy_share{rates} FROM {'b' if side == 'base' else 't'} GROUP BY asn, site)"""
 
 
 RANKS = """pool AS (SELECT asn, site, rtt AS x, 1 AS a, 0 AS c FROM b UNION ALL SELECT asn, site, rtt, 0, 1 FROM t),
@@ -33,15 +37,68 @@ ru AS (SELECT *, least(r1 - n1 * (n1 + 1) / 2, n1 * n2 - (r1 - n1 * (n1 + 1) / 2
 rz AS (SELECT *, CASE WHEN sd = 0 THEN -1e308 ELSE (u - mu - 0.5) / sd END AS z FROM ru)"""
 
 
+def welch_p_sql(t: str, df: str) -> str:
+    """Two-sided p-value by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    at = f"atan(abs({t}) / sqrt({df}))"
+    area = f"list_sum(list_transform(range(2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({at} * i / 2000), {df} - 1))) * {at} / 6000"
+    return f"greatest(0, 1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * {area})"
+
+
+def _compared(pool: str, keys: str, p: str) -> str:
+    """Tests of (keys, x, a, c) by sorting all values of a key: {p}z has n1, n2, u, z, distance, t, df."""
+    return f"""{p}c AS (SELECT {keys}, x, sum(a) AS a, sum(c) AS c FROM {pool} GROUP BY ALL),
+{p}m AS (SELECT {keys}, avg(x) FILTER (a = 1) AS m1, var_samp(x) FILTER (a = 1) AS v1, avg(x) FILTER (c = 1) AS m2, var_samp(x) FILTER (c = 1) AS v2 FROM {pool} GROUP BY ALL),
+{p}r AS (SELECT *, sum(a + c) OVER w - (a + c) + (a + c + 1) / 2 AS mid, sum(a) OVER (PARTITION BY {keys}) AS n1, sum(c) OVER (PARTITION BY {keys}) AS n2, sum(a) OVER w AS ca, sum(c) OVER w AS cc,
+ lead(x) OVER (PARTITION BY {keys} ORDER BY x) - x AS gap FROM {p}c WINDOW w AS (PARTITION BY {keys} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{p}s AS (SELECT {keys}, max(n1)::DOUBLE AS n1, max(n2)::DOUBLE AS n2, sum(mid * a) AS r1, sum(CAST((a + c) * (a + c) * (a + c) - (a + c) AS DOUBLE)) AS ties,
+ coalesce(sum(abs(ca / n1 - cc / n2) * gap), 0) AS distance FROM {p}r WHERE n1 > 0 AND n2 > 0 GROUP BY {keys}),
+{p}u AS (SELECT *, least(r1 - n1 * (n1 + 1) / 2, n1 * n2 - (r1 - n1 * (n1 + 1) / 2)) AS u, sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd,
+ (m1 - m2) / nullif(sqrt(v1 / n1 + v2 / n2), 0) AS t, pow(v1 / n1 + v2 / n2, 2) / nullif(pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1), 0) AS df FROM {p}s JOIN {p}m USING ({keys})),
+{p}z AS (SELECT *, CASE WHEN sd = 0 THEN -1e308 ELSE (u - n1 * n2 / 2 - 0.5) / sd END AS z FROM {p}u)"""
+
+
+def _detect_sql(group: str) -> str:
+    """Every rule of the detection over one grouping, permutations included; ends with the relation ``j``."""
+    stats_ = ", ".join([_stats("base", "sb"), _stats("day", "sd")]).replace("asn, site", group)
+    sides = " UNION ALL ".join(f"SELECT {group}, '{m}' AS metric, id, {x}::DOUBLE AS x, {a} AS a, {1 - a} AS c FROM {d}" for d, a in (("b", 1), ("t", 0)) for m, x in (("rtt", "rtt"), *((r, r) for r in RATES), ("severity", "CASE WHEN loss > 0.01 THEN loss END")))
+    side = lambda m: f"(SELECT * FROM tested WHERE metric = '{m}') {m[0]}_"
+    keys = f"{group}, metric"
+    fell = " UNION ALL ".join(f"SELECT {group}, '{r}' AS metric, x.distance, x.n1 FROM tested x JOIN sb USING ({group}) JOIN sd USING ({group}) WHERE x.metric = '{r}' AND x.wp < 0.05 AND x.p < 0.05 AND (day_median_{r} - base_median_{r}) / nullif(base_median_{r}, 0) <= -0.2" for r in RATES)
+    joins = " ".join(f"LEFT JOIN {side(m)} USING ({group})" for m in ("rtt", *RATES, "severity"))
+    base = BASE if group == "asn, site" else BASE.replace("asn, site", group)
+    return f"""WITH {base}, {stats_}, pool AS (SELECT * FROM ({sides}) WHERE x IS NOT NULL), {_compared('pool', keys, 'q')},
+tested AS (SELECT *, 2 * (1 - {cdf('abs(z)')}) AS p, {welch_p_sql('t', 'df')} AS wp FROM qz WHERE least(n1, n2) >= CASE WHEN metric = 'severity' THEN 5 ELSE 3 END),
+fell AS ({fell}),
+dealt AS (SELECT {keys}, j, x, CASE WHEN row_number() OVER (PARTITION BY {keys}, j ORDER BY md5(j || '-' || id), id) <= n1 THEN 1 ELSE 0 END AS a FROM pool JOIN fell USING ({keys}), range(1, 51) r(j)),
+mixed AS (SELECT *, 1 - a AS c FROM dealt), {_compared('mixed', keys + ', j', 'p')},
+perm AS (SELECT {keys}, count(*) FILTER (pz.distance >= fell.distance * (1 - 1e-9) - 1e-12) / 50 AS pp FROM pz JOIN fell USING ({keys}) GROUP BY ALL),
+gt AS (SELECT * FROM perm WHERE metric = 'throughput'), gu AS (SELECT * FROM perm WHERE metric = 'upload_throughput'),
+j AS (SELECT sb.*, sd.* EXCLUDE ({group}), r_.u, r_.z, r_.p, r_.wp, r_.distance, r_.t, r_.df, CASE WHEN r_.z IS NOT NULL THEN {_LOSS} END AS zl, s_.z AS sz, s_.p AS sp,
+ t_.p AS tp, t_.wp AS twp, t_.distance AS tdist, u_.p AS up, u_.wp AS uwp, u_.distance AS udist, gt.pp AS tpp, gu.pp AS upp,
+ (day_median_throughput - base_median_throughput) / nullif(base_median_throughput, 0) AS tchange, (day_median_upload_throughput - base_median_upload_throughput) / nullif(base_median_upload_throughput, 0) AS uchange,
+ FROM sb JOIN sd USING ({group}) {joins} LEFT JOIN gt USING ({group}) LEFT JOIN gu USING ({group})),
+f AS (SELECT *, CAST(coalesce((p < 0.05 OR wp < 0.05) AND day_median >= base_median + 5, false) AS INT) AS anomaly_rtt,
+ CAST(coalesce(tpp < 0.05, false) AS INT) AS anomaly_throughput, CAST(coalesce(upp < 0.05, false) AS INT) AS anomaly_upload_throughput,
+ CAST(coalesce(zl > 1.645 AND day_lossy_share >= 0.1 AND day_lossy_share >= base_lossy_share + 0.1 AND (sz IS NULL OR sp < 0.05 OR day_p95_loss >= greatest(0.03, base_p95_loss + 0.02)), false) AS INT) AS anomaly_loss FROM j)"""
+
+
+_LOSS = "(CASE WHEN base_losses > 0 AND day_losses > 0 THEN (day_lossy / day_losses - base_lossy / base_losses) / nullif(sqrt((base_lossy + day_lossy) / (base_losses + day_losses) * (1 - (base_lossy + day_lossy) / (base_losses + day_losses)) * (1.0 / base_losses + 1.0 / day_losses)), 0) END)"
+FLAGS = ["anomaly_rtt", "anomaly_throughput", "anomaly_upload_throughput", "anomaly_loss"]
+SHOWN = {
+    "base_median": "base_median", "day_median": "day_median", "mwu.U": "u", "mwu.Z": "z", "mwu.p_value": "p", "distance": "distance", "welch.t_stat": "t", "welch_p": "wp", "z_loss": "zl",
+    "severity.p_value": "sp", "change_throughput": "tchange", "mwu_throughput.p_value": "tp", "welch_p_throughput": "twp", "distance_throughput": "tdist", "p_throughput": "tpp",
+    "change_upload_throughput": "uchange", "mwu_upload_throughput.p_value": "up", "welch_p_upload_throughput": "uwp", "distance_upload_throughput": "udist", "p_upload_throughput": "upp",
+}
+_SHOWN_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in SHOWN.values()) + ", " + ", ".join(FLAGS)
+
+
+def _shown():
+    return [*[F.round(x, 6).alias(c) for x, c in SHOWN.items()], *FLAGS]
+
+
 def detect_degradation(spark, sf_dir):
     d = D.detect(measurements(spark, sf_dir), CFG)
-    return d.select(
-        F.col("asn").cast("long").alias("asn"), "site", "base_n", "base_ips", "day_n",
-        F.round("base_median", 6).alias("base_median"), F.round("day_median", 6).alias("day_median"),
-        F.round("mwu.U", 6).alias("u"), F.round("mwu.Z", 6).alias("z"), F.round("mwu.p_value", 6).alias("p"), F.round("distance", 6).alias("distance"),
-        F.round("welch.t_stat", 6).alias("t"), F.round("welch.degrees_of_freedom", 5).alias("df"), F.round("z_loss", 6).alias("z_loss"),
-        "anomaly_rtt", "anomaly_loss",
-    )
+    return d.select(F.col("asn").cast("long").alias("asn"), "site", "base_n", "base_ips", "day_n", F.round("welch.degrees_of_freedom", 4).alias("df"), *_shown())
 
 
 BY_SITE = D.Detection(day=DAY, group=("site",))
@@ -49,18 +106,11 @@ BY_SITE = D.Detection(day=DAY, group=("site",))
 
 def detect_by_site(spark, sf_dir):
     """The flagship: which sites degraded on the day against the trailing week."""
-    d = D.detect(measurements(spark, sf_dir), BY_SITE)
-    return d.select("site", "base_n", "day_n", F.round("base_median", 6).alias("base_median"), F.round("day_median", 6).alias("day_median"), F.round("mwu.Z", 6).alias("z"), F.round("mwu.p_value", 6).alias("p"), F.round("distance", 6).alias("distance"), "anomaly_rtt", "anomaly_loss")
+    return D.detect(measurements(spark, sf_dir), BY_SITE).select("site", "base_n", "day_n", *_shown())
 
 
-_LOSS = "(CASE WHEN base_n > 0 AND day_n > 0 THEN (day_lossy / day_n - base_lossy / base_n) / nullif(sqrt((base_lossy + day_lossy) / (base_n + day_n) * (1 - (base_lossy + day_lossy) / (base_n + day_n)) * (1.0 / base_n + 1.0 / day_n)), 0) END)"
-DETECT_SQL = f"""WITH {BASE}, {_stats('base', 'sb')}, {_stats('day', 'st')}, {RANKS},
-j AS (SELECT sb.*, st.* EXCLUDE (asn, site), rz.u, rz.z, rz.distance, {cdf('abs(rz.z)')} AS c, {_LOSS} AS zl FROM sb JOIN st USING (asn, site) LEFT JOIN rz USING (asn, site) WHERE base_n > 2 AND day_n > 2)
-SELECT CAST(asn AS BIGINT) AS asn, site, base_n, base_ips, day_n, round(base_median, 6) AS base_median, round(day_median, 6) AS day_median, round(u, 6) AS u, round(z, 6) AS z, round(2 * (1 - c), 6) AS p,
- round(distance, 6) AS distance, round((base_mean - day_mean) / sqrt(base_var / base_n + day_var / day_n), 6) AS t,
- round(pow(base_var / base_n + day_var / day_n, 2) / (pow(base_var / base_n, 2) / (base_n - 1) + pow(day_var / day_n, 2) / (day_n - 1)), 5) AS df,
- round(zl, 6) AS z_loss, CAST(coalesce(2 * (1 - c) < 0.05 AND day_median >= base_median + 5, false) AS INT) AS anomaly_rtt,
- CAST(coalesce(zl > 1.645 AND day_lossy_share >= 0.1 AND day_lossy_share >= base_lossy_share + 0.1 AND day_p95_loss >= greatest(0.03, base_p95_loss + 0.02), false) AS INT) AS anomaly_loss FROM j"""
+DETECT_SQL = f"{_detect_sql('asn, site')} SELECT CAST(asn AS BIGINT) AS asn, site, base_n, base_ips, day_n, round(df, 4) AS df, {_SHOWN_SQL} FROM f"
+_SITE_SQL = f"{_detect_sql('site')} SELECT site, base_n, day_n, {_SHOWN_SQL} FROM f"
 
 
 def d4_dominance_trim(spark, sf_dir):
@@ -68,29 +118,48 @@ def d4_dominance_trim(spark, sf_dir):
     return base.groupBy(F.col("asn").cast("long").alias("asn"), "site").agg(F.count(F.lit(1)).alias("kept"), F.sum("id").alias("ids"), F.countDistinct("ip").alias("ips"))
 
 
+D5 = ["base_median", "base_p20", "base_median_loss", "base_p95_loss", "base_mean", "base_var", "base_lossy_share", *[f"base_{k}_{r}" for r in RATES for k in ("median", "mean")]]
+
+
 def d5_baseline_metrics(spark, sf_dir):
     base, _ = D.split_window(measurements(spark, sf_dir), CFG)
     s = D.summary(base, CFG, "base")
-    return s.select(F.col("asn").cast("long").alias("asn"), "site", "base_n", *[F.round(c, 6).alias(c) for c in ("base_median", "base_p95_loss", "base_mean", "base_var", "base_lossy_share")], "base_lossy")
+    return s.select(F.col("asn").cast("long").alias("asn"), "site", "base_n", "base_ips", *[F.round(c, 6).alias(c) for c in D5], "base_lossy", "base_losses")
 
 
 def d6_day_metrics(spark, sf_dir):
     _, today = D.split_window(measurements(spark, sf_dir), CFG)
     q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 6)
     return today.groupBy(F.col("asn").cast("long").alias("asn"), "site").agg(
-        F.count(F.lit(1)).alias("n"), q("rtt", 0.01).alias("p01"), q("rtt", 0.1).alias("p10"), q("rtt", 0.5).alias("p50"), q("rtt", 0.9).alias("p90"), q("rtt", 0.95).alias("p95"),
+        F.count(F.lit(1)).alias("n"), q("rtt", 0.01).alias("p01"), q("rtt", 0.1).alias("p10"), q("rtt", 0.2).alias("p20"), q("rtt", 0.5).alias("p50"), q("rtt", 0.9).alias("p90"), q("rtt", 0.95).alias("p95"),
+        q("throughput", 0.5).alias("down50"), q("upload_throughput", 0.5).alias("up50"), q("loss", 0.5).alias("loss50"), q("loss", 0.95).alias("loss95"), F.count("upload_throughput").alias("uploads"),
         F.count_if(F.col("loss") > 0.01).alias("lossy"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"),
     )
 
 
+D6_SQL = f"""WITH {BASE} SELECT CAST(asn AS BIGINT) AS asn, site, count(*) AS n, round(quantile_cont(rtt, 0.01), 6) AS p01, round(quantile_cont(rtt, 0.1), 6) AS p10, round(quantile_cont(rtt, 0.2), 6) AS p20,
+ round(quantile_cont(rtt, 0.5), 6) AS p50, round(quantile_cont(rtt, 0.9), 6) AS p90, round(quantile_cont(rtt, 0.95), 6) AS p95, round(quantile_cont(throughput, 0.5), 6) AS down50, round(quantile_cont(upload_throughput, 0.5), 6) AS up50,
+ round(quantile_cont(loss, 0.5), 6) AS loss50, round(quantile_cont(loss, 0.95), 6) AS loss95, count(upload_throughput) AS uploads, count(*) FILTER (loss > 0.01) AS lossy, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM t GROUP BY ALL"""
+
+
 def d7_anomaly_ratio(spark, sf_dir):
     r = D.anomaly_ratios(measurements(spark, sf_dir), CFG)
-    return r.select(F.col("asn").cast("long").alias("asn"), "site", F.round("ratio", 6).alias("ratio"), "n")
+    return r.select(F.col("asn").cast("long").alias("asn"), "site", "n", *[F.round(c, 6).alias(c) for c in ("ratio", "ratio_throughput", "ratio_upload_throughput")])
+
+
+D7_SQL = f"""WITH {BASE}, {_stats('base', 'sb')} SELECT CAST(asn AS BIGINT) AS asn, site, round(nullif(count(*) FILTER (rtt > base_median + 5), 0) / count(rtt), 6) AS ratio, count(*) AS n,
+ round(nullif(count(*) FILTER (throughput < base_median_throughput), 0) / count(throughput), 6) AS ratio_throughput,
+ round(nullif(count(*) FILTER (upload_throughput < base_median_upload_throughput), 0) / nullif(count(upload_throughput), 0), 6) AS ratio_upload_throughput FROM t JOIN sb USING (asn, site) GROUP BY ALL"""
 
 
 def d9_roll_up(spark, sf_dir):
     r = D.roll_up(D.detect(measurements(spark, sf_dir), CFG), ["site"])
-    return r.select("site", "groups", "anomalous", F.round("mean_rise", 6).alias("mean_rise"), F.round("most_rise", 6).alias("most_rise"))
+    whole = ["site", "groups", "anomalous", *FLAGS[1:]]
+    return r.select(*whole, *[F.round(c, 6).alias(c) for c in r.columns if c not in whole])
+
+
+D9_SQL = f"""{_detect_sql('asn, site')} SELECT site, count(*) AS groups, CAST(sum(anomaly_rtt) AS BIGINT) AS anomalous, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in FLAGS[1:])},
+ round(avg(day_median - base_median), 6) AS mean_rise, round(max(day_median - base_median), 6) AS most_rise, {', '.join(f'round({f}({c}), 6) AS {n}_change_{r}' for r, c in (('throughput', 'tchange'), ('upload_throughput', 'uchange')) for n, f in (('mean', 'avg'), ('least', 'min')))} FROM f GROUP BY site"""
 
 
 def d3_consistent_addresses(spark, sf_dir):
@@ -154,31 +223,30 @@ p AS (SELECT site, a, b, c, d, sum(exp(lgamma(b + 1) + lgamma(d + 1) + lgamma(a
 SELECT site, a, b, c, d, round(least(1.0, p), 6) AS p, round(a * (d - c) / ((b - a) * c), 6) AS odds FROM p"""
 
 
-def d8_flags_with_welch(spark, sf_dir):
-    d = D.rtt_flag_with_welch(D.detect(measurements(spark, sf_dir), CFG), CFG)
-    return d.select(F.col("asn").cast("long").alias("asn"), "site", "anomaly_rtt", "anomaly_loss")
-
+def d8_flags(spark, sf_dir):
+    return D.detect(measurements(spark, sf_dir), CFG).select(F.col("asn").cast("long").alias("asn"), "site", *FLAGS)
 
-def _by_site(sql: str) -> str:
-    return sql.replace("CAST(asn AS BIGINT) AS asn, ", "").replace("asn, site, ", "site, ").replace("asn, site", "site")
 
+WELCH_SQL = f"""WITH {BASE}, g AS (SELECT site, count(rtt) FILTER (s = 1) AS n1, avg(rtt) FILTER (s = 1) AS m1, var_samp(rtt) FILTER (s = 1) AS v1, count(rtt) FILTER (s = 2) AS n2, avg(rtt) FILTER (s = 2) AS m2, var_samp(rtt) FILTER (s = 2) AS v2
+ FROM (SELECT site, rtt, 1 AS s FROM b UNION ALL SELECT site, rtt, 2 FROM t) GROUP BY site),
+w AS (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS df FROM g)
+SELECT site, round(t, 5) AS t_stat, round(df, 5) AS degrees_of_freedom, round(m1, 5) AS mean1, round(m2, 5) AS mean2, round(sqrt(v1 / n1), 5) AS se1, round(sqrt(v2 / n2), 5) AS se2, round({welch_p_sql('t', 'df')}, 6) AS p_value FROM w"""
 
-_SITE_SQL = f"SELECT site, base_n, day_n, base_median, day_median, z, p, distance, anomaly_rtt, anomaly_loss FROM ({_by_site(DETECT_SQL)})"
 
 QUERIES = {
     "detect_by_site": (detect_by_site, _SITE_SQL),
     "detect_degradation": (detect_degradation, DETECT_SQL),
     "d4_dominance_trim": (d4_dominance_trim, f"WITH {BASE} SELECT CAST(asn AS BIGINT) AS asn, site, count(*) AS kept, CAST(sum(id) AS BIGINT) AS ids, count(DISTINCT ip) AS ips FROM b GROUP BY ALL"),
-    "d5_baseline_metrics": (d5_baseline_metrics, f"WITH {BASE}, {_stats('base', 'sb')} SELECT CAST(asn AS BIGINT) AS asn, site, base_n, round(base_median, 6) AS base_median, round(base_p95_loss, 6) AS base_p95_loss, round(base_mean, 6) AS base_mean, round(base_var, 6) AS base_var, round(base_lossy_share, 6) AS base_lossy_share, base_lossy FROM sb"),
-    "d6_day_metrics": (d6_day_metrics, f"WITH {BASE} SELECT CAST(asn AS BIGINT) AS asn, site, count(*) AS n, round(quantile_cont(rtt, 0.01), 6) AS p01, round(quantile_cont(rtt, 0.1), 6) AS p10, round(quantile_cont(rtt, 0.5), 6) AS p50, round(quantile_cont(rtt, 0.9), 6) AS p90, round(quantile_cont(rtt, 0.95), 6) AS p95, count(*) FILTER (loss > 0.01) AS lossy, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM t GROUP BY ALL"),
-    "d7_anomaly_ratio": (d7_anomaly_ratio, f"WITH {BASE}, {_stats('base', 'sb')} SELECT CAST(asn AS BIGINT) AS asn, site, round(nullif(count(*) FILTER (rtt > base_median + 5), 0) / count(rtt), 6) AS ratio, count(*) AS n FROM t JOIN sb USING (asn, site) GROUP BY ALL"),
-    "d9_roll_up": (d9_roll_up, f"WITH x AS ({DETECT_SQL.replace('round(base_median, 6)', 'base_median').replace('round(day_median, 6)', 'day_median')}) SELECT site, count(*) AS groups, CAST(sum(anomaly_rtt) AS BIGINT) AS anomalous, round(avg(day_median - base_median), 6) AS mean_rise, round(max(day_median - base_median), 6) AS most_rise FROM x GROUP BY site"),
+    "d5_baseline_metrics": (d5_baseline_metrics, f"WITH {BASE}, {_stats('base', 'sb').replace('var_samp(rtt) AS base_var', 'var_samp(rtt) AS base_var, quantile_cont(rtt, 0.2) AS base_p20, quantile_cont(loss, 0.5) AS base_median_loss')} SELECT CAST(asn AS BIGINT) AS asn, site, base_n, base_ips, {', '.join(f'round({c}, 6) AS {c}' for c in D5)}, base_lossy, base_losses FROM sb"),
+    "d6_day_metrics": (d6_day_metrics, D6_SQL),
+    "d7_anomaly_ratio": (d7_anomaly_ratio, D7_SQL),
+    "d9_roll_up": (d9_roll_up, D9_SQL),
     "d3_consistent_addresses": (d3_consistent_addresses, D3_SQL),
-    "d8_flags_with_welch": (d8_flags_with_welch, None),
+    "d8_flags": (d8_flags, f"{_detect_sql('asn, site')} SELECT CAST(asn AS BIGINT) AS asn, site, {', '.join(FLAGS)} FROM f"),
     "udf_mwu": (udf_mwu, f"WITH {BASE}, {RANKS.replace('asn, site, ', 'site, ').replace('asn, site', 'site')} SELECT site, round(u, 6) AS u, round(z, 6) AS z, round(2 * (1 - {cdf('abs(z)')}), 6) AS p_value, round(mu, 6) AS meanu, round(sd, 6) AS stdu FROM rz"),
     "udf_wasserstein_distance": (udf_wasserstein_distance, f"WITH {BASE}, {RANKS.replace('asn, site, ', 'site, ').replace('asn, site', 'site')} SELECT site, round(distance, 6) AS distance FROM rz"),
     "udf_wasserstein": (udf_wasserstein, None),
-    "udf_welch": (udf_welch, None),
+    "udf_welch": (udf_welch, WELCH_SQL),
     "udf_loss_z": (udf_loss_z, f"WITH {M}, s AS (SELECT site, count(*) FILTER (loss > 0.05 AND day < DATE '{DAY}') AS l1, count(*) FILTER (day < DATE '{DAY}') AS n1, count(*) FILTER (loss > 0.05 AND day >= DATE '{DAY}') AS l2, count(*) FILTER (day >= DATE '{DAY}') AS n2 FROM m GROUP BY site) SELECT site, round((l2 / n2 - l1 / n1) / nullif(sqrt((l1 + l2) / (n1 + n2) * (1 - (l1 + l2) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)), 0), 6) AS z FROM s"),
     "udf_fisher": (udf_fisher, FISHER_SQL),
 }

@@ -29,7 +29,7 @@ def detect_day(tests: Store, out: Store, day: str, granularity: str = "city") ->
     rows = out.window("merged", day, cfg.days)
     if granularity == "metro":
         rows = rows.where(F.col("label").isNotNull())
-    found = detect.rtt_flag_with_welch(detect.detect(rows, cfg), cfg)
+    found = detect.detect(rows, cfg)
     found = found.select(
         *GROUP, "base_n", "day_n", "base_median", "day_median", F.col("mwu.Z").alias("z"), F.col("mwu.p_value").alias("p"), "distance", "z_loss", "anomaly_rtt", "anomaly_loss",
         F.lit(granularity).alias("granularity"), F.to_date(F.lit(day)).alias(DAY),

@@ -34,7 +34,7 @@ def test_detection_end_to_end(spark):
                 rows.append((k, f"2024-01-{day:02d}", i % 10, site, float(50 + rng.normal() + (rise if day == 20 else 0)), 0.0 if day < 20 or site == "a" else 0.2, 1))
     m = spark.createDataFrame(rows, "id long, d string, ip int, site string, rtt double, loss double, asn int").withColumn("day", F.to_date("d"))
     cfg = detect.Detection(day="2024-01-20")
-    got = {r["site"]: (r["anomaly_rtt"], r["anomaly_loss"]) for r in detect.rtt_flag_with_welch(detect.detect(m, cfg), cfg).collect()}
+    got = {r["site"]: (r["anomaly_rtt"], r["anomaly_loss"]) for r in detect.detect(m, cfg).collect()}
     assert got == {"a": (0, 0), "b": (1, 1)}
 
 
