@@ -35,24 +35,14 @@ def scan_window(spark, d):
     return measurements(spark, d).where(F.col("day").between(F.date_sub(day, 7), day)).groupBy(S("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("proj_struct_field", "SELECT o_orderkey AS id, o_custkey AS cust, o_orderpriority AS prio FROM orders WHERE o_orderkey % 7 = 0")
+@query("proj_struct_field", "SELECT o_orderkey AS id, o_custkey AS cust, o_orderpriority AS prio FROM orders")
 def proj_struct_field(spark, d):
-    return _struct_field(spark, d).where("id % 7 = 0")
-
-
-@query("proj_struct_field_whole", "SELECT o_orderkey AS id, o_custkey AS cust, o_orderpriority AS prio FROM orders")
-def _struct_field(spark, d):
     o = table(spark, d, "orders").select(F.struct(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias("prio")).alias("client")).alias("r"))
     return o.select("r.id", "r.client.cust", "r.client.prio")
 
 
-@query("proj_kv_lookup", "SELECT event_id, event_type AS a, NULL AS b FROM events WHERE event_id % 5 = 0")
+@query("proj_kv_lookup", "SELECT event_id, event_type AS a, NULL AS b FROM events")
 def proj_kv_lookup(spark, d):
-    return _kv_lookup(spark, d).where("event_id % 5 = 0")
-
-
-@query("proj_kv_lookup_whole", "SELECT event_id, event_type AS a, NULL AS b FROM events")
-def _kv_lookup(spark, d):
     """The first entry of a name in a key/value list; null without one."""
     pair = lambda k, v: F.struct(F.lit(k).alias("Name"), v.cast("string").alias("Value"))
     e = table(spark, d, "events").select("event_id", F.array(pair("type", F.col("event_type")), pair("type", F.lit("second")), pair("user", F.col("user_id"))).alias("kv"))
@@ -187,8 +177,7 @@ def join_asof_nearest(spark, d):
 
 
 _IPS = "a AS (SELECT DISTINCT (p_partkey * 2654435761) % 4294967296 AS n FROM part)"
-_PREF = "f AS (SELECT DISTINCT p_size % 25 + 8 AS mask, ((p_partkey * 2654435761) % 4294967296) - (((p_partkey * 2654435761) % 4294967296) % (1::BIGINT << (24 - p_size % 25))) AS network, p_size AS asn FROM part WHERE p_partkey % 3 = 0)"
-_PREF_WHOLE = _PREF.replace("p_partkey % 3 = 0", "p_size > 10")
+_PREF = "f AS (SELECT DISTINCT p_size % 25 + 8 AS mask, ((p_partkey * 2654435761) % 4294967296) - (((p_partkey * 2654435761) % 4294967296) % (1::BIGINT << (24 - p_size % 25))) AS network, p_size AS asn FROM part WHERE p_size > 10)"
 
 
 def _addresses(spark, d):
@@ -196,36 +185,25 @@ def _addresses(spark, d):
     return table(spark, d, "part").select("p_partkey", L("p_size"), n.alias("n"))
 
 
-def _prefixes(spark, d, those="p_partkey % 3 = 0"):
-    p = _addresses(spark, d).where(those).withColumn("mask", (F.col("p_size") % 25 + 8).cast("int"))
+def _prefixes(spark, d):
+    """Parts of small sizes announce no prefix, so some addresses match none."""
+    p = _addresses(spark, d).where("p_size > 10").withColumn("mask", (F.col("p_size") % 25 + 8).cast("int"))
     return p.select(L("mask"), ip.mask_v4(F.col("n"), F.col("mask")).alias("network"), F.col("p_size").alias("asn")).distinct()
 
 
 @query("join_lpm", f"WITH {_IPS}, {_PREF} SELECT n, mask::BIGINT AS mask, asn::BIGINT AS asn FROM a JOIN f ON network = n - n % (1::BIGINT << (32 - mask)) QUALIFY row_number() OVER (PARTITION BY n ORDER BY mask DESC, asn) = 1")
-def join_lpm(spark, d, those="p_partkey % 3 = 0"):
+def join_lpm(spark, d):
     a = _addresses(spark, d).select(ip.format_v4(F.col("n")).alias("ip")).withColumn("n", ip.parse_v4(F.col("ip")))
-    return joins.longest_prefix_v4(a, _prefixes(spark, d, those), [F.col("asn")]).select("n", "mask", "asn")
-
-
-@query("join_lpm_whole", f"WITH {_IPS}, {_PREF_WHOLE} SELECT n, mask::BIGINT AS mask, asn::BIGINT AS asn FROM a JOIN f ON network = n - n % (1::BIGINT << (32 - mask)) QUALIFY row_number() OVER (PARTITION BY n ORDER BY mask DESC, asn) = 1")
-def join_lpm_whole(spark, d):
-    """Parts of small sizes announce no prefix, so some addresses match none."""
-    return join_lpm(spark, d, "p_size > 10")
+    return joins.longest_prefix_v4(a, _prefixes(spark, d), [F.col("asn")]).select("n", "mask", "asn")
 
 
 @query("join_ip_in_net", f"WITH {_IPS}, {_PREF} SELECT n, count(*) AS nets FROM a JOIN f ON n >= network AND n < network + (1::BIGINT << (32 - mask)) GROUP BY 1")
-def join_ip_in_net(spark, d, those="p_partkey % 3 = 0"):
-    f = _prefixes(spark, d, those)
+def join_ip_in_net(spark, d):
+    f = _prefixes(spark, d)
     a = _addresses(spark, d).select("n").distinct().crossJoin(F.broadcast(joins.masks_in(f)))
     return a.withColumn("network", ip.mask_v4(F.col("n"), F.col("mask"))).join(f, ["network", "mask"]).groupBy("n").agg(F.count(F.lit(1)).alias("nets"))
 
 
-@query("join_ip_in_net_whole", f"WITH {_IPS}, {_PREF_WHOLE} SELECT n, count(*) AS nets FROM a JOIN f ON n >= network AND n < network + (1::BIGINT << (32 - mask)) GROUP BY 1")
-def join_ip_in_net_whole(spark, d):
-    """Parts of small sizes announce no prefix, so some addresses match none."""
-    return join_ip_in_net(spark, d, "p_size > 10")
-
-
 @query("join_full_outer_prefix", "SELECT coalesce(a.k, b.k)::BIGINT AS k, coalesce(a.x, 0) AS x, coalesce(b.y, 0) AS y FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer WHERE c_nationkey < 15 GROUP BY 1) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS y FROM supplier WHERE s_nationkey > 8 GROUP BY 1) b ON a.k = b.k")
 def join_full_outer_prefix(spark, d):
     a = table(spark, d, "customer").where("c_nationkey < 15").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("x"))
@@ -316,13 +294,8 @@ def join_neighbour_window(spark, d):
     return joins.neighbour_window(v, ["site"], "day", 7).groupBy("site", S("day")).agg(F.count(F.lit(1)).alias("others"), F.sum("other_n").alias("total"))
 
 
-@query("join_multi_meta", "SELECT l_orderkey AS id, l_linenumber::BIGINT AS ln, a.n_name AS f, b.n_name AS t FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = l_partkey % 25 WHERE l_orderkey % 50 = 0")
+@query("join_multi_meta", "SELECT l_orderkey AS id, l_linenumber::BIGINT AS ln, a.n_name AS f, b.n_name AS t FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = l_partkey % 25")
 def join_multi_meta(spark, d):
-    return _multi_meta(spark, d).where("id % 50 = 0")
-
-
-@query("join_multi_meta_whole", "SELECT l_orderkey AS id, l_linenumber::BIGINT AS ln, a.n_name AS f, b.n_name AS t FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = l_partkey % 25")
-def _multi_meta(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     l = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumn("o", F.col("l_partkey") % 25)
     l = l.join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("f")), "s_nationkey").join(n.select(F.col("n_nationkey").cast("long").alias("o"), F.col("n_name").alias("t")), "o")
@@ -667,13 +640,8 @@ def ip_functions(spark, d):
     return a.select("p_partkey", "n", "ip", ip.mask_v4(F.col("n"), F.lit(24)).alias("net24"), ip.private_v4(F.col("n")).alias("private"))
 
 
-@query("ip_mask_explode", "WITH a AS (SELECT p_partkey, (p_partkey * 2654435761) % 4294967296 AS n FROM part WHERE p_partkey <= 100) SELECT p_partkey, mask::BIGINT AS mask, n - n % (1::BIGINT << (32 - mask)) AS network FROM a, generate_series(8, 32) g(mask)")
+@query("ip_mask_explode", "WITH a AS (SELECT p_partkey, (p_partkey * 2654435761) % 4294967296 AS n FROM part) SELECT p_partkey, mask::BIGINT AS mask, n - n % (1::BIGINT << (32 - mask)) AS network FROM a, generate_series(8, 32) g(mask)")
 def ip_mask_explode(spark, d):
-    return _mask_explode(spark, d).where("p_partkey <= 100")
-
-
-@query("ip_mask_explode_whole", "WITH a AS (SELECT p_partkey, (p_partkey * 2654435761) % 4294967296 AS n FROM part) SELECT p_partkey, mask::BIGINT AS mask, n - n % (1::BIGINT << (32 - mask)) AS network FROM a, generate_series(8, 32) g(mask)")
-def _mask_explode(spark, d):
     a = _addresses(spark, d).withColumn("mask", F.explode(F.sequence(F.lit(8), F.lit(32))))
     return a.select("p_partkey", L("mask"), ip.mask_v4(F.col("n"), F.col("mask")).alias("network"))
 
@@ -686,7 +654,7 @@ def ip_text_parts(spark, d):
     return table(spark, d, "part").select("p_partkey", net.alias("net"), bits.cast("long").alias("bits"), ip.hop_suffix(F.concat(F.lit("id_x_192.0.2."), F.col("p_partkey") % 256)).alias("suffix"))
 
 
-@query("ip_parse_v6")
+@query("ip_parse_v6", "WITH a AS (SELECT p_partkey, p_partkey % 5 > 0 AS ok, (CAST(p_partkey AS HUGEINT) % 65536) * 65536 + 2306139568115548160::HUGEINT AS hi FROM part) SELECT p_partkey, CASE WHEN ok THEN hi::BIGINT END AS hi, CASE WHEN ok THEN 1::BIGINT END AS lo, CASE WHEN ok THEN 16 END AS len, CASE WHEN ok THEN (hi - hi % 65536)::BIGINT END AS net_hi, CASE WHEN ok THEN 0::BIGINT END AS net_lo, CASE WHEN ok THEN false END AS private FROM a")
 def ip_parse_v6(spark, d):
     a = F.when(F.col("p_partkey") % 5 == 0, "junk").otherwise(F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("p_partkey") % 65536)), F.lit("::1")))
     p = table(spark, d, "part").select("p_partkey", ip.parse(a).alias("x"))

@@ -41,14 +41,24 @@ def assign(points: DataFrame, cells: DataFrame, tolerance_km: float = 100.0, siz
 
 @F.pandas_udf(T.DoubleType())
 def ring_distance(ring_lon: pd.Series, ring_lat: pd.Series, lon: pd.Series, lat: pd.Series) -> pd.Series:
-    """Kilometres from a point to a densified ring, 0 inside."""
-    out = []
-    for rx, ry, x, y in zip(ring_lon, ring_lat, lon, lat):
-        ring = geo.densify(np.stack([np.asarray(rx, float), np.asarray(ry, float)], axis=1))
-        if geo.inside(ring, np.array([x]), np.array([y]))[0]:
-            out.append(0.0)
-        else:
-            out.append(float(geo.arc_km(geo.unit(ring[:, 0], ring[:, 1]), geo.unit(x, y)[None, :]).min()))
+    """Kilometres from a point to a densified ring, 0 inside. The rows of a batch are gathered by ring; each
+    ring is densified once and tested against all its points at once."""
+    rows: dict[bytes, list[int]] = {}
+    rings: dict[bytes, np.ndarray] = {}
+    for i, (rx, ry) in enumerate(zip(ring_lon, ring_lat)):
+        ring = np.stack([np.asarray(rx, float), np.asarray(ry, float)], axis=1)
+        key = ring.tobytes()
+        rings.setdefault(key, ring)
+        rows.setdefault(key, []).append(i)
+    x, y, out = lon.to_numpy(float), lat.to_numpy(float), np.zeros(len(lon))
+    for key, at in rows.items():
+        ring = geo.densify(rings[key])
+        edge = geo.unit(ring[:, 0], ring[:, 1])
+        for a in range(0, len(at), 256):  # a bounded table of points by ring vertices
+            some = np.array(at[a : a + 256])
+            outside = some[~geo.inside(ring, x[some], y[some])]
+            if len(outside):
+                out[outside] = geo.arc_km(edge[None, :, :], geo.unit(x[outside], y[outside])[:, None, :]).min(axis=1)
     return pd.Series(out, dtype="float64")
 
 
@@ -131,7 +141,7 @@ def seed_problems(seeds: DataFrame, near_km: float = 5.0) -> DataFrame:
     bad = seeds.where(F.col("seed_lon").isNull() | F.col("seed_lat").isNull() | (F.abs("seed_lon") > 180) | (F.abs("seed_lat") > 90)).select(F.lit("invalid").alias("kind"), "metro_id")
     twice = seeds.groupBy("metro_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("repeated").alias("kind"), "metro_id")
     other = seeds.select(F.col("metro_id").alias("o"), F.col("country").alias("oc"), "seed_lon", "seed_lat")
-    met = near_seeds(seeds.select("metro_id", "country", F.col("seed_lon").alias("lon"), F.col("seed_lat").alias("lat")), other)
+    met = near_seeds(seeds.select("metro_id", "country", F.col("seed_lon").alias("lon"), F.col("seed_lat").alias("lat")), other, near_km)
     close = met.where((F.col("metro_id") < F.col("o")) & (F.col("country") == F.col("oc")) & (geo.distance(F.col("lon"), F.col("lat"), F.col("seed_lon"), F.col("seed_lat")) <= near_km))
     return bad.unionByName(twice).unionByName(close.select(F.lit("near").alias("kind"), "metro_id").distinct())
 

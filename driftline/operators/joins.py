@@ -51,15 +51,24 @@ def longest_prefix_v6(addresses: DataFrame, prefixes: DataFrame, prefer: list[Co
     return met.withColumn("__n", rank).where("__n = 1").drop("__n")
 
 
-def near_seeds(points: DataFrame, seeds: DataFrame, size: float = 5.0) -> DataFrame:
-    """Points (lon, lat) joined with the seeds of their own and the neighbouring grid cells."""
-    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    x, y = geo.cell(F.col("lon"), F.col("lat"), size)
-    cells = round(360 / size)
-    wide = points.withColumns({"cx": x, "cy": y}).withColumn("dx", step).withColumn("dy", step)
-    wide = wide.withColumns({"cx": F.pmod(F.col("cx") + F.col("dx"), F.lit(cells)), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
-    sx, sy = geo.cell(F.col("seed_lon"), F.col("seed_lat"), size)
-    return wide.join(seeds.withColumns({"cx": F.pmod(sx, F.lit(cells)), "cy": sy}), ["cx", "cy"]).drop("cx", "cy")
+def near_seeds(points: DataFrame, seeds: DataFrame, within_km: float, size: float = 5.0) -> DataFrame:
+    """Points (lon, lat) joined with the seeds (seed_lon, seed_lat) that can be within ``within_km``, as an
+    equi-join on grid cells; the exact distance is for the caller to test.
+
+    A point goes to all cells that its box touches: ``within_km`` in latitude, and as many degrees of
+    longitude as that is at the box's edge nearest to a pole (all of them beyond 85 degrees).
+    """
+    cells, pad = round(360 / size), within_km / 110.0
+    low, high = F.greatest(F.col("lat") - pad, F.lit(-90.0)), F.least(F.col("lat") + pad, F.lit(90.0))
+    edge = F.greatest(F.abs(low), F.abs(high))
+    wide = F.when(edge >= 85, F.lit(180.0)).otherwise(F.least(F.lit(pad) / F.cos(F.radians(F.least(edge, F.lit(85.0)))), F.lit(180.0)))
+    column = lambda v: F.floor((v + 180) / size).cast("int")
+    row = lambda v: F.floor((v + 90) / size).cast("int")
+    across = F.sequence(column(F.col("lon") - wide), F.least(column(F.col("lon") - wide) + cells - 1, column(F.col("lon") + wide)))
+    known = points.where("lon is not null and lat is not null")
+    boxed = known.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(F.sequence(row(low), row(high)))).withColumn("cx", F.pmod("cx", F.lit(cells)))
+    keyed = seeds.where("seed_lon is not null and seed_lat is not null").withColumns({"cx": F.pmod(column(F.col("seed_lon")), F.lit(cells)), "cy": row(F.col("seed_lat"))})
+    return boxed.join(keyed, ["cx", "cy"]).drop("cx", "cy")
 
 
 def metro_of_country(points: DataFrame, seeds: DataFrame, far_km: float = 100.0) -> DataFrame:

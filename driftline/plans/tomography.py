@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftline.functions import stats
+from driftline.operators.lineage import settle
 
 
 def pair_edges(edges: DataFrame, measurements: DataFrame) -> DataFrame:
@@ -40,15 +39,15 @@ def greedy_cover(edges: DataFrame, measurements: DataFrame, least_support: int =
     Every round scores the edges on the still unexplained pairs and takes the best int(100 / round) + 1
     at once (by pairs explained, p, name); rounds count from 2. It ends without candidates, at 95 % of
     the pairs, after five rounds without progress, when ten rounds gain under 1 %, or at the last round.
-    Only the picks of a round (51 at most) come to the driver; counts stay distributed.
+    Only the picks of a round (51 at most) come to the driver; counts stay distributed, and the lineage
+    of what is left ends with every round.
     """
-    spark = edges.sparkSession
-    counts = pair_edges(edges.where(~F.col("edge").contains("*")), measurements).persist()
-    whole = totals(measurements).persist()
-    bad_pairs = measurements.where("path_type = 'anomalous'").select("pair").distinct().persist()
-    goal = bad_pairs.count()
-    left, done, picks, history, idle = bad_pairs, 0, [], [], 0
-    explained = spark.createDataFrame([], "pair string, edge string")
+    counts = settle(pair_edges(edges.where(~F.col("edge").contains("*")), measurements))
+    whole = settle(totals(measurements))
+    left = settle(measurements.where("path_type = 'anomalous'").select("pair").distinct())
+    goal = left.count()
+    done, picks, history, idle = 0, [], [], 0
+    explained = edges.sparkSession.createDataFrame([], "pair string, edge string")
     for step in range(2, most_rounds + 2):
         if not goal or done >= 0.95 * goal or idle >= 5:
             break
@@ -61,52 +60,91 @@ def greedy_cover(edges: DataFrame, measurements: DataFrame, least_support: int =
             break
         picks += chosen
         hit = counts.where((F.col("path_type") == "anomalous") & F.col("edge").isin([c["edge"] for c in chosen]))
-        new = hit.join(left, "pair", "left_semi").groupBy("pair").agg(F.min("edge").alias("edge")).persist()
+        new = settle(hit.join(left, "pair", "left_semi").groupBy("pair").agg(F.min("edge").alias("edge")))
         gained = new.count()
         explained = explained.unionByName(new)
-        left = left.join(new, "pair", "left_anti").persist()
+        left = settle(left.join(new, "pair", "left_anti"))
         done += gained
         idle = idle + 1 if not gained else 0
         history.append(done)
     return picks, explained
 
 
-def mixed_cover(incidence: DataFrame, children: dict[str, list[str]] | None = None, least_purity: float = 0.1, most_incidence: int = 2_000_000, most_picks: int = 500) -> list[dict]:
-    """One pick a step over entities of all granularities: (gran, entity, pair, anomalous) rows.
+#: How coarse an entity is: of equal covers the finer one is taken, and coarse ones may be demoted.
+GRANULARITIES = {"edge": 0, "node": 1, "as": 2, "metro": 2, "ixp": 2}
+
+
+def mixed_cover(
+    uses: DataFrame, children: DataFrame | None = None, most_p: float = 0.01, least_support: int = 2, least_odds: float = 1.5, least_purity: float = 0.1, least_children: int = 2,
+    keep_purity: float = 0.5, stop_at: float = 0.98, most_steps: int = 500,
+) -> tuple[list[dict], DataFrame]:
+    """(culprits, statistics of every entity) of one cover over entities of all granularities.
 
-    An entity's purity is its share of anomalous pairs; those under ``least_purity`` are left out before
-    anything is gathered. The pick covers most unexplained pairs (ties: purity, finer first, name); a
-    coarse pick stands only with two plausible children or more and at least half the purity of the
-    best. It stops below two pairs, at 98 %, or at ``most_picks``. The gated incidence is counted first
-    and must stay under ``most_incidence`` rows.
+    ``uses`` has (id, pair, gran, entity, anomalous): a path of a pair goes through an entity; ``children``
+    has (gran, entity, node): the nodes of coarse entities. Candidates have enough anomalous paths,
+    purity (their share of all paths), significance and odds over all paths. Every step takes the
+    candidate that is in most unexplained pairs (ties: purer, finer, name) among those that still have
+    support and purity on the unexplained paths. A coarse one stands if enough of its nodes are plausible
+    there and its purity is not far below the best of theirs; else its node in most of its pairs is taken
+    instead, or, without any, it is out. The pairs of what is taken are explained.
+
+    Counts by (entity, pair) stay distributed; a step brings a few rows to the driver.
     """
-    per = incidence.groupBy("gran", "entity").agg(F.countDistinct("pair").alias("pairs"), F.countDistinct(F.when(F.col("anomalous"), F.col("pair"))).alias("bad"))
-    pool = per.where((F.col("bad") >= 2) & (F.col("bad") / F.col("pairs") >= least_purity))
-    rows = incidence.where("anomalous").join(pool, ["gran", "entity"]).select("gran", "entity", "pair", (F.col("bad") / F.col("pairs")).alias("purity")).distinct().persist()
-    if rows.count() > most_incidence:
-        raise ValueError("the gated candidates exceed most_incidence; raise least_purity")
-    cover, purity = defaultdict(set), {}
-    for r in rows.toLocalIterator():
-        cover[r["gran"], r["entity"]].add(r["pair"])
-        purity[r["gran"], r["entity"]] = r["purity"]
-    order, children = {"edge": 0, "node": 1, "as": 2, "metro": 3, "ixp": 4}, children or {}
-    goal, done, out = len(set().union(*cover.values())) if cover else 0, 0, []
-    while cover and len(out) < most_picks and done < 0.98 * goal:
-        best = min(cover, key=lambda e: (-len(cover[e]), -purity[e], order.get(e[0], 9), e[1]))
-        if len(cover[best]) < 2:
+    spark, key = uses.sparkSession, ["gran", "entity"]
+    paths = lambda bad: F.countDistinct(F.when(F.col("anomalous") == bad, F.col("id")))
+    counts = settle(uses.groupBy(*key, "pair").agg(paths(True).alias("a"), paths(False).alias("h")))
+    pairs = settle(uses.groupBy("pair").agg(paths(True).alias("pa"), paths(False).alias("ph")))
+    all_a, all_h, goal = pairs.agg(F.coalesce(F.sum("pa"), F.lit(0)), F.coalesce(F.sum("ph"), F.lit(0)), F.count_if(F.col("pa") > 0)).first()
+    whole = counts.groupBy(*key).agg(F.sum("a").alias("a"), F.sum("h").alias("h")).where(F.col("a") >= least_support)
+    whole = settle(whole.withColumn("f", stats.fisher_exact("a", F.lit(all_a), "h", F.lit(all_h))).select(*key, "a", "h", F.col("f.p").alias("p"), F.col("f.odds").alias("odds")))
+    purity = F.col("a") / (F.col("a") + F.col("h"))
+    pool = whole.where((purity >= least_purity) & (F.col("p") <= most_p) & (F.col("odds") >= least_odds))
+    open_ = settle(counts.join(pool.select(*key), key, "left_semi"))
+    children = children if children is not None else spark.createDataFrame([], "gran string, entity string, node string")
+    left_a, left_h, done, out = all_a, all_h, 0, []
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in GRANULARITIES.items() for x in kv]), "gran"), F.lit(9))
+
+    def plausible(rows: DataFrame) -> DataFrame:
+        return rows.where((F.col("a") >= least_support) & (purity >= least_purity))
+
+    for step in range(1, most_steps + 1):
+        if not goal or goal - done <= (1 - stop_at) * goal:
+            break
+        now = open_.groupBy(*key).agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.count_if(F.col("a") > 0).alias("cover"))
+        best = plausible(now).where(F.col("cover") >= least_support).orderBy(F.desc("cover"), purity.desc(), rank, "entity").limit(1).collect()
+        if not best:
             break
-        kids = [("node", c) for c in children.get(best[1], []) if ("node", c) in cover]
-        if best[0] in ("as", "metro", "ixp") and (len(kids) < 2 or purity[best] < 0.5 * max(purity[k] for k in kids)):
-            cover.pop(best)
-            continue
-        taken = set(cover.pop(best))
-        out.append({"gran": best[0], "entity": best[1], "pairs": len(taken), "purity": purity[best], "step": len(out) + 1})
-        done += len(taken)
-        for e in [e for e, pairs in cover.items() if pairs & taken]:
-            cover[e] -= taken
-            if not cover[e]:
-                del cover[e]
-    return out
+        best, demoted = best[0], None
+        taken = (best["gran"], best["entity"])
+        if GRANULARITIES.get(best["gran"]) == 2:
+            mine = open_.where((F.col("gran") == taken[0]) & (F.col("entity") == taken[1]) & (F.col("a") > 0)).select("pair", F.lit(1).alias("mine"))
+            nodes = children.where((F.col("gran") == taken[0]) & (F.col("entity") == taken[1])).select(F.lit("node").alias("gran"), F.col("node").alias("entity")).distinct()
+            kids = open_.join(nodes, key, "left_semi").join(mine, "pair", "left")
+            kids = kids.groupBy(*key).agg(F.sum("a").alias("a"), F.sum("h").alias("h"), F.count_if((F.col("mine") == 1) & (F.col("a") > 0)).alias("cover"))
+            kids = plausible(kids).where("cover > 0").withColumn("purity", purity)
+            n, most, main = kids.agg(F.count(F.lit(1)), F.max("purity"), F.max_by("entity", F.struct("cover", "purity", "entity"))).first()
+            if n < least_children or best["a"] / (best["a"] + best["h"]) < keep_purity * most:
+                if not n:
+                    open_ = open_.where(~((F.col("gran") == taken[0]) & (F.col("entity") == taken[1])))
+                    continue
+                taken, demoted = ("node", main), f"{taken[0]}:{taken[1]}"
+        rows = open_.where((F.col("gran") == taken[0]) & (F.col("entity") == taken[1]))
+        a, h = rows.agg(F.sum("a"), F.sum("h")).first()
+        covered = settle(rows.where("a > 0").select("pair").join(pairs, "pair"))
+        n, gone_a, gone_h = covered.agg(F.count(F.lit(1)), F.sum("pa"), F.sum("ph")).first()
+        p, odds = stats.fisher(a, left_a, h, left_h)
+        ratio = (a / left_a) / (h / left_h) if h and left_a and left_h else float("inf")
+        done += n
+        out.append({
+            "gran": taken[0], "entity": taken[1], "pairs": n, "purity": a / (a + h), "step": step, "demoted_from": demoted, "support": a, "healthy": h, "p": p, "odds": odds, "ratio": ratio,
+            "explained": done, "share": done / goal,
+        })
+        left_a, left_h = left_a - gone_a, left_h - gone_h
+        open_ = settle(open_.join(covered.select("pair"), "pair", "left_anti"))
+    won = spark.createDataFrame([(x["gran"], x["entity"]) for x in out], "gran string, entity string").distinct().withColumn("w", F.lit(True))
+    ratio = F.when(F.col("h") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col("a") / F.lit(max(all_a, 1)), F.col("h") / F.lit(max(all_h, 1))))
+    told = whole.join(F.broadcast(won), key, "left")  # at most a row a step
+    return out, told.select(*key, "a", "h", "p", "odds", ratio.alias("ratio"), F.coalesce("w", F.lit(False)).alias("culprit"))
 
 
 def edge_prevalence(edges: DataFrame, measurements: DataFrame) -> DataFrame:
@@ -147,11 +185,21 @@ def agrees(verdict_rows: DataFrame, culprits: DataFrame, by: list[str]) -> DataF
 
 
 def path_local(hops: DataFrame, explained: DataFrame, flagged: Column, reason: Column) -> DataFrame:
-    """For unexplained pairs the first flagged hop of the merged path and the last good node before it."""
-    left = hops.join(explained.select("pair").distinct(), "pair", "left_anti").withColumn("bad", F.coalesce(flagged, F.lit(False)))
-    before = W.partitionBy("pair").orderBy("ttl", "node").rowsBetween(W.unboundedPreceding, -1)
-    seen = left.withColumn("good", F.last(F.when(~F.col("bad"), F.col("node")), True).over(before)).withColumn("reason", reason)
-    return seen.where("bad").groupBy("pair").agg(F.min_by(F.struct("good", "node", "reason"), F.struct("ttl", "node")).alias("x")).select("pair", "x.good", "x.node", "x.reason")
+    """For unexplained pairs the first flagged hop of the merged path and the last good node before it;
+    hops are ordered by TTL, then node."""
+    left = hops.join(explained.select("pair").distinct(), "pair", "left_anti").withColumn("bad", F.coalesce(flagged, F.lit(False))).withColumn("reason", reason)
+    place = F.struct("ttl", "node")
+    first = left.where("bad").groupBy("pair").agg(F.min(place).alias("first"), F.min_by("reason", place).alias("reason"))
+    before = left.where("not bad").join(first.select("pair", "first"), "pair").where(place < F.col("first"))
+    good = before.groupBy("pair").agg(F.max_by("node", place).alias("good"))
+    return first.join(good, "pair", "left").select("pair", "good", F.col("first.node").alias("node"), "reason")
+
+
+def path_local_either(forward: DataFrame, reverse: DataFrame, explained: DataFrame, flagged: Column, flagged_reverse: Column, reason: Column) -> DataFrame:
+    """The forward path's flagged hop, else the reverse path's; ``direction`` says which."""
+    f = path_local(forward, explained, flagged, reason).withColumn("direction", F.lit("forward"))
+    r = path_local(reverse, explained, flagged_reverse, reason).withColumn("direction", F.lit("reverse"))
+    return f.unionByName(r.join(f.select("pair"), "pair", "left_anti"))
 
 
 def hyperedges(edges: DataFrame, culprits: DataFrame) -> DataFrame:

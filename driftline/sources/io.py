@@ -58,18 +58,26 @@ class Store:
         self._writable()
         df.write.mode("append").partitionBy(DAY).parquet(self.path(name))
 
-    def first_writer_wins(self, name: str, df: DataFrame, key: list[str], day: str, days: int = 7) -> DataFrame:
-        """Only rows whose key no trailing partition has; null keys match null keys."""
+    def first_writer_wins(self, name: str, df: DataFrame, key: list[str], day: str, days: int = 7, any_null: list[str] = ()) -> DataFrame:
+        """Only rows whose key no trailing partition has; null keys match null keys, and a stored null in a
+        column of ``any_null`` matches every value."""
         new = df.dropDuplicates(key)
         if self.exists(name):
-            old = self.window(name, day, days).where(F.col(DAY) < F.to_date(F.lit(day))).select(*[F.col(k).alias(f"__{k}") for k in key]).distinct()
-            on = F.lit(True)
-            for k in key:
-                on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-            new = new.join(old, on, "left_anti")
+            old = self.window(name, day, days).where(F.col(DAY) < F.to_date(F.lit(day))).select(*key).distinct()
+            for k in any_null:  # without this column, for those that are null in it
+                new = self._without(new, old.where(F.col(k).isNull()), [c for c in key if c != k])
+            new = self._without(new, old, key)
         self.write(name, new)
         return new
 
+    @staticmethod
+    def _without(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
+        old = old.select(*[F.col(k).alias(f"__{k}") for k in key]).distinct()
+        on = F.lit(True)
+        for k in key:
+            on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        return new.join(old, on, "left_anti")
+
     def merge(self, name: str, day: str, updates: DataFrame, key: list[str], column: str) -> None:
         """MERGE ... WHEN MATCHED UPDATE of one column in one partition, as a rewrite of that partition."""
         self._writable()
@@ -97,6 +105,11 @@ class Store:
         found = [s.getPath().getName() for s in fs.listStatus(p)]
         return sorted(x.split("=", 1)[1] for x in found if x.startswith(f"{DAY}="))
 
+    def partition_rows(self, name: str) -> DataFrame:
+        """(name, day, n): the rows of every partition; only the partition column is read, so the counts come
+        from the files' footers."""
+        return self.read(name).groupBy(F.lit(name).alias("name"), F.col(DAY).cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
     def delete_days(self, names: list[str], days: list[str]) -> list[str]:
         """Drop partitions; failures are returned, not raised."""
         self._writable()

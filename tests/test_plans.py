@@ -52,9 +52,95 @@ def test_set_cover_explains_each_pair_once(spark):
     picks, explained = tomography.greedy_cover(e, m)
     assert [p["edge"] for p in picks] == ["bad", "worse"]
     assert explained.groupBy("pair").count().where("count > 1").count() == 0 and explained.count() == 12
-    inc = e.join(m, "id").select(F.lit("edge").alias("gran"), F.col("edge").alias("entity"), "pair", (F.col("path_type") == "anomalous").alias("anomalous"))
-    mixed = tomography.mixed_cover(inc)
-    assert mixed[0]["entity"] in ("bad", "common") and sum(p["pairs"] for p in mixed) <= 12
+
+
+def _plain_cover(uses, children, least=2, most_p=0.01, odds=1.5, floor=0.1):
+    """The cover over sets of paths, one step after another; returns what each step took."""
+    from driftline.functions import stats
+
+    through, of, bad = {}, {}, {}
+    for i, pair, gran, entity, anomalous in uses:
+        through.setdefault((gran, entity), set()).add(i)
+        of[i], bad[i] = pair, anomalous
+    count = lambda e, ids: (len([i for i in through[e] if i in ids and bad[i]]), len([i for i in through[e] if i in ids and not bad[i]]))
+    every = set(of)
+    totals = lambda ids: (sum(bad[i] for i in ids), sum(not bad[i] for i in ids))
+    pool = []
+    for e in through:
+        a, h = count(e, every)
+        if a >= least and a / (a + h) >= floor:
+            p, o = stats.fisher(a, totals(every)[0], h, totals(every)[1])
+            if p <= most_p and o >= odds:
+                pool.append(e)
+    goal, open_, out = len({of[i] for i in every if bad[i]}), set(every), []
+    rank = {"edge": 0, "node": 1, "as": 2, "metro": 2, "ixp": 2}
+    while goal and len({of[i] for i in open_ if bad[i]}) > 0.02 * goal:
+        pairs = lambda e: {of[i] for i in through[e] if i in open_ and bad[i]}
+        pure = lambda e: count(e, open_)[0] / max(1, sum(count(e, open_)))
+        fine = [e for e in pool if count(e, open_)[0] >= least and pure(e) >= floor and len(pairs(e)) >= least]
+        if not fine:
+            break
+        best = min(fine, key=lambda e: (-len(pairs(e)), -pure(e), rank[e[0]], e[1]))
+        taken, demoted = best, None
+        if rank[best[0]] == 2:
+            kids = [("node", n) for g, x, n in children if (g, x) == best and ("node", n) in pool]
+            kids = [k for k in set(kids) if count(k, open_)[0] >= least and pure(k) >= floor and pairs(k) & pairs(best)]
+            if len(kids) < 2 or pure(best) < 0.5 * max(map(pure, kids)):
+                if not kids:
+                    pool.remove(best)
+                    continue
+                taken, demoted = max(kids, key=lambda k: (len(pairs(k) & pairs(best)), pure(k), k[1])), f"{best[0]}:{best[1]}"
+        gone = pairs(taken)
+        out.append((*taken, len(gone), demoted, *count(taken, open_)))
+        open_ = {i for i in open_ if of[i] not in gone}
+    return out
+
+
+def test_mixed_cover_against_plain_sets(spark):
+    rng = np.random.default_rng(5)
+    seen = set()
+    for trial in range(3):
+        uses, children, i = [], set(), 0
+        causes = [("a1", 0.9), ("b1", 0.9), ("b2", 0.8), ("c1", 0.0), ("c2", 0.0), ("d1", 0.7 if trial else 0.0)]
+        for n, _ in causes:
+            children |= {("as", n[0], n), ("metro", "m" + n[1], n)}
+        for pair in range(30):
+            for _ in range(6):
+                i += 1
+                nodes = [causes[k] for k in rng.choice(len(causes), 2, replace=False)]
+                hit = bool(rng.random() < max(w for _, w in nodes) * (1.0 if pair % 3 else 0.3))
+                for n, _ in nodes:
+                    uses += [(i, f"p{pair}", "node", n, hit), (i, f"p{pair}", "as", n[0], hit), (i, f"p{pair}", "metro", "m" + n[1], hit)]
+                uses.append((i, f"p{pair}", "edge", "-".join(n for n, _ in nodes), hit))
+        want = _plain_cover(uses, children, most_p=0.2, odds=1.05)
+        u = spark.createDataFrame(uses, "id long, pair string, gran string, entity string, anomalous boolean").distinct()
+        picks, told = tomography.mixed_cover(u, spark.createDataFrame(list(children), "gran string, entity string, node string"), most_p=0.2, least_odds=1.05)
+        assert [(p["gran"], p["entity"], p["pairs"], p["demoted_from"], p["support"], p["healthy"]) for p in picks] == want
+        seen |= {p["gran"] for p in picks} | {"demoted" for p in picks if p["demoted_from"]}
+        rows = {(r["gran"], r["entity"]): r for r in told.collect()}
+        assert {k for k, r in rows.items() if r["culprit"]} == {(p["gran"], p["entity"]) for p in picks} and len(rows) > len(picks)
+    assert "demoted" in seen or len(seen) > 1
+
+
+def test_near_seeds_reach_as_far_as_asked(spark):
+    rng = np.random.default_rng(6)
+    xy = lambda n: list(zip(range(n), rng.uniform(-180, 180, n).tolist(), rng.uniform(-89, 89, n).tolist()))
+    a, b = xy(60), xy(60)
+    p, q = spark.createDataFrame(a, "i int, lon double, lat double"), spark.createDataFrame(b, "j int, seed_lon double, seed_lat double")
+    for km in (300.0, 2500.0):
+        near = joins.near_seeds(p, q, km).where(geo.distance(F.col("lon"), F.col("lat"), F.col("seed_lon"), F.col("seed_lat")) <= km)
+        got = sorted((r["i"], r["j"]) for r in near.collect())
+        assert got == sorted((i, j) for i, x, y in a for j, v, w in b if geo.arc_km(geo.unit(x, y), geo.unit(v, w)) <= km)
+
+
+def test_null_stored_label_stands_for_any(spark, tmp_path):
+    from driftline.sources import io
+
+    rows = lambda x, day: spark.createDataFrame(x, "ip long, label string").withColumn(io.DAY, F.to_date(F.lit(day)))
+    s = io.Store(spark, f"file://{tmp_path}/s")
+    s.write("t", rows([(1, None), (2, "a")], "2024-01-01"))
+    new = s.first_writer_wins("t", rows([(1, "x"), (1, None), (2, "b"), (2, "a"), (2, None)], "2024-01-02"), ["ip", "label"], "2024-01-02", any_null=["label"])
+    assert sorted((r["ip"], r["label"] or "") for r in new.collect()) == [(2, ""), (2, "b")]
 
 
 def test_path_local_finds_the_first_bad_hop(spark):

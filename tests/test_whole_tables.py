@@ -1,4 +1,4 @@
-"""The *_whole queries read every row, where the queries they stand beside read an id subset."""
+"""Queries that once had an id subset read every row."""
 
 import pytest
 
@@ -9,8 +9,8 @@ PARTS = "part", "p_partkey"
 
 
 @pytest.mark.parametrize("name, table, key, column, times", [
-    ("proj_struct_field_whole", "orders", "o_orderkey", "id", 1), ("proj_kv_lookup_whole", "events", "event_id", "event_id", 1),
-    ("ip_mask_explode_whole", *PARTS, "p_partkey", 25), ("join_multi_meta_whole", "lineitem", "l_orderkey", "id", 1),
+    ("proj_struct_field", "orders", "o_orderkey", "id", 1), ("proj_kv_lookup", "events", "event_id", "event_id", 1),
+    ("ip_mask_explode", *PARTS, "p_partkey", 25), ("join_multi_meta", "lineitem", "l_orderkey", "id", 1),
 ])
 def test_every_row(spark, name, table, key, column, times):
     rows = spark.read.parquet(f"{SMALL}/{table}.parquet")
@@ -21,7 +21,7 @@ def test_every_row(spark, name, table, key, column, times):
 
 def test_unmatched_by_data(spark):
     parts = spark.read.parquet(f"{SMALL}/part.parquet").count()
-    assert 0 < catalog.queries()["join_lpm_whole"](spark, SMALL).count() < parts
-    assert 0 < catalog.queries()["join_ip_in_net_whole"](spark, SMALL).count() < parts
-    got = catalog.queries()["d32_resolved_whole"](spark, SMALL)
+    assert 0 < catalog.queries()["join_lpm"](spark, SMALL).count() < parts
+    assert 0 < catalog.queries()["join_ip_in_net"](spark, SMALL).count() < parts
+    got = catalog.queries()["d32_resolved"](spark, SMALL)
     assert 0 < got.where("edge = 'unresolved'").count() < got.count()
