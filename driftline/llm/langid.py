@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from uuid import uuid4
 
@@ -16,13 +15,21 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import held, small_batches
 
-#: Characters that count as word characters though they are neither letters nor decimal digits (fractions,
-#: superscripts, circled and Roman numerals).
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+RUNS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a text in lower case. Fractions, superscripts, circled and Roman numerals,
+    which a pattern for word characters takes, are no letters and part words."""
+    if not isinstance(text, str):
+        return []
+    found = RUNS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 class WordBackoff:
     """Tables of one fitted model; bounded by the texts it was fitted on."""
 
@@ -54,8 +61,8 @@ class WordBackoff:
                 np.add.at(matrix, (of, to), times)
                 whole = matrix.sum(axis=0) + 0.5 * len(at)
                 self.grams[n] = at, np.log((matrix + 0.5) / whole)
-                if n == 3:
-                    self.never = np.log(0.5 / whole)
+                if n == 3:  # the last row is for trigrams that were never seen
+                    self.threes = np.vstack([self.grams[n][1], np.log(0.5 / whole)])
 
     @staticmethod
     def _cut(word: str, n: int) -> list[str]:
@@ -65,8 +72,8 @@ class WordBackoff:
     def fit(self, word: str) -> np.ndarray:
         """Sum over the word's trigrams of their log frequencies; trigrams never seen count as half an
         occurrence. A word has as many trigrams as letters."""
-        at, table = self.grams.get(3, ({}, None))
-        return np.sum([table[i] if (i := at.get(g)) is not None else self.never for g in self._cut(word, 3)], axis=0)
+        at = self.grams[3][0]
+        return self.threes[[at.get(g, -1) for g in self._cut(word, 3)]].sum(axis=0)
 
     def unseen(self, word: str) -> np.ndarray | None:
         """Mean log frequency of the longest n-grams of the word that are known at all."""
@@ -108,7 +115,7 @@ class Scorer:
 
     def _some(self, texts: list) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        words = [LETTERS.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
+        words = [words_of(t) for t in texts]
         if not self.model.langs:
             return [UNDETERMINED] * len(words), [0.0] * len(words)
         missing = {w for ws in words for w in ws if w not in self.rows}
@@ -143,15 +150,15 @@ class Fitter:
     def one(self, text, lang: str, usual: float = 0.0, prior: int = 0) -> float | None:
         """Mean log frequency of the text's trigrams in ``lang``, with ``prior`` more of the ``usual``
         fit; None without a letter or for a language that the model does not know."""
-        words = LETTERS.findall(text.lower()) if isinstance(text, str) else []
-        if not words or lang not in self.at:
+        words = words_of(text)
+        if not words or lang not in self.at or 3 not in self.model.grams:
             return None
         if len(self.fits) > self.remember:
             self.fits.clear()
         j, total, letters = self.at[lang], usual * prior, prior
         for w in words:
             if (v := self.fits.get(w)) is None:
-                v = self.fits[w] = self.model.fit(w)
+                v = self.fits[w] = self.model.fit(w).tolist()
             total += v[j]
             letters += len(w)
         return float(total / letters)
@@ -169,7 +176,7 @@ def _sample(docs: DataFrame, text_col: str, lang_col: str, max_docs: int) -> tup
     return have, keyed.where(place < F.element_at(most, F.col("l"))).dropDuplicates(["l", "t"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 2000, longest: int = 4) -> WordBackoff:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 1000, longest: int = 4) -> WordBackoff:
     """Fit on a bounded sample: about ``max_docs`` distinct whole texts a language, those of the least
     hash, with all their words. Rows without text or language are not used; with no usable row the model
     knows no language."""
@@ -182,7 +189,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
         tally: Counter = Counter()
         for pdf in batches:
             for lang, text in zip(pdf["l"], pdf["t"]):
-                tally.update((lang, w) for w in LETTERS.findall(text.lower()))
+                tally.update((lang, w) for w in words_of(text))
             if len(tally) > 100_000:
                 yield pd.DataFrame([(a, b, n) for (a, b), n in tally.items()], columns=["l", "w", "n"])
                 tally.clear()

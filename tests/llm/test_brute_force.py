@@ -456,14 +456,16 @@ def test_op9_letters_by_category():
 
 def test_op9_scores_against_a_plain_version(spark):
     """Predictions and scores of a table against word by word scoring; few words are remembered."""
+    import regex
+
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = langid.fit(docs)
     scorer = langid.Scorer(model, remember=40)
-    texts = [r["text"] for r in docs.collect()] + ["zzqx wvvk", None, "12"]
+    texts = [r["text"] for r in docs.collect()] + ["zzqx wvvk", None, "12", "été½naïve x²y ①word Ⅷ und_er 日本語テキスト"]
     half = [t[: len(t) // 2] + "q" + t[len(t) // 2 :] if t else t for t in texts]
     for some in (texts, half):
         for (text, lang, score) in zip(some, *scorer.batch(some, 16)):
-            words = langid.LETTERS.findall(text.lower()) if text else []
+            words = regex.findall(r"\p{L}+", text.lower()) if text else []
             if not words:
                 assert (lang, score) == ("und", 0.0)
                 continue
