@@ -4,130 +4,110 @@ Lines that occur once cannot be part of a repeated run; the others form, inside
 segments. Suffixes are the lines of these segments up to the segment's end. A suffix's rank is the
 pair (id of its first line, offset among the suffixes with that line); each doubling round orders the
 suffixes of equal rank by the rank of the suffix 2^k lines on, so ranks after round k order suffixes
-by their first 2^k lines and are equal exactly if those lines are.
+by their first 2^k lines and are equal exactly if those lines are. Rounds end once no two suffixes have
+so many lines in common.
 
-A set of suffixes whose longest common prefix is n lines or more is an interval of that array; its
-name is the pair of ranks at depth 2^k that cover the n lines. For every line the shortest stretch that
-starts there, and the shortest that ends there, of ``min_words`` words or more are looked up: in an
-interval of several suffixes all but the first in document order are later copies. The union of these
-stretches is the union of all later copies of maximal repeated runs of ``min_words`` words or more.
+Suffixes of equal rank at depth 2^k are an interval of the array whose longest common prefix is 2^k
+lines or more. From the deepest depth down every suffix is led to the interval of the longest common
+prefix in which it is not the first in document order: a run of lines that is a later copy, and
+maximal. The member that comes first stays in the interval above, and a second row of it stands in the
+interval for the others to be compared with. Runs of ``min_words`` words or more are deleted.
+
+All copies of a whole text but the first are one such run each, and their lines need no suffix.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.common import cut
+from driftline.llm.common import broadcast_if_small, cut
 
 LINE = r"\n"
-
-
-def _stretches(words: list[int], min_words: int) -> tuple[list[int], list[int]]:
-    """Per line the length of the shortest stretch of ``min_words`` words from it, and up to it; 0: none."""
-    sums = np.concatenate([[0], np.cumsum(words)])
-    n = len(words)
-    stop = np.searchsorted(sums, sums[:-1] + min_words, side="left")
-    start = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1
-    at = np.arange(n)
-    return np.where(stop <= n, stop - at, 0).tolist(), np.where(start >= 0, at + 1 - start, 0).tolist()
-
-
 #: What names a segment: its document, and its first line number less the shared lines before it.
 SEGMENT = ["doc_id", "h", "seg"]
+#: Rows of names that a join may broadcast.
+MOST_ROWS = 200_000
+
+
+def _deeper(state: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """``state`` with o<k + 1>, and the size of the largest set of suffixes of equal rank there.
+
+    Equal pairs are counted before they are shuffled, so a line that a third of all rows share costs one
+    row a task; the different followers of one line are dealt to ranges of their ids."""
+    o = f"o{k}"
+    after = F.lead(F.struct("a", "b", o), 1 << k).over(W.partitionBy(*SEGMENT).orderBy("line"))
+    end = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(-1).cast("long").alias(o))
+    paired = state.withColumn("y", F.coalesce(after, end)).withColumns({"ya": F.col("y.a"), "yb": F.col("y.b"), "yo": F.col(f"y.{o}")}).drop("y")
+    paired = cut(paired)
+    rank, key = ["a", "b", o], ["a", "b", o, "ya", "yb", "yo"]
+    # the end sorts first (its offset is -1), then the following ranks; a range is the first bits of ya
+    range_ = F.when(F.col("yo") < 0, F.lit(-100).cast("long")).otherwise(F.shiftright("ya", 59))
+    counts = cut(paired.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("r", range_))
+    before = W.partitionBy(*rank).orderBy("r").rowsBetween(W.unboundedPreceding, -1)
+    ranges = counts.groupBy(*rank, "r").agg(F.sum("n").alias("n")).select(*rank, "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("less"))
+    inner = W.partitionBy(*rank, "r").orderBy("ya", "yb", "yo").rowsBetween(W.unboundedPreceding, -1)
+    ranks = counts.withColumn("in", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(ranges, [*rank, "r"])
+    ranks = ranks.select(*key, (F.col(o) + F.col("less") + F.col("in")).alias(f"o{k + 1}"))
+    most = counts.where("yo >= 0").agg(F.max("n")).first()[0] or 0
+    # cut, so that Spark can split the rows of one rank in the join
+    return paired.join(broadcast_if_small(cut(ranks), MOST_ROWS), key).drop("ya", "yb", "yo"), most
+
+
+def suffix_ranks(state: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
+    """``state`` (doc_id, h, seg, line, a, b) with o0 .. o<K>, and K: a suffix's place among those of its
+    first line (a, b) by the first 2^k lines; equal for equal lines. K is the first depth at which no two
+    suffixes have 2^K lines in common, or ``rounds``."""
+    state, k = state.withColumn("o0", F.lit(0).cast("long")), 0
+    while rounds is None or k < rounds:
+        state, most = _deeper(state, k)
+        k += 1
+        if rounds is None and most < 2:
+            break
+    return state, k
+
+
+def later_runs(state: DataFrame) -> DataFrame:
+    """``state`` (doc_id, h, seg, line, a, b, ..) with ``n``, the length of the longest run of lines from here
+    that has been before, in document order (0: none), and ``first``, where it was first."""
+    ranked, depth = suffix_ranks(state)
+    offsets = [f"o{k}" for k in range(depth + 1)]
+    left = F.max("line").over(W.partitionBy(*SEGMENT)) - F.col("line") + 1
+    table = cut(ranked.select(*SEGMENT, "line", "a", "b", *offsets, left.alias("left")))
+    place = F.struct("doc_id", "h", "line", "seg", "left")
+    kind = table.select(place.alias("p")).schema["p"].dataType
+    none = F.lit(0).cast("long")
+    found = table.select(*SEGMENT, "line", "left", none.alias("n"), none.alias("ca"), none.alias("cb"), F.lit(None).cast(kind).alias("first"), F.lit(False).alias("stands"))
+    for k in range(depth - 1, -1, -1):
+        on = table.select(*SEGMENT, F.col("line").alias("at"), F.col("a").alias("ya"), F.col("b").alias("yb"), F.col(f"o{k}").alias("yo"))
+        wide = found.withColumn("at", F.when(F.col("left") - F.col("n") >= (1 << k), F.col("line") + F.col("n"))).join(on, [*SEGMENT, "at"], "left")
+        wide = wide.withColumns({"na": F.when(F.col("ya").isNotNull(), F.xxhash64("ca", "cb", "ya", "yb", "yo")), "nb": F.when(F.col("ya").isNotNull(), F.xxhash64(F.lit(7), "ca", "cb", "ya", "yb", "yo"))})
+        wide = cut(wide.drop("ya", "yb", "yo", "at"))
+        # cut, so that Spark can split the rows of a very common run in the join
+        here = cut(wide.where("na is not null").groupBy("na", "nb").agg(F.min(place).alias("start"), F.first("n").alias("sn"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
+        met = wide.join(broadcast_if_small(here.drop("sn"), MOST_ROWS), ["na", "nb"], "left")
+        later = F.coalesce(~F.col("stands") & (F.col("start") < place), F.lit(False))
+        found = met.select(
+            *SEGMENT, "line", "left", F.when(later, F.col("n") + (1 << k)).otherwise(F.col("n")).alias("n"), F.when(later, F.col("na")).otherwise(F.col("ca")).alias("ca"),
+            F.when(later, F.col("nb")).otherwise(F.col("cb")).alias("cb"), F.when(later, F.col("start")).otherwise(F.col("first")).alias("first"), "stands",
+        )
+        first = here.select(*[F.col(f"start.{c}").alias(c) for c in (*SEGMENT, "line", "left")], (F.col("sn") + (1 << k)).alias("n"), F.col("na").alias("ca"), F.col("nb").alias("cb"), F.lit(None).cast(kind).alias("first"), F.lit(True).alias("stands"))
+        found = found.unionByName(first)
+    own = found.where("not stands").select(*SEGMENT, "line", "n", F.struct("first.doc_id", "first.h", "first.line").alias("at"), F.col("first").isNotNull().alias("seen"))
+    return state.join(own.select(*SEGMENT, "line", "n", F.when(F.col("seen"), F.col("at")).alias("first")), [*SEGMENT, "line"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, t, h, g): non-null texts with 128 bits of their hash."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t is not null")
+    return rows.select("doc_id", "t", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(7), "t").alias("g"))
 
 
-def _segments(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """One row a segment, its lines in order; a segment lies inside one document."""
-    return rows.groupBy(*SEGMENT).agg(F.array_sort(F.collect_list(F.struct("line", *fields))).alias("r"))
-
-
-def _measured(segments: DataFrame, min_words: int) -> DataFrame:
-    def measure(batches):
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("of", "line", "a", "b", "fwd", "bwd")}
-            for j, rows in enumerate(batch.column(3)):
-                rows = rows.as_py()
-                fwd, bwd = _stretches([r["w"] for r in rows], min_words)
-                if max(fwd) == 0:
-                    continue
-                out["of"] += [j] * len(rows)
-                for k in ("line", "a", "b"):
-                    out[k] += [r[k] for r in rows]
-                out["fwd"] += fwd
-                out["bwd"] += bwd
-            at = pa.array(out.pop("of"), pa.int64())
-            keys = [batch.column(i).take(at) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(keys + [pa.array(v, pa.int64()) for v in out.values()], names=[*SEGMENT, *out])
-
-    return segments.mapInArrow(measure, f"{_key_types(segments)}, line long, a long, b long, fwd long, bwd long")
-
-
-def _key_types(df: DataFrame) -> str:
-    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in SEGMENT)
-
-
-def suffix_ranks(state: DataFrame, rounds: int) -> DataFrame:
-    """``state`` with o0 .. o<rounds>: a suffix's place among those of its first line (a, b) by the
-    first 2^k lines; equal for equal lines. Equal pairs are counted before they are shuffled, so a line
-    that a third of all rows share costs one row a task."""
-    state = state.withColumn("o0", F.lit(0).cast("long"))
-    for k in range(rounds):
-        o = f"o{k}"
-        on = W.partitionBy(*SEGMENT).orderBy("line")
-        after = F.lead(F.struct("a", "b", o), 1 << k).over(on)
-        end = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(-1).cast("long").alias(o))
-        paired = state.withColumn("y", F.coalesce(after, end)).withColumns({"ya": F.col("y.a"), "yb": F.col("y.b"), "yo": F.col(f"y.{o}")}).drop("y")
-        paired = cut(paired)
-        key = ["a", "b", o, "ya", "yb", "yo"]
-        counts = paired.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        # the end sorts first (its offset is -1); then any fixed order of the following ranks will do
-        less = W.partitionBy("a", "b", o).orderBy((F.col("yo") >= 0), "ya", "yb", "yo").rowsBetween(W.unboundedPreceding, -1)
-        ranks = counts.select(*key, (F.col(o) + F.coalesce(F.sum("n").over(less), F.lit(0))).alias(f"o{k + 1}"))
-        state = paired.join(ranks, key).drop("ya", "yb", "yo")
-    return state
-
-
-def _intervals(segments: DataFrame, rounds: int) -> DataFrame:
-    """Each stretch with the name of its interval: length and the ranks that cover it."""
-    offsets = [f"o{k}" for k in range(rounds + 1)]
-
-    def name(batches):
-        for batch in batches:
-            of, out = [], [[] for _ in range(8)]
-            for j, rows in enumerate(batch.column(3)):
-                rows = rows.as_py()
-                for i, r in enumerate(rows):
-                    for start, n in {(i, r["fwd"]), (i + 1 - r["bwd"], r["bwd"])}:
-                        if n:
-                            k = n.bit_length() - 1
-                            x, y = rows[start], rows[start + n - (1 << k)]
-                            of.append(j)
-                            for to, v in zip(out, (x["line"], n, x["a"], x["b"], x[offsets[k]], y["a"], y["b"], y[offsets[k]])):
-                                to.append(v)
-            at = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(2)] + [pa.array(v, pa.int64()) for v in out], names=["doc_id", "h", "line", *NAME])
-
-    kinds = _key_types(segments).rsplit(",", 1)[0]
-    return segments.mapInArrow(name, f"{kinds}, line long, " + ", ".join(f"{c} long" for c in NAME)).dropDuplicates(["doc_id", "h", "line", "n"])
-
-
-NAME = ["n", "xa", "xb", "xo", "ya", "yb", "yo"]
-
-
-def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, h, lines): the sorted line numbers from 0 that lie in a later copy of a repeated run.
-
-    ``h`` is the hash of the text; rows of equal id and text are one document here. Documents are
-    ordered by id (null first) and text hash. Lines are equal if their trimmed texts are; blank lines
-    carry no words, so they go only inside a run. A run of over ``min_words`` words that repeats
-    inside one document counts too.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where("t is not null")
-    lines = rows.select("doc_id", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", LINE)).alias("line", "s"))
+def _shared_lines(texts: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, h, seg, line, w, a, b): the lines that occur more than once, in segments of ``min_words`` words
+    or more; w is a line's words."""
+    lines = texts.select("doc_id", "h", F.posexplode(F.split("t", LINE)).alias("line", "s"))
     s = F.trim(F.col("s"))
     # a line's id has 128 bits; the texts end here
     ids = cut(
@@ -139,23 +119,56 @@ def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", t
     # cut, so that the join deals its rows by itself and a very common line can be split over tasks
     often = cut(ids.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"))
     shared = ids.join(often, ["a", "b"]).dropDuplicates(["doc_id", "h", "line"])
-    doc = W.partitionBy("doc_id", "h").orderBy("line")
-    shared = shared.withColumn("seg", F.col("line") - F.row_number().over(doc))
-    state = cut(_measured(_segments(shared, ["a", "b", "w"]), min_words))
-    longest = state.agg(F.max(F.greatest("fwd", "bwd"))).first()[0] or 0
-    rounds = max(0, longest.bit_length() - 1)
-    ranked = suffix_ranks(state, rounds)
-    named = cut(_intervals(_segments(ranked, ["a", "b", "fwd", "bwd", *[f"o{k}" for k in range(rounds + 1)]]), rounds))
-    place = F.struct("doc_id", "h", "line")
-    first = named.groupBy(*NAME).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    later = named.join(first, NAME).where(place > F.col("first"))
-    gone = later.select("doc_id", "h", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line"))
-    return gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    shared = shared.withColumn("seg", F.col("line") - F.row_number().over(W.partitionBy("doc_id", "h").orderBy("line")))
+    words = F.sum("w").over(W.partitionBy(*SEGMENT))
+    return cut(shared.withColumn("words", words).where(F.col("words") >= min_words).select(*SEGMENT, "line", "w", "a", "b"))
+
+
+def _measured(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The shared lines with n, first, the run's words and ``end``, the line after the furthest run of enough
+    words that has begun; and the later copies of whole texts (doc_id, h, lines)."""
+    texts = _texts(docs, id_col, text_col)
+    whole = cut(texts.groupBy("h", "g").agg(F.min(F.struct("doc_id")).alias("f"), F.min(F.struct("doc_id")) != F.max(F.struct("doc_id"))).toDF("h", "g", "f", "many").where("many").drop("many"))
+    told = texts.join(broadcast_if_small(whole, MOST_ROWS), ["h", "g"], "left").withColumn("again", F.coalesce(F.struct("doc_id") != F.col("f"), F.lit(False)))
+    state = later_runs(_shared_lines(told.where("not again"), min_words))
+    upto = W.partitionBy(*SEGMENT).orderBy("line")
+    sums = state.withColumn("sum", F.sum("w").over(upto.rowsBetween(W.unboundedPreceding, 0)))
+    ends = sums.select(*SEGMENT, (F.col("line") + 1).alias("stop"), F.col("sum").alias("to"))
+    met = sums.withColumn("stop", F.col("line") + F.col("n")).join(ends, [*SEGMENT, "stop"], "left")
+    met = met.withColumn("words", F.when(F.col("n") > 0, F.col("to") - F.col("sum") + F.col("w")).otherwise(0)).drop("to", "sum", "stop")
+    reach = F.when(F.col("words") >= min_words, F.col("line") + F.col("n"))
+    met = met.withColumn("end", F.max(reach).over(upto.rowsBetween(W.unboundedPreceding, 0)))
+    n = F.size(F.split("t", LINE)) - 1
+    copies = told.where("again").where(F.regexp_count("t", F.lit(r"\S+")) >= min_words)
+    return met, copies.select("doc_id", "h", F.sequence(F.lit(0).cast("long"), n.cast("long")).alias("lines"))
+
+
+def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, line, n, words, first): the maximal later copies of line runs that start inside texts, whole
+    copies of texts apart: where, how many lines and words, and the place of the first copy."""
+    met, _ = _measured(docs, min_words, id_col, text_col)
+    inside = F.lag("n").over(W.partitionBy(*SEGMENT).orderBy("line")) > F.col("n")
+    return met.withColumn("in", F.coalesce(inside, F.lit(False))).where((F.col("words") >= min_words) & ~F.col("in")).select("doc_id", "h", "line", "n", "words", "first")
+
+
+def later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, lines): the sorted line numbers from 0 that lie in a later copy of a repeated run.
+
+    ``h`` is the hash of the text; rows of equal id and text are one document here. Documents are
+    ordered by id (null first) and text hash. Lines are equal if their trimmed texts are; blank lines
+    carry no words, so they go only inside a run. A run of ``min_words`` words or more that repeats
+    inside one document counts too, also where the copies overlap: of a passage that is repeated on and on
+    its first occurrence stays. Long texts are read whole.
+    """
+    met, copies = _measured(docs, min_words, id_col, text_col)
+    gone = met.where(F.col("end") > F.col("line")).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return gone.unionByName(copies.dropDuplicates(["doc_id", "h"]))
 
 
 def delete_later_copies(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines of later copies deleted from the text, ``__n_lines`` (before) and
     ``__deleted`` (their numbers). Null texts stay null with no line, empty texts have one empty line;
+    of equal texts the one of the least id (null first) keeps its lines, repeated rows of it all do;
     other columns pass; an empty table gives no rows."""
     gone = cut(later_copies(docs, min_words, id_col, text_col)).select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), F.col("lines").alias("__deleted"))
     if (gone.agg(F.sum(F.size("__deleted"))).first()[0] or 0) <= 500_000:  # line numbers; else by a shuffle

@@ -66,7 +66,7 @@ def test_op2_suffix_ranks_order_suffixes(spark):
         words[d] = seq
         rows += [(d, 0, 0, i, x, -x) for i, x in enumerate(seq)]
     s = spark.createDataFrame(rows, "doc_id long, h long, seg long, line long, a long, b long")
-    got = {(r["doc_id"], r["line"]): (r["a"], r["o2"]) for r in linedup.suffix_ranks(s, 2).collect()}
+    got = {(r["doc_id"], r["line"]): (r["a"], r["o2"]) for r in linedup.suffix_ranks(s, 2)[0].collect()}
     cut = {(d, i): tuple(seq[i : i + 4]) for d, seq in words.items() for i in range(len(seq))}
     keys = list(cut)
     for x in keys:
@@ -76,6 +76,32 @@ def test_op2_suffix_ranks_order_suffixes(spark):
                 assert (got[x][1] < got[y][1]) == (cut[x] < cut[y])
 
 
+def test_op2_longest_later_runs(spark):
+    """The longest run that has been before, of every suffix of random segments, and where it was first."""
+    rnd = random.Random(4)
+    seqs = {(d, s): [rnd.randrange(2) for _ in range(rnd.randrange(1, 24))] for d in range(9) for s in range(rnd.randrange(1, 3))}
+    rows = [(d, 0, 100 * s, 100 * s + i, x, -x, 1) for (d, s), seq in seqs.items() for i, x in enumerate(seq)]
+    state = spark.createDataFrame(rows, "doc_id long, h long, seg long, line long, a long, b long, w long")
+    got = {(r["doc_id"], r["line"]): (r["n"], (r["first"]["doc_id"], r["first"]["line"]) if r["first"] else None) for r in linedup.later_runs(state).collect()}
+    tails = sorted((d, 100 * s + i, tuple(seq[i:])) for (d, s), seq in seqs.items() for i in range(len(seq)))
+    for i, (d, line, x) in enumerate(tails):
+        n, first = 0, None
+        for e, at, y in tails[:i]:
+            same = next((j for j, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+            if same > n:
+                n, first = same, (e, at)
+        assert got[d, line] == (n, first)
+
+
+def test_op2_maximal_runs(spark):
+    a, b = [f"line {i} of the shared passage" for i in range(12)], ["something else entirely here"]
+    texts = {1: a + b, 2: b + a[2:9] + ["own"], 3: a[4:] + ["mine"], 4: a + b}
+    d = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {(r["doc_id"], r["line"], r["n"], r["words"], r["first"]["doc_id"], r["first"]["line"]) for r in linedup.repeated_runs(d, 12).collect()}
+    assert got == {(2, 1, 7, 42, 1, 2), (3, 0, 8, 48, 1, 4)}  # document 4 is a whole copy
+    assert {r["doc_id"]: r["text"] for r in linedup.delete_later_copies(d, 12).collect()} == {1: "\n".join(a + b), 2: b[0] + "\nown", 3: "mine", 4: ""}
+
+
 def test_op3_resampling(spark):
     scored = catalog.op3_importance_resampling(spark, SF).toPandas()
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas().merge(scored, on="doc_id")
