@@ -198,7 +198,7 @@ def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
 
 
 def search(
-    rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.97, sample: int = 10_000, block: int = 20_000, query_block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding"
+    rows: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.92, sample: int = 10_240, block: int = 20_000, query_block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` largest inner products found.
 
@@ -207,7 +207,7 @@ def search(
     query looks into further parts until they hold enough rows. Vectors that are null, zero, of another
     length than usual or hold a null or non-finite component take no part. Rows of one vec_id are one
     candidate with its best score; of several queries of one id the least vector asks. Ties go to the
-    smaller vec_id. No usable query or row: no result.
+    smaller vec_id. Other columns are not read. No usable query or row (an empty table): no result.
     """
     usable_rows = usable(rows, id_col, vec_col)
     fitted = usable_rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
@@ -215,8 +215,7 @@ def search(
         return usable_rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     x = np.vstack(fitted["v"].to_numpy())
     total = usable_rows.count()
-    parts = 1 << max(0, round(np.log2(max(1.0, np.sqrt(total) / 2))))
-    parts = min(parts, 1 << int(np.log2(max(1, len(x) // 40))))
+    parts = 1 << int(np.log2(max(1, len(x) // 40)))  # some 40 rows of the sample a part
     router, probes = fit_router(x, parts, recall, k)
     placed = cut(_routed(usable_rows, router, None))
     sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
