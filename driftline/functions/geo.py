@@ -13,9 +13,10 @@ RADIUS_KM = 6371.0088
 
 
 def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Haversine distance."""
+    """Haversine distance; null without all four coordinates."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # not least(), which skips nulls and would make them half the way around
+    return 2 * RADIUS_KM * F.asin(F.when(a > 1, F.lit(1.0)).otherwise(F.sqrt(a)))
 
 
 def detour(path_km: Column, straight_km: Column) -> Column:

@@ -57,7 +57,7 @@ def nations(spark, sf_dir):
 
 
 N = "n AS (SELECT CAST(n_nationkey AS BIGINT) AS nk, CAST(n_regionkey AS BIGINT) AS rk, n_name, n_nationkey * 14.0::DOUBLE - 170 AS lon, n_nationkey * 7.0::DOUBLE - 84 AS lat FROM nation)"
-KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
+KM = "2 * 6371.0088 * asin(list_transform([pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)], lambda q: CASE WHEN q > 1 THEN 1 ELSE sqrt(q) END)[1])"
 ERF = "(sign({x}) * (1 - (((((1.061405429 * {t} - 1.453152027) * {t}) + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t} * exp(-({x}) * ({x}))))"
 
 

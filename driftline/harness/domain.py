@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.functions import geo, stats
+from driftline.functions import geo, ip, stats
 from driftline.harness.base import DAY, H1, KM, M, N, hops, measurements, nations, one_per_ttl, table
 from driftline.harness.relational import _DAILY, _EDGES, _GAPS, _edges
 from driftline.operators import geometry, joins, paths
@@ -143,6 +143,47 @@ def d17_distances(spark, d):
     return t.select("id", "ttl", R("hop_km", 3), R("path_km", 3), R("least_rtt", 4), "bound", "trend", "against")
 
 
+def _km(a, b):
+    return KM.format(a="A", b="B").replace("A.", a).replace("B.", b)
+
+
+@query("d17_reverse_distances", f"""WITH {_LOC}, fl AS (SELECT *, last_value(lon IGNORE NULLS) OVER w AS f_lon, last_value(lat IGNORE NULLS) OVER w AS f_lat FROM lo WINDOW w AS (PARTITION BY id ORDER BY ttl DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+pl AS (SELECT *, lag(f_lon) OVER v AS p_lon, lag(f_lat) OVER v AS p_lat, lag(rtt) OVER (PARTITION BY id ORDER BY ttl) AS prtt FROM fl WINDOW v AS (PARTITION BY id ORDER BY ttl DESC)),
+hk AS (SELECT *, coalesce({_km('p_', 'f_')}, 0) AS hop_km, 10.0::DOUBLE AS e_lon, 20.0::DOUBLE AS e_lat, lon AS o_lon, lat AS o_lat FROM pl),
+di AS (SELECT *, sum(hop_km) OVER (PARTITION BY id ORDER BY ttl DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path_km, {_km('o_', 'e_')} AS to_end FROM hk)
+SELECT id, ttl, round(hop_km, 3) AS hop_km, round(path_km, 3) AS path_km, round(to_end, 3) AS to_end_km, CASE WHEN to_end IS NOT NULL THEN CASE WHEN (path_km + to_end) / 200 > rtt THEN 'Above threshold' ELSE 'Below threshold' END END AS bound,
+ CASE WHEN rtt > id % 40 THEN 'Above baseline' ELSE 'Within baseline' END AS against, CASE WHEN rtt + 3 > prtt THEN 'Increasing' ELSE 'Stable/Decreasing' END AS trend FROM di""")
+def d17_reverse_distances(spark, d):
+    h = _located(spark, d).select("id", "ttl", "rtt", "lon", "lat")
+    ends = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(10.0).alias("end_lon"), F.lit(20.0).alias("end_lat"), (F.col("o_orderkey") % 40).cast("double").alias("baseline_rtt"))
+    t = mapping.reverse_distances(h, ends)
+    return t.select("id", "ttl", R("hop_km", 3), R("path_km", 3), R("to_end_km", 3), "bound", "against", "trend")
+
+
+_ADDR = "(CAST(l_partkey AS BIGINT) * 2654435761) % 4294967296"
+_QUAD = "(n >> 24) || '.' || ((n >> 16) & 255) || '.' || ((n >> 8) & 255) || '.' || (n & 255)"
+
+
+@query("d15_mapping", f"""WITH h0 AS (SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS ttl, l_quantity AS rtt, l_partkey AS k, {_ADDR} AS n FROM lineitem),
+h AS (SELECT *, CASE WHEN rtt < 5 THEN '*' ELSE {_QUAD} END AS addr, (n >= 167772160 AND n < 184549376) OR (n >= 2886729728 AND n < 2887778304) OR (n >= 3232235520 AND n < 3232301056) OR (n >= 1681915904 AND n < 1686110208) AS private FROM h0),
+u AS (SELECT DISTINCT addr, n, k FROM h WHERE addr <> '*' AND NOT private),
+f AS (SELECT DISTINCT p_size % 25 + 8 AS mask, ((p_partkey * 2654435761) % 4294967296) - (((p_partkey * 2654435761) % 4294967296) % (1::BIGINT << (24 - p_size % 25))) AS network, p_size AS asn FROM part WHERE p_size > 10),
+o AS (SELECT addr, asn FROM u JOIN f ON network = n - n % (1::BIGINT << (32 - mask)) QUALIFY row_number() OVER (PARTITION BY addr ORDER BY mask DESC, asn) = 1),
+t AS (SELECT u.addr, CASE WHEN k % 7 = 0 THEN 60000 + k % 5 ELSE asn END AS asn, CASE WHEN k % 7 = 0 THEN 'ix' || (k % 3) END AS ixp, CASE WHEN k % 4 > 0 THEN k % 300 - 150.0::DOUBLE END AS lon, CASE WHEN k % 4 > 0 THEN 'm' || (k % 11) END AS metro FROM u LEFT JOIN o USING (addr))
+SELECT id, ttl, addr, CAST(asn AS BIGINT) AS asn, ixp, lon, metro FROM h LEFT JOIN t USING (addr)""")
+def d15_mapping(spark, d):
+    """Longest prefix, exchange members and places of every hop, in one plan."""
+    part = table(spark, d, "part")
+    number = lambda c: F.pmod(F.col(c).cast("long") * F.lit(2654435761), F.lit(4294967296))
+    h = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("ttl"), F.col("l_quantity").alias("rtt"), F.when(F.col("l_quantity") < 5, "*").otherwise(ip.format_v4(number("l_partkey"))).alias("addr"))
+    mask = (F.col("p_size") % 25 + 8).cast("int")
+    f = part.where("p_size > 10").select(mask.alias("mask"), ip.mask_v4(number("p_partkey"), mask).alias("network"), F.col("p_size").cast("long").alias("asn")).distinct()
+    addr, k = ip.format_v4(number("p_partkey")).alias("ip"), F.col("p_partkey").cast("long")
+    x = part.where("p_partkey % 7 = 0").select(addr, (k % 5 + 60000).alias("asn"), F.concat(F.lit("ix"), k % 3).alias("name"))
+    places = part.where("p_partkey % 4 > 0").select(addr, (k % 300 - 150).cast("double").alias("lon"), F.lit(0.0).alias("lat"), F.concat(F.lit("m"), k % 11).alias("metro"))
+    return mapping.annotate(h, f, x, places).select("id", "ttl", "addr", "asn", "ixp", "lon", "metro")
+
+
 @query("d18_baseline_consistency", f"WITH {H1} SELECT id, ttl, max(rtt > 45) OVER (PARTITION BY id) AS any_, count(CASE WHEN rtt > 45 THEN 1 END) OVER (PARTITION BY id ORDER BY ttl ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 0 AS so_far FROM h1")
 def d18_baseline_consistency(spark, d):
     return mapping.so_far(mapping.any_in_path(one_per_ttl(spark, d), F.col("rtt") > 45), F.col("rtt") > 45).select("id", "ttl", "any_", "so_far")

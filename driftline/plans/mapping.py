@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.functions import geo
+from driftline.functions import geo, ip
+from driftline.operators import geometry, joins
 
 #: Fibre carries about 200 km a millisecond.
 KM_PER_MS = 200.0
@@ -39,6 +40,53 @@ def distances(hops: DataFrame, baseline_rtt: Column | None = None) -> DataFrame:
     return told.drop("plon", "plat", "slon", "slat")
 
 
+def reverse_distances(hops: DataFrame, ends: DataFrame) -> DataFrame:
+    """Checks of reverse paths, which are followed from the greatest TTL down: (id, ttl, hop_km, path_km,
+    to_end_km, least_rtt, bound, against, trend) added to the hops (id, ttl, lon, lat, rtt).
+
+    ``ends`` has (id, end_lon, end_lat, baseline_rtt). Missing coordinates are filled from the hops before
+    on the way; a step without both ends is 0. The distance to the end, and what follows from it, needs
+    the hop's own coordinates. A hop whose least possible rtt exceeds its rtt is above the threshold.
+    """
+    down = W.partitionBy("id").orderBy(F.desc("ttl"))
+    run = down.rowsBetween(W.unboundedPreceding, 0)
+    told = hops.withColumns({"flon": F.last("lon", True).over(run), "flat": F.last("lat", True).over(run)})
+    step = geo.distance(F.lag("flon").over(down), F.lag("flat").over(down), F.col("flon"), F.col("flat"))
+    told = told.withColumn("hop_km", F.coalesce(step, F.lit(0.0)))
+    told = told.withColumns({"path_km": F.sum("hop_km").over(run), "before": F.lag("rtt").over(W.partitionBy("id").orderBy("ttl"))}).join(ends, "id", "left")
+    own = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    told = told.withColumn("to_end_km", F.when(own, geo.distance(F.col("lon"), F.col("lat"), F.col("end_lon"), F.col("end_lat"))))
+    told = told.withColumn("least_rtt", (F.col("path_km") + F.col("to_end_km")) / KM_PER_MS)
+    silent = F.when(F.col("rtt").isNull(), "Not responsive")
+    return told.withColumns({
+        "bound": F.when(F.col("least_rtt").isNotNull(), F.when(F.col("least_rtt") > F.col("rtt"), "Above threshold").otherwise("Below threshold")),
+        "against": silent.when(F.col("rtt") > F.col("baseline_rtt"), "Above baseline").otherwise("Within baseline"),
+        "trend": silent.when(F.col("rtt") + 3 > F.col("before"), "Increasing").otherwise("Stable/Decreasing"),
+    }).drop("flon", "flat", "before", "end_lon", "end_lat", "baseline_rtt")
+
+
+def annotate(hops: DataFrame, prefixes: DataFrame, exchanges: DataFrame, places: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """Hops (id, ttl, addr, rtt, ..) with asn, ixp, lon, lat, metro of their address (IPv4).
+
+    The network is that of the exchange's member list (``exchanges``: ip, asn, name), else of the longest
+    announced prefix (``prefixes``: network, mask, asn); private addresses have none. Coordinates and
+    metro are those of ``places`` (ip, lon, lat, metro; the least row of an address); where ``cells``
+    are given (see ``geometry.assign``), the metro is that of the cell at the coordinates, if any. Every
+    distinct address and point is looked up once.
+    """
+    distinct = hops.select(F.col("addr").alias("ip")).where("addr <> '*'").distinct()
+    known = distinct.withColumn("n", ip.parse_v4(F.col("ip"))).where("n is not null").where(~ip.private_v4(F.col("n")))
+    origin = joins.longest_prefix_v4(known, prefixes, [F.col("asn")]).select("ip", F.col("asn").alias("p_asn"))
+    member = exchanges.groupBy("ip").agg(F.min(F.struct("asn", "name")).alias("x")).select("ip", F.col("x.asn").alias("x_asn"), F.col("x.name").alias("ixp"))
+    place = places.groupBy("ip").agg(F.min(F.struct("lon", "lat", "metro")).alias("p")).select("ip", "p.lon", "p.lat", "p.metro")
+    told = known.select("ip").join(origin, "ip", "left").join(member, "ip", "left").join(place, "ip", "left")
+    if cells is not None:
+        at = geometry.assign(told, cells).select("lon", "lat", F.col("metro_id").alias("cell"))
+        told = told.join(at, ["lon", "lat"], "left").withColumn("metro", F.coalesce("cell", "metro")).drop("cell")
+    told = told.select(F.col("ip").alias("addr"), F.coalesce("x_asn", "p_asn").alias("asn"), "ixp", "lon", "lat", "metro")
+    return hops.join(told, "addr", "left")
+
+
 def any_in_path(hops: DataFrame, flag: Column) -> DataFrame:
     """Whether any hop of the path is flagged (forward paths)."""
     return hops.withColumn("any_", F.max(F.coalesce(flag, F.lit(False))).over(W.partitionBy("id")))

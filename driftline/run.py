@@ -6,48 +6,140 @@ import argparse
 import datetime as dt
 import sys
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline import schemas
-from driftline.plans import detect, publish
+from driftline.operators import paths
+from driftline.plans import detect, mapping, publish, tomography, traces
 from driftline.sources.io import DAY, Store, missing_baseline
 
 GROUP = ("asn", "label", "site", "ip_version")
 
 
-def merge_day(tests: Store, out: Store, day: str) -> None:
-    """One day of speed tests in the merged layout."""
+FLAGS = ("anomaly_rtt", "anomaly_throughput", "anomaly_upload_throughput", "anomaly_loss")
+PAIR = ("asn", "label", "site")
+
+
+def merge_day(tests: Store, out: Store, day: str, granularity: str = "city") -> None:
+    """One day of downloads with the metrics of their uploads (``uploads``: id, rtt, throughput), if the
+    input has any."""
     rows = tests.read("tests").where(F.col("day") == F.to_date(F.lit(day))).withColumn(DAY, F.col("day"))
+    if tests.exists("uploads"):
+        rows = traces.merge_up_down(rows.drop("upload_rtt", "upload_throughput"), tests.read("uploads"), ["id"], ["rtt", "throughput"])
     out.write("merged", rows, [f.name for f in schemas.MERGED.fields])
 
 
 def detect_day(tests: Store, out: Store, day: str, granularity: str = "city") -> None:
-    """The anomaly groups of a day; labels follow the granularity, which is stored with them."""
+    """The groups of a day with their tests and flags; labels follow the granularity, which is stored
+    with them."""
     cfg = detect.Detection(day=day, group=GROUP)
     rows = out.window("merged", day, cfg.days)
     if granularity == "metro":
         rows = rows.where(F.col("label").isNotNull())
-    found = detect.detect(rows, cfg)
-    found = found.select(
-        *GROUP, "base_n", "day_n", "base_median", "day_median", F.col("mwu.Z").alias("z"), F.col("mwu.p_value").alias("p"), "distance", "z_loss", "anomaly_rtt", "anomaly_loss",
-        F.lit(granularity).alias("granularity"), F.to_date(F.lit(day)).alias(DAY),
-    )
+    found = detect.detect(rows, cfg).withColumns({"z": F.col("mwu.Z"), "p": F.col("mwu.p_value"), "granularity": F.lit(granularity), DAY: F.to_date(F.lit(day))})
     out.write("anomalies", found, [f.name for f in schemas.ANOMALIES.fields])
 
 
-def publish_day(tests: Store, out: Store, day: str, least_day: int = 10) -> None:
-    """Anomalous groups with enough measurements, unresolved until a culprit is known."""
+def pair_name() -> Column:
+    return F.concat(F.col("asn").cast("string"), F.lit(" - "), "label", F.lit(" - "), "site")
+
+
+def anomalous_pairs(out: Store, day: str) -> DataFrame:
+    flagged = reduce(lambda a, b: a | b, [F.col(f) == 1 for f in FLAGS])
+    return out.day("anomalies", day).where(flagged).select(*PAIR).distinct()
+
+
+def paths_day(tests: Store, out: Store, day: str, granularity: str = "city") -> None:
+    """Whole traces (``traces``: id, multipath, flow, ttl, addr, name, rtt, link) of the measurements of the
+    day and the baseline; the day's are anomalous where their group is."""
+    schema = [f.name for f in schemas.PATHS.fields]
+    at, rows = F.to_date(F.lit(day)), out.window("merged", day)
+    if not tests.exists("traces"):
+        return
+    rows = rows.join(anomalous_pairs(out, day).withColumn("bad", F.lit(True)), list(PAIR), "left").withColumn("dayof", F.col(DAY) == at)
+    rows = rows.select("id", pair_name().alias("pair"), "dayof", (F.coalesce("bad", F.lit(False)) & F.col("dayof")).alias("anomalous"), F.col("ip").alias("dst"), "site", F.col("site").alias("src"))
+    ends = rows.select("id", "src", "dst", "site").dropDuplicates(["id"])
+    hops = tests.read("traces").join(ends.select("id", "dst"), "id")
+    single = hops.where("not multipath")
+    best = traces.best_flow(hops.where("multipath").withColumn("reaches", F.col("addr") == F.col("dst")).select("id", "flow", "ttl", "addr", "rtt", "reaches"))
+    more = hops.where("multipath").join(best.select("id", "flow", "ttl", "addr"), ["id", "flow", "ttl", "addr"], "left_semi")
+    whole = traces.normalise_traces(more.unionByName(single).select("id", "multipath", "ttl", "addr", "name", "rtt", "link"), ends)
+    told = whole.join(rows.select("id", "pair", "anomalous", "dayof").dropDuplicates(["id"]), "id").withColumn(DAY, at)
+    out.write("paths", told, schema)
+
+
+def map_day(tests: Store, out: Store, day: str, granularity: str = "city") -> None:
+    """Hops with network, exchange, place and the distance checks (``prefixes``, ``exchanges``, ``places``,
+    and ``cells`` if there are any)."""
+    if not all(tests.exists(x) for x in ("prefixes", "exchanges", "places")):
+        return
+    cells = tests.read("cells") if tests.exists("cells") else None
+    hops = mapping.annotate(out.day("paths", day), tests.read("prefixes"), tests.read("exchanges"), tests.read("places"), cells)
+    out.write("mapped", mapping.distances(hops).withColumn(DAY, F.to_date(F.lit(day))), [f.name for f in schemas.MAPPED.fields])
+
+
+def _path_edges(out: Store, day: str) -> DataFrame:
+    """(id, pair, anomalous, dayof, ttl, a, b): neighbouring ``asn-metro`` nodes of every path, each node once."""
+    hops = out.day("mapped", day).where("asn is not null and metro is not null")
+    hops = hops.withColumn("node", F.concat(F.col("asn").cast("string"), F.lit("-"), "metro"))
+    by = ["id", "pair", "anomalous", "dayof"]
+    return paths.edges(paths.ordered_distinct(hops, "node", by), by)
+
+
+def culprits_day(tests: Store, out: Store, day: str, granularity: str = "city") -> None:
+    """The cover of the day's anomalous pairs over edges, nodes, networks, metros and exchanges, and the
+    statistics of all of these."""
+    e = _path_edges(out, day).where("dayof").withColumn("edge", paths.canonical(F.col("a"), F.col("b"), F.col("a"), F.col("b")))
+    of = out.day("mapped", day).where("ixp is not null and asn is not null and metro is not null").select(F.concat(F.col("asn").cast("string"), F.lit("-"), "metro").alias("node"), "ixp").distinct()
+    nodes = e.select("id", "pair", "anomalous", F.explode(F.array("a", "b")).alias("node")).distinct()
+    row = lambda df, gran, c: df.select("id", "pair", F.lit(gran).alias("gran"), c.alias("entity"), "anomalous")
+    asn, metro = F.split("node", "-", 2)[0], F.split("node", "-", 2)[1]
+    ixps = nodes.join(of, "node")
+    uses = [row(e, "edge", F.col("edge")), row(nodes, "node", F.col("node")), row(nodes, "as", asn), row(nodes, "metro", metro), row(ixps, "ixp", F.col("ixp"))]
+    kid = lambda df, gran, c: df.select(F.lit(gran).alias("gran"), c.alias("entity"), "node")
+    kids = [kid(nodes, "as", asn), kid(nodes, "metro", metro), kid(ixps, "ixp", F.col("ixp"))]
+    picks, entities = tomography.mixed_cover(reduce(DataFrame.unionByName, uses).distinct(), reduce(DataFrame.unionByName, kids).distinct())
+    names, at = [f.name for f in schemas.CULPRITS.fields], F.to_date(F.lit(day))
+    found = out.spark.createDataFrame([tuple(p[n] for n in names[:-1]) for p in picks], T.StructType(schemas.CULPRITS.fields[:-1]))
+    out.replace_day("culprits", day, found.withColumn(DAY, at), names)
+    out.replace_day("entities", day, entities.withColumn(DAY, at), [f.name for f in schemas.ENTITIES.fields])
+
+
+def verdicts_day(tests: Store, out: Store, day: str, granularity: str = "city") -> None:
+    """Reroute or congestion in place for every pair of the day, and whether a culprit edge agrees."""
+    e = _path_edges(out, day).select("id", "pair", "dayof", F.concat("a", F.lit("|"), "b").alias("edge"), "b")
+    rtts = out.day("mapped", day).where("asn is not null and metro is not null").select("id", F.concat(F.col("asn").cast("string"), F.lit("-"), "metro").alias("b"), "rtt").where("rtt >= 0")
+    rtt = e.join(rtts, ["id", "b"]).groupBy("pair", "edge").agg(F.avg(F.when(~F.col("dayof"), F.col("rtt"))).alias("base_rtt"), F.avg(F.when(F.col("dayof"), F.col("rtt"))).alias("day_rtt"))
+    m = out.day("mapped", day).select("id", "pair", "dayof").distinct()
+    p = tomography.edge_prevalence(e.select("id", "edge"), m).join(rtt, ["pair", "edge"], "left").withColumn("direction", F.lit("forward"))
+    told = tomography.verdicts(p, ["pair"])
+    picked = out.day("culprits", day).where("gran = 'edge'").select(F.col("entity").alias("edge")) if out.exists("culprits") else None
+    edge = lambda c: F.array_join(F.array_sort(F.split(c, r"\|")), " - ")
+    segment = edge(F.coalesce("changed_segment", "congested_segment"))
+    told = told.withColumn("edge", segment).join(picked.distinct().withColumn("hit", F.lit(True)), "edge", "left")
+    out.replace_day("verdicts", day, told.withColumns({"agrees_with_culprit": F.coalesce("hit", F.lit(False)), DAY: F.to_date(F.lit(day))}), [f.name for f in schemas.VERDICTS.fields])
+
+
+def publish_day(tests: Store, out: Store, day: str, granularity: str = "city", least_day: int = 10) -> None:
+    """Anomalous groups with enough measurements; located at the finest culprit that their paths go through,
+    else unresolved."""
     at = F.to_date(F.lit(day))
-    groups = publish.public_groups(out.window("merged", day), ["asn", "label", "site"], at, least_day)
-    bad = out.day("anomalies", day).where("anomaly_rtt = 1 or anomaly_loss = 1").select("asn", "label", "site").distinct()
-    pair = F.concat(F.col("asn").cast("string"), F.lit(" - "), "label", F.lit(" - "), "site")
-    events = groups.join(bad, ["asn", "label", "site"], "left_semi").withColumns({"pair": pair, "location": F.lit("unresolved"), "edge": F.lit(None).cast("string"), DAY: at})
-    out.write("events", events, [f.name for f in schemas.EVENTS.fields])
+    groups = publish.public_groups(out.window("merged", day), list(PAIR), at, least_day)
+    events = groups.join(anomalous_pairs(out, day), list(PAIR), "left_semi").withColumn("pair", pair_name())
+    e = _path_edges(out, day).where("dayof and anomalous").select("pair", paths.canonical(F.col("a"), F.col("b"), F.col("a"), F.col("b")).alias("edge"), F.explode(F.array("a", "b")).alias("node"))
+    asn, metro = F.split("node", "-", 2)[0], F.split("node", "-", 2)[1]
+    entity = F.explode(F.array(*[F.struct(F.lit(g).alias("gran"), c.alias("entity")) for g, c in (("edge", F.col("edge")), ("node", F.col("node")), ("as", asn), ("metro", metro))])).alias("x")
+    through = e.select("pair", entity).select("pair", "x.gran", "x.entity").distinct().join(out.day("culprits", day).select("gran", "entity", "step"), ["gran", "entity"])
+    best = through.groupBy("pair").agg(F.min_by(F.struct("gran", "entity"), F.struct("step", "entity")).alias("c"))
+    told = events.join(best, "pair", "left").withColumns({"location": F.coalesce("c.gran", F.lit("unresolved")), "edge": F.col("c.entity"), DAY: at})
+    out.replace_day("events", day, told, [f.name for f in schemas.EVENTS.fields])
 
 
-STAGES = {"merged": merge_day, "anomalies": detect_day, "events": publish_day}
+STAGES = {"merged": merge_day, "anomalies": detect_day, "paths": paths_day, "mapped": map_day, "culprits": culprits_day, "verdicts": verdicts_day, "events": publish_day}
 
 
 def done(out: Store, stage: str, day: str, granularity: str = "city") -> bool:
@@ -74,7 +166,7 @@ def run(tests: Store, out: Store, days: list[str], rerun: bool = False, workers:
     def step(stage: str, day: str) -> None:
         try:
             if rerun or not done(out, stage, day, granularity):
-                STAGES[stage](tests, out, day, **({"granularity": granularity} if stage == "anomalies" else {}))
+                STAGES[stage](tests, out, day, granularity)
         except Exception as e:  # noqa: BLE001
             failed[day] = f"{stage}: {e}"
 
@@ -113,11 +205,12 @@ def main(argv: list[str] | None = None) -> int:
         p.error("the output root must differ from the input root")
     failed: dict[str, str] = {}
     if a.delete:
-        failed |= {x: "not deleted" for x in out.delete_days(["anomalies", "events"], days)}
+        failed |= {x: "not deleted" for x in out.delete_days([x for x in schemas.TABLES if x not in ("merged", "place_metro")], days)}
     if a.stage:
         for day in days:
             try:
-                STAGES[a.stage](tests, out, day)
+                done(out, "anomalies", day, a.granularity)  # refuses a day of another granularity
+                STAGES[a.stage](tests, out, day, a.granularity)
             except Exception as e:  # noqa: BLE001
                 failed[day] = str(e)
     else:

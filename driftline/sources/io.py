@@ -54,6 +54,11 @@ class Store:
         df = df.select(*columns) if columns else df
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(self.path(name))
 
+    def replace_day(self, name: str, day: str, df: DataFrame, columns: list[str]) -> None:
+        """The same for one day that may have no row now: an earlier result goes then too."""
+        self.delete_days([name], [day])
+        self.write(name, df, columns)
+
     def append(self, name: str, df: DataFrame) -> None:
         self._writable()
         df.write.mode("append").partitionBy(DAY).parquet(self.path(name))

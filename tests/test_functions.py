@@ -101,3 +101,11 @@ def test_geometry():
     assert np.allclose(geo.unit(*back), geo.unit(lon, lat))
     box = geo.densify(np.array([[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]], float))
     assert geo.inside(box, np.array([5.0, 15.0, 0.0]), np.array([5.0, 5.0, 5.0])).tolist() == [True, False, True]
+
+
+def test_distance_of_unknown_points_is_unknown(spark):
+    from driftline.functions import geo
+
+    d = spark.createDataFrame([(0.0, 0.0, 180.0, 0.0), (None, 0.0, 1.0, 1.0), (0.0, 0.0, 1.0, None)], "a double, b double, c double, d double")
+    got = [r["km"] for r in d.select(geo.distance(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("km")).collect()]
+    assert round(got[0], 3) == 20015.115 and got[1:] == [None, None]
