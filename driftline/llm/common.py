@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyarrow.compute import binary_length
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -44,11 +46,21 @@ def held(key, make):
     memory of a worker is that of one operator however many stages it serves."""
     if key not in _held:
         _held.clear()
-        gc.collect()
+        _give_back()
         _held[key] = make()
     return _held[key]
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most 1,000 rows and 4 MB from here on, where the session has Spark's own
     settings (10,000 rows): a worker holds a batch and what is made of it."""

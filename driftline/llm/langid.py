@@ -63,17 +63,23 @@ class WordBackoff:
                 self.grams[n] = at, np.log((matrix + 0.5) / whole)
                 if n == 3:  # the last row is for trigrams that were never seen
                     self.threes = np.vstack([self.grams[n][1], np.log(0.5 / whole)])
+        #: Of every word of the table the sum of its trigrams' log frequencies.
+        self.fits = self._fits(vocabulary)
 
     @staticmethod
     def _cut(word: str, n: int) -> list[str]:
         padded = f"^{word}$"
         return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
-    def fit(self, word: str) -> np.ndarray:
-        """Sum over the word's trigrams of their log frequencies; trigrams never seen count as half an
+    def _fits(self, words: list[str]) -> np.ndarray:
+        """Sum over each word's trigrams of their log frequencies; trigrams never seen count as half an
         occurrence. A word has as many trigrams as letters."""
-        at = self.grams[3][0]
-        return self.threes[[at.get(g, -1) for g in self._cut(word, 3)]].sum(axis=0)
+        if not words or 3 not in self.grams:
+            return np.zeros((len(words), len(self.langs)))
+        get = self.grams[3][0].get
+        at = np.fromiter((get(g, -1) for w in words for g in self._cut(w, 3)), dtype=np.int64)
+        starts = np.cumsum([0, *map(len, words)])[:-1]
+        return np.add.reduceat(self.threes[at], starts, axis=0)
 
     def unseen(self, word: str) -> np.ndarray | None:
         """Mean log frequency of the longest n-grams of the word that are known at all."""
@@ -92,76 +98,62 @@ class Scorer:
         self.model, self.remember = model, remember
         self.reset()
 
-    def reset(self) -> None:
-        """Forgets the unseen words; their rows follow those of the model's table."""
-        self.rows, self.used = dict(self.model.rows), len(self.model.table)
-        self.table = np.vstack([self.model.table, np.zeros((self.remember, len(self.model.langs)))])
+    def reset(self, room: int = 0) -> None:
+        """Forgets the unseen words; their rows follow those of the model's tables."""
+        n, size = len(self.model.table), len(self.model.langs)
+        more = np.zeros((max(self.remember, room), size))
+        self.extra: dict[str, int] = {}
+        self.table, self.fits = np.vstack([self.model.table, more]), np.vstack([self.model.fits, more])
+        self.used = n
 
     def _learn(self, words: set[str]) -> None:
-        for w in words:
+        new, at = list(words), self.used
+        for i, w in enumerate(new, at):
             known = self.model.unseen(w)
-            self.table[self.used] = 0.0 if known is None else known
-            self.rows[w] = self.used
-            self.used += 1
-
-    def batch(self, texts, at_once: int = 128) -> tuple[list[str], list[float]]:
-        """Best language and its share of each text, a bounded number of texts at once."""
-        langs, scores = [], []
-        texts = list(texts)
-        for i in range(0, len(texts), at_once):
-            for to, got in zip((langs, scores), self._some(texts[i : i + at_once])):
-                to += got
-        return langs, scores
-
-    def _some(self, texts: list) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
-        words = [words_of(t) for t in texts]
-        if not self.model.langs:
-            return [UNDETERMINED] * len(words), [0.0] * len(words)
-        missing = {w for ws in words for w in ws if w not in self.rows}
-        if self.used + len(missing) > len(self.table):
-            self.reset()
-            missing = {w for ws in words for w in ws if w not in self.rows}
-            if self.used + len(missing) > len(self.table):  # these texts alone have more; the rows go with the next reset
-                self.table = np.vstack([self.table, np.zeros((len(missing), len(self.model.langs)))])
-        self._learn(missing)
-        get = self.rows.__getitem__
-        for ws in words:
-            if not ws:
-                langs.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            mean = self.table[np.fromiter(map(get, ws), dtype=np.int64, count=len(ws))].mean(axis=0)
-            share = np.exp(mean - mean.max())
-            best = int(share.argmax())
-            langs.append(self.model.langs[best])
-            scores.append(float(share[best] / share.sum()))
-        return langs, scores
-
-
-class Fitter:
-    """How well whole texts fit one language of a model, whatever the others say; remembers words
-    within a bound."""
-
-    def __init__(self, model: WordBackoff, remember: int = 100_000):
-        self.model, self.remember, self.fits = model, remember, {}
-        self.at = {lang: j for j, lang in enumerate(model.langs)}
-
-    def one(self, text, lang: str, usual: float = 0.0, prior: int = 0) -> float | None:
-        """Mean log frequency of the text's trigrams in ``lang``, with ``prior`` more of the ``usual``
-        fit; None without a letter or for a language that the model does not know."""
+            self.table[i] = 0.0 if known is None else known
+            self.extra[w] = i
+        if new:
+            self.fits[at : at + len(new)] = self.model._fits(new)
+        self.used += len(new)
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """The rows of a text's words in the tables."""
+        at = list(map(self.model.rows.get, words))
+        if None in at:
+            missing = {w for w, i in zip(words, at) if i is None and w not in self.extra}
+            if self.used + len(missing) > len(self.table):  # no room: of the unseen words only this text's are kept
+                missing = {w for w, i in zip(words, at) if i is None}
+                self.reset(len(missing))
+            self._learn(missing)
+            extra = self.extra
+            at = [extra[w] if i is None else i for w, i in zip(words, at)]
+        return np.array(at, dtype=np.int64)
+
+    def one(self, text) -> tuple[str, float, int, float, int]:
+        """Best language and its share, and its number, how well the text fits it (sum over trigrams) and the
+        number of trigrams; ``und`` without a letter or a language."""
         words = words_of(text)
-        if not words or lang not in self.at or 3 not in self.model.grams:
+        if not words or not self.model.langs:
+            return UNDETERMINED, 0.0, -1, 0.0, 0
+        at = self._rows(words)
+        mean = self.table[at].mean(axis=0)
+        share = np.exp(mean - mean.max())
+        best = int(share.argmax())
+        return self.model.langs[best], float(share[best] / share.sum()), best, float(self.fits[at, best].sum()), sum(map(len, words))
+
+    def batch(self, texts) -> tuple[list[str], list[float]]:
+        """Best language and its share of each text."""
+        got = [self.one(t) for t in texts]
+        return [g[0] for g in got], [g[1] for g in got]
+
+    def fit(self, text, lang: str) -> float | None:
+        """Mean log frequency of the text's trigrams in ``lang``, whatever the other languages say; None without
+        a letter or for a language that the model does not know."""
+        words = words_of(text)
+        if not words or lang not in self.model.langs:
             return None
-        if len(self.fits) > self.remember:
-            self.fits.clear()
-        j, total, letters = self.at[lang], usual * prior, prior
-        for w in words:
-            if (v := self.fits.get(w)) is None:
-                v = self.fits[w] = self.model.fit(w).tolist()
-            total += v[j]
-            letters += len(w)
-        return float(total / letters)
+        at = self._rows(words)  # may make new tables
+        return float(self.fits[at, self.model.langs.index(lang)].sum() / sum(map(len, words)))
 
 
 def _sample(docs: DataFrame, text_col: str, lang_col: str, max_docs: int) -> tuple[dict[str, int], DataFrame | None]:
@@ -239,8 +231,8 @@ def usual_fits(docs: DataFrame, model: WordBackoff, text_col: str = "text", lang
 
     @F.pandas_udf("double")
     def own(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        fitter = held(("fitter", key), lambda: Fitter(shared.value))
-        return pd.Series([fitter.one(t, lang) for t, lang in zip(texts, langs)], dtype="float64")
+        scorer = held(("scorer", key), lambda: Scorer(shared.value))
+        return pd.Series([scorer.fit(t, lang) for t, lang in zip(texts, langs)], dtype="float64")
 
     told = sample.select("l", own("t", "l").alias("f")).where("f is not null and not isnan(f)")
     rows = told.groupBy("l").agg(F.percentile("f", F.lit(0.5)).alias("mid"), F.percentile("f", F.lit(0.25)).alias("low")).collect()
@@ -255,13 +247,10 @@ def judge(spark, model: WordBackoff, usual: dict[str, tuple[float, float]], prio
 
     @F.pandas_udf("lang string, score double, fits boolean")
     def told(texts: pd.Series) -> pd.DataFrame:
-        scorer, fitter = held(("judge", key), lambda: (Scorer(shared.value), Fitter(shared.value)))
-        langs, scores = scorer.batch(texts)
-        fits = []
-        for text, lang in zip(texts, langs):
+        scorer, out = held(("scorer", key), lambda: Scorer(shared.value)), []
+        for lang, score, _, total, letters in map(scorer.one, texts):
             mid, cut = usual.get(lang, (0.0, float("inf")))
-            got = fitter.one(text, lang, mid, prior)
-            fits.append(got is not None and got >= cut)
-        return pd.DataFrame({"lang": langs, "score": scores, "fits": fits})
+            out.append((lang, score, (total + mid * prior) / (letters + prior) >= cut))
+        return pd.DataFrame(out, columns=["lang", "score", "fits"])
 
     return told

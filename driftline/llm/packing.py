@@ -98,7 +98,7 @@ class WordTokens(dict):
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks.
     """
 
-    def __init__(self, spec: str, remember: int = 100_000):
+    def __init__(self, spec: str, remember: int = 50_000):
         from tokenizers import Tokenizer
 
         super().__init__()

@@ -27,7 +27,7 @@ PRIOR = 30
 class Features:
     """Hashed word unigrams and bigrams of a whole text, as bucket numbers."""
 
-    def __init__(self, buckets: int, remember: int = 150_000):
+    def __init__(self, buckets: int, remember: int = 100_000):
         self.buckets, self.remember, self.seen = np.uint64(buckets), remember, {}
 
     def __call__(self, text: str | None) -> np.ndarray:

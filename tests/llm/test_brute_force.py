@@ -490,7 +490,7 @@ def test_op9_scores_against_a_plain_version(spark):
     texts = [r["text"] for r in docs.collect()] + ["zzqx wvvk", None, "12", "été½naïve x²y ①word Ⅷ und_er 日本語テキスト"]
     half = [t[: len(t) // 2] + "q" + t[len(t) // 2 :] if t else t for t in texts]
     for some in (texts, half):
-        for (text, lang, score) in zip(some, *scorer.batch(some, 16)):
+        for (text, lang, score) in zip(some, *scorer.batch(some)):
             words = regex.findall(r"\p{L}+", text.lower()) if text else []
             if not words:
                 assert (lang, score) == ("und", 0.0)
@@ -499,6 +499,10 @@ def test_op9_scores_against_a_plain_version(spark):
             mean = np.mean(rows, axis=0)
             share = np.exp(mean) / np.exp(mean).sum()
             assert score == pytest.approx(share.max()) and share[model.langs.index(lang)] == pytest.approx(share.max())
+            at, table = model.grams[3]
+            three = [f"^{w}$"[i : i + 3] for w in words for i in range(len(w))]
+            mean = np.mean([table[at[g]] if g in at else model.threes[-1] for g in three], axis=0)
+            assert [scorer.fit(text, x) for x in model.langs] == pytest.approx(list(mean))
 
 
 def test_op9_backs_off_to_shorter_grams():
