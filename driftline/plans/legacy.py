@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,20 +27,19 @@ def source_metro(events: DataFrame, resolved: DataFrame) -> DataFrame:
     return met.withColumn("src_metro_city", drop_last_parts(F.col("src_metro")))
 
 
-def cost(log: str, price_per_tib: float = 6.25, top: int = 10) -> list[dict]:
-    """Bytes read by each query of a Spark event log, dearest first, at a price per TiB read."""
-    names: dict[int, str] = {}
-    stage_of: dict[int, int] = {}
-    read: dict[int, int] = {}
-    for line in Path(log).read_text(errors="replace").splitlines():
-        e = json.loads(line)
-        kind = e["Event"].rpartition(".")[2]
-        if kind == "SparkListenerSQLExecutionStart":
-            names[e["executionId"]] = e.get("description", "")[:80]
-        elif kind == "SparkListenerJobStart" and (run := e.get("Properties", {}).get("spark.sql.execution.id")) is not None:
-            stage_of |= {s: int(run) for s in e["Stage IDs"]}
-        elif kind == "SparkListenerTaskEnd" and e["Stage ID"] in stage_of:
-            run = stage_of[e["Stage ID"]]
-            read[run] = read.get(run, 0) + ((e.get("Task Metrics") or {}).get("Input Metrics") or {}).get("Bytes Read", 0)
-    dear = sorted(read.items(), key=lambda x: -x[1])[:top]
-    return [{"query": names.get(k, str(k)), "bytes": v, "usd": v / 2**40 * price_per_tib} for k, v in dear]
+def cost(spark: SparkSession, log: str, price_per_tib: float = 6.25, top: int = 10) -> DataFrame:
+    """(query, bytes, usd): bytes read by each query of a Spark event log, dearest first, at a price per TiB."""
+    schema = (
+        "Event string, executionId long, description string, `Stage IDs` array<long>, `Stage ID` long, Properties map<string, string>, "
+        "`Task Metrics` struct<`Input Metrics`: struct<`Bytes Read`: long>>"
+    )
+    e = spark.read.schema(schema).json(log)
+    kind = F.element_at(F.split("Event", r"\."), -1)
+    names = e.where(kind == "SparkListenerSQLExecutionStart").groupBy(F.col("executionId").alias("run")).agg(F.min(F.substring("description", 1, 80)).alias("name"))
+    run = F.col("Properties")["spark.sql.execution.id"].try_cast("long")
+    stages = e.where(kind == "SparkListenerJobStart").select(run.alias("run"), F.explode("Stage IDs").alias("stage")).where("run is not null")
+    stages = stages.groupBy("stage").agg(F.max("run").alias("run"))
+    read = e.where(kind == "SparkListenerTaskEnd").groupBy(F.col("Stage ID").alias("stage")).agg(F.sum(F.col("Task Metrics")["Input Metrics"]["Bytes Read"]).alias("n"))
+    total = read.join(stages, "stage").groupBy("run").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"))
+    told = total.join(names, "run", "left").select(F.coalesce("name", F.col("run").cast("string")).alias("query"), "bytes", (F.col("bytes") / F.lit(2.0**40) * price_per_tib).alias("usd"))
+    return told.orderBy(F.desc("bytes"), "query").limit(top)

@@ -63,9 +63,43 @@ def eyeballs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def as_metadata(caida: DataFrame, population: DataFrame, facilities: DataFrame, names: DataFrame) -> DataFrame:
-    """AS records with population, facilities and registered name added; absent ones are empty."""
+    """AS records with population and facilities (arrays) and registered name added; absent ones are empty."""
     met = caida.join(population, "asn", "left").join(facilities, "asn", "left").join(names, "asn", "left")
-    return met.withColumn("registered_name", F.coalesce("registered_name", F.lit("")))
+    empty = lambda c: F.coalesce(c, F.array().cast(met.schema[c].dataType))
+    return met.withColumns({"population": empty("population"), "facilities": empty("facilities"), "registered_name": F.coalesce("registered_name", F.lit(""))})
+
+
+def network_records(spark: SparkSession, path: str) -> DataFrame:
+    """(asn, name, organization) of NDJSON network records; lines without a number are skipped."""
+    rows = spark.read.schema("asn string, asnName string, organization struct<orgName: string>").json(path)
+    return rows.select(F.col("asn").try_cast("long").alias("asn"), F.col("asnName").alias("name"), F.col("organization.orgName").alias("organization")).where("asn is not null")
+
+
+def exchange_files(spark: SparkSession, path: str) -> DataFrame:
+    """``exchange_members`` of files, with the date in each file's name (null without one)."""
+    lines = spark.read.text(path).select("value", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date")).alias("date"))
+    c = F.split("value", "\t")
+    good = lines.where(~F.col("value").startswith("#") & (F.size(c) == 3))
+    return good.select(c[0].alias("ip"), c[1].try_cast("long").alias("asn"), F.trim(c[2]).alias("name"), "date").where("asn is not null")
+
+
+def uploads_by_token(rows: DataFrame, day: str, name: str = "access_token") -> DataFrame:
+    """One day's raw uploads with each ``token`` of their client metadata (``raw.Upload.ClientMetadata``, a
+    list of Name and Value); rows without one are left out. The day prunes partitions."""
+    kept = rows.where(F.col("date") == F.lit(day).cast("date"))
+    tokens = F.filter(F.col("raw.Upload.ClientMetadata"), lambda m: m["Name"] == name)
+    return kept.withColumn("m", F.explode(tokens)).withColumn("token", F.col("m.Value")).drop("m")
+
+
+def downloads(rows: DataFrame, day: str) -> DataFrame:
+    """One day's raw rows that hold a download."""
+    return rows.where((F.col("date") == F.lit(day).cast("date")) & F.col("raw.Download").isNotNull())
+
+
+def annotation_window(rows: DataFrame, day: str, months: int = 1) -> DataFrame:
+    """Hop annotations of the months up to the day, the day included."""
+    end = F.lit(day).cast("date")
+    return rows.where(F.col("date").between(F.add_months(end, -months), end))
 
 
 def hostname_key(host):
