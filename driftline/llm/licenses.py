@@ -91,9 +91,10 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, i
     """doc_id, canonical_sha256 and license_id (null: no known licence) of every row.
 
     The entire text must be the licence, up to case, punctuation, copyright lines and spelling. Null
-    texts have a null digest and no licence; empty texts have the digest of nothing. ``known`` has a
-    row for each wording (``KNOWN`` and ``full_texts()`` if not given) and is broadcast only while it is short; two licences of one wording give the
-    lesser id. Repeated rows repeat; an empty table gives no rows.
+    texts have a null digest and no licence; empty texts have the digest of nothing; long texts are read
+    whole. ``known`` has a row for each wording (``KNOWN`` and ``full_texts()`` if not given) and is
+    broadcast only while it is short; two licences of one wording give the lesser id. Repeated rows
+    repeat; an empty table gives no rows; other columns are not read.
     """
     known = KNOWN + full_texts() if known is None else known
     listed = constants(docs.sparkSession, known, "license_id string, wording string")

@@ -101,3 +101,39 @@ def test_whole_licences(spark):
     rows = [(i, texts[n].upper(), None) for i, n in enumerate(names)] + [(100, "Own words.\n" + texts["GPL-3.0"], None)]
     got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(docs(spark, rows)).collect()}
     assert got == {**dict(enumerate(names)), 100: None}
+
+
+def test_licence_wordings_that_tie(spark):
+    known = [("B", "Same words, here."), ("A", "same WORDS here"), ("C", "other")]
+    rows = [(1, "SAME words -- here!", None), (2, "other\nCopyright (c) 2020 Someone", None), (3, "other words", None), (3, "other", None), (3, "other", None)]
+    got = sorted((r["doc_id"], r["license_id"] or "") for r in licenses.scan_licenses(docs(spark, rows), known).collect())
+    assert got == [(1, "A"), (2, "C"), (3, ""), (3, "C"), (3, "C")]
+
+
+def test_ann_ties_and_repeated_ids(spark):
+    """Ties at the last rank go to the smaller id; of one id's vectors the best counts."""
+    rows = [(0, [1.0, 0.0])] + [(i, [0.5, float(i % 2)]) for i in range(1, 40)] + [(50, [0.1, 0.0]), (50, [0.9, 0.0])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.search(e, e.where("vec_id = 0"), k=20).orderBy("rank").collect()]
+    assert got == [(50, 0.9)] + [(i, 0.5) for i in range(1, 20)]
+
+
+def test_language_ties_go_to_the_lesser_code(spark):
+    d = docs(spark, [(1, "same words", "fr"), (2, "same words", "de"), (3, "same", None)])
+    assert {r["__lang"] for r in langid.predict_languages(d, d).collect()} == {"de"}
+
+
+def test_pipeline_empty_table(spark, tmp_path):
+    docs(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
+    """All stages but the last return the columns they were given, with the values of the rows they keep."""
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    d = docs(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, d, str(tmp_path))
+        assert got.columns == d.columns, name
+        assert {(r["size"], r["h"], r["rep"], r["length"]) for r in got.collect()} <= {(1, 2, 9, 12)}, name
