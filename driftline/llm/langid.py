@@ -36,29 +36,22 @@ class WordBackoff:
     def __init__(self, counts: dict[str, dict[str, int]], longest: int = 4):
         self.langs = sorted(counts)
         self.longest = longest
-        size = len(self.langs)
         vocabulary = sorted({w for c in counts.values() for w in c})
         self.rows = {w: i for i, w in enumerate(vocabulary)}
-        self.table = np.zeros((len(vocabulary), size), dtype=np.float64)
-        #: Per length the row of an n-gram, and the table of log frequencies.
-        self.grams: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+        times = np.zeros((len(vocabulary), len(self.langs)))
         for j, lang in enumerate(self.langs):
-            total = sum(counts[lang].values()) + 0.5 * len(vocabulary)
-            self.table[:, j] = math.log(0.5 / total)
             for w, n in counts[lang].items():
-                self.table[self.rows[w], j] = math.log((n + 0.5) / total)
+                times[self.rows[w], j] = n
+        self.table = np.log((times + 0.5) / (times.sum(axis=0) + 0.5 * len(vocabulary))) if vocabulary else times
+        #: Per length the row of an n-gram, and the table of log frequencies.
+        self.grams: dict[int, tuple[dict[str, int], np.ndarray]] = {}
         for n in range(1, longest + 1):
             at: dict[str, int] = {}
-            of, to, times = [], [], []
-            for j, lang in enumerate(self.langs):
-                for w, c in counts[lang].items():
-                    for g in self._cut(w, n):
-                        of.append(at.setdefault(g, len(at)))
-                        to.append(j)
-                        times.append(c)
+            has = np.array([max(0, len(w) + 3 - n) for w in vocabulary], dtype=np.int64)
+            grams = np.fromiter((at.setdefault(g, len(at)) for w in vocabulary for g in self._cut(w, n)), dtype=np.int64, count=has.sum())
             if at:
-                matrix = np.zeros((len(at), size))
-                np.add.at(matrix, (of, to), times)
+                word = np.repeat(np.arange(len(vocabulary)), has)
+                matrix = np.stack([np.bincount(grams, times[word, j], len(at)) for j in range(len(self.langs))], axis=1)
                 whole = matrix.sum(axis=0) + 0.5 * len(at)
                 self.grams[n] = at, np.log((matrix + 0.5) / whole)
                 if n == 3:  # the last row is for trigrams that were never seen
