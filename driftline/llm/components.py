@@ -12,13 +12,14 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Every vertex hands its greater neighbours to the least of itself and its neighbours."""
     turn = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
     both = e.select(F.explode(F.array(F.struct("u", "v"), turn)).alias("e")).select("e.u", "e.v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # cut, so that Spark can split the neighbours of one vertex in the join
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every vertex hands itself and its lesser neighbours to the least of them."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(e.groupBy("u").agg(F.min("v").alias("m")))
     return e.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v")
 
 
