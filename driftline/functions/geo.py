@@ -123,12 +123,16 @@ def inside(ring: np.ndarray, lon: np.ndarray, lat: np.ndarray, tolerance: float
 
 @F.pandas_udf(T.BooleanType())
 def covers(ring_lon: pd.Series, ring_lat: pd.Series, lon: pd.Series, lat: pd.Series) -> pd.Series:
-    """Whether the densified ring covers the point; null without a ring or point."""
-    out = []
-    for rx, ry, x, y in zip(ring_lon, ring_lat, lon, lat):
-        if rx is None or ry is None or pd.isna(x) or pd.isna(y):
-            out.append(None)
-        else:
-            ring = densify(np.stack([np.asarray(rx, float), np.asarray(ry, float)], axis=1))
-            out.append(bool(inside(ring, np.array([float(x)]), np.array([float(y)]))[0]))
+    """Whether the densified ring covers the point; null without a ring or point. A ring is densified once
+    for all its points of a batch."""
+    rings, rows, out = {}, {}, [None] * len(lon)
+    for i, (rx, ry, x, y) in enumerate(zip(ring_lon, ring_lat, lon, lat)):
+        if rx is not None and ry is not None and not pd.isna(x) and not pd.isna(y):
+            ring = np.stack([np.asarray(rx, float), np.asarray(ry, float)], axis=1)
+            rings.setdefault(ring.tobytes(), ring)
+            rows.setdefault(ring.tobytes(), []).append(i)
+    x, y = lon.to_numpy(float, na_value=np.nan), lat.to_numpy(float, na_value=np.nan)
+    for key, at in rows.items():
+        for i, hit in zip(at, inside(densify(rings[key]), x[at], y[at])):
+            out[i] = bool(hit)
     return pd.Series(out, dtype="object")

@@ -87,10 +87,11 @@ def summary(rows: DataFrame, cfg: Detection, prefix: str) -> DataFrame:
 
 def pooled(base: DataFrame, today: DataFrame, group: list[str], metrics: dict[str, Column]) -> DataFrame:
     """(group, metric, id, x, a, b): the known values of all metrics of both sides, one row each; a marks
-    the baseline and b the day."""
+    the baseline and b the day. Rows without ids serve all tests but that of permutations."""
+    ids = ["id"] if "id" in base.columns else []
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("x")) for n, c in metrics.items()])).alias("m")
-    sides = [d.select(*group, "id", each, F.lit(a).alias("a"), F.lit(1 - a).alias("b")) for d, a in ((base, 1), (today, 0))]
-    return sides[0].unionByName(sides[1]).select(*group, "m.metric", "id", "m.x", "a", "b").where("x is not null")
+    sides = [d.select(*group, *ids, each, F.lit(a).alias("a"), F.lit(1 - a).alias("b")) for d, a in ((base, 1), (today, 0))]
+    return sides[0].unionByName(sides[1]).select(*group, "m.metric", *ids, "m.x", "a", "b").where("x is not null")
 
 
 def compare(pool: DataFrame, keys: list[str], parts: int = 32) -> DataFrame:
