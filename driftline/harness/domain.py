@@ -244,12 +244,12 @@ _PREV = f"""{_E2}, {_BAD}, z AS (SELECT CAST(pair AS VARCHAR) AS pair, count(DIS
 p0 AS (SELECT CAST(pair AS VARCHAR) AS pair, edge, count(DISTINCT CASE WHEN NOT bad THEN id END) AS u, count(DISTINCT CASE WHEN bad THEN id END) AS d FROM ee JOIN o USING (id) GROUP BY ALL),
 p AS (SELECT pair, edge, coalesce(u / nullif(hn, 0), 0) AS prev_u, coalesce(d / nullif(dn, 0), 0) AS prev_d, hn, dn, CAST(split_part(edge, '-', 1) AS BIGINT) AS k FROM p0 JOIN z USING (pair)),
 g AS (SELECT *, greatest(0, prev_d - prev_u) AS g, k % 2 = 0 AS fwd, CASE WHEN prev_u > 0 AND prev_d > 0 THEN k % 7 END AS slower FROM p),
-v0 AS (SELECT pair, coalesce(sum(g) FILTER (fwd), 0) AS df, coalesce(sum(g) FILTER (NOT fwd), 0) AS dr, max(hn) AS hn, max(dn) AS dn,
+v0 AS (SELECT pair, round(coalesce(sum(g) FILTER (fwd), 0), 9) AS df, round(coalesce(sum(g) FILTER (NOT fwd), 0), 9) AS dr, max(hn) AS hn, max(dn) AS dn,
  (list(edge ORDER BY g DESC, edge DESC) FILTER (g > 0))[1] AS changed, (list(edge ORDER BY slower DESC, edge DESC) FILTER (slower IS NOT NULL))[1] AS slowest FROM g GROUP BY pair),
 v AS (SELECT *, CASE WHEN hn < 5 OR dn < 5 THEN 'indeterminate' WHEN greatest(df, dr) >= 1 THEN 'reroute' ELSE 'congestion_in_place' END AS verdict FROM v0)"""
 
 
-@query("d25_temporal_verdict", f"WITH {_PREV} SELECT pair, verdict, CASE WHEN verdict <> 'indeterminate' THEN CASE WHEN df >= dr THEN 'forward' ELSE 'reverse' END END AS direction, round(df, 9) AS div_f, round(dr, 9) AS div_r, CASE WHEN verdict = 'reroute' THEN changed END AS changed_segment, CASE WHEN verdict = 'congestion_in_place' THEN slowest END AS congested_segment FROM v")
+@query("d25_temporal_verdict", f"WITH {_PREV} SELECT pair, verdict, CASE WHEN verdict <> 'indeterminate' THEN CASE WHEN df >= dr THEN 'forward' ELSE 'reverse' END END AS direction, df AS div_f, dr AS div_r, CASE WHEN verdict = 'reroute' THEN changed END AS changed_segment, CASE WHEN verdict = 'congestion_in_place' THEN slowest END AS congested_segment FROM v")
 def d25_temporal_verdict(spark, d):
     p = tomography.edge_prevalence(_pair_edges(spark, d), _pairs(spark, d).withColumnRenamed("bad", "dayof"))
     k = F.split("edge", "-")[0].cast("long")

@@ -163,7 +163,8 @@ def verdicts(prevalence: DataFrame, by: list[str], tau: float = 1.0, least: int
     slower = F.when((F.col("prev_u") > 0) & (F.col("prev_d") > 0), F.col("day_rtt") - F.col("base_rtt"))
     f = F.col("direction") == "forward"
     per = prevalence.withColumns({"g": gain, "s": slower}).groupBy(*by).agg(
-        F.sum(F.when(f, F.col("g"))).alias("div_f"), F.sum(F.when(~f, F.col("g"))).alias("div_r"),
+        # rounded, so that the order of the sum cannot decide a comparison
+        F.round(F.sum(F.when(f, F.col("g"))), 9).alias("div_f"), F.round(F.sum(F.when(~f, F.col("g"))), 9).alias("div_r"),
         F.max("healthy_n").alias("healthy_n"), F.max("dayof_n").alias("dayof_n"),
         F.max_by("edge", F.when(F.col("g") > 0, F.struct("g", "edge"))).alias("changed"),
         F.max_by("edge", F.when(F.col("s").isNotNull(), F.struct("s", "edge"))).alias("slowest"),
@@ -171,7 +172,7 @@ def verdicts(prevalence: DataFrame, by: list[str], tau: float = 1.0, least: int
     what, way = stats.verdict(F.col("div_f"), F.col("div_r"), F.col("healthy_n"), F.col("dayof_n"), tau, least)
     told = per.withColumns({"verdict": what, "direction": way})
     return told.select(
-        *by, "verdict", "direction", F.round(F.coalesce("div_f", F.lit(0.0)), 9).alias("div_f"), F.round(F.coalesce("div_r", F.lit(0.0)), 9).alias("div_r"),
+        *by, "verdict", "direction", F.coalesce("div_f", F.lit(0.0)).alias("div_f"), F.coalesce("div_r", F.lit(0.0)).alias("div_r"),
         F.when(F.col("verdict") == "reroute", F.col("changed")).alias("changed_segment"), F.when(F.col("verdict") == "congestion_in_place", F.col("slowest")).alias("congested_segment"),
     )
 
