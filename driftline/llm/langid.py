@@ -95,7 +95,7 @@ class Scorer:
         """Forgets the unseen words; their rows follow those of the model's tables."""
         n, size = len(self.model.table), len(self.model.langs)
         more = np.zeros((max(self.remember, room), size))
-        self.extra: dict[str, int] = {}
+        self.rows = dict(self.model.rows)
         self.table, self.fits = np.vstack([self.model.table, more]), np.vstack([self.model.fits, more])
         self.used = n
 
@@ -104,23 +104,23 @@ class Scorer:
         for i, w in enumerate(new, at):
             known = self.model.unseen(w)
             self.table[i] = 0.0 if known is None else known
-            self.extra[w] = i
+            self.rows[w] = i
         if new:
             self.fits[at : at + len(new)] = self.model._fits(new)
         self.used += len(new)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         """The rows of a text's words in the tables."""
-        at = list(map(self.model.rows.get, words))
-        if None in at:
-            missing = {w for w, i in zip(words, at) if i is None and w not in self.extra}
-            if self.used + len(missing) > len(self.table):  # no room: of the unseen words only this text's are kept
-                missing = {w for w, i in zip(words, at) if i is None}
-                self.reset(len(missing))
-            self._learn(missing)
-            extra = self.extra
-            at = [extra[w] if i is None else i for w, i in zip(words, at)]
-        return np.array(at, dtype=np.int64)
+        try:
+            return np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
+        except KeyError:
+            pass
+        missing = {w for w in words if w not in self.rows}
+        if self.used + len(missing) > len(self.table):  # no room: of the unseen words only this text's are kept
+            missing = {w for w in words if w not in self.model.rows}
+            self.reset(len(missing))
+        self._learn(missing)
+        return np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
 
     def one(self, text) -> tuple[str, float, int, float, int]:
         """Best language and its share, and its number, how well the text fits it (sum over trigrams) and the
