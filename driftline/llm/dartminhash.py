@@ -217,7 +217,7 @@ def _roots(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     told = met.where("m > 2").join(labels, "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("comp"))
     classes = told.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     state = classes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "comp"))["comp"].alias("most")).where("k > 1")
-    pool = told.join(state, "key").groupBy("rid", "comp").agg(F.max(F.col("comp") != F.col("most")).alias("minor"))
+    pool = told.join(broadcast_if_small(cut(state), MOST_IDS), "key").groupBy("rid", "comp").agg(F.max(F.col("comp") != F.col("most")).alias("minor"))
     pool = cut(pool)
     if not pool.limit(1).count():
         return labels
