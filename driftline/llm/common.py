@@ -93,6 +93,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_bare(df: DataFrame) -> DataFrame:
+    """``cut`` for loops. A checkpoint inherits its plan's estimate of its bytes, and that of a join is the
+    product of both sides: from turn to turn the number's digits double, until they fill the driver. Here the
+    estimate is the session's default for unknown sizes; adaptive plans still go by the sizes that they meet."""
+    spark, done = df.sparkSession, cut(df)._jdf
+    rows = done.queryExecution().logical().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done.schema(), False), spark)
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it many times inside ``body`` (Catalyst may otherwise inline it)."""
     return F.transform(F.array(value), body)[0]

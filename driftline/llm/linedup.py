@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.common import broadcast_if_small, cut
+from driftline.llm.common import broadcast_if_small, cut, cut_bare
 
 LINE = r"\n"
 #: What names a segment: its document, and its first line number less the shared lines before it.
 SEGMENT = ["doc_id", "h", "seg"]
 #: Rows of names that a join may broadcast.
-MOST_ROWS = 200_000
+MOST_ROWS = 20_000
 
 
 def _deeper(state: DataFrame, k: int) -> tuple[DataFrame, int]:
@@ -40,11 +40,11 @@ def _deeper(state: DataFrame, k: int) -> tuple[DataFrame, int]:
     after = F.lead(F.struct("a", "b", o), 1 << k).over(W.partitionBy(*SEGMENT).orderBy("line"))
     end = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(-1).cast("long").alias(o))
     paired = state.withColumn("y", F.coalesce(after, end)).withColumns({"ya": F.col("y.a"), "yb": F.col("y.b"), "yo": F.col(f"y.{o}")}).drop("y")
-    paired = cut(paired)
+    paired = cut_bare(paired)
     rank, key = ["a", "b", o], ["a", "b", o, "ya", "yb", "yo"]
     # the end sorts first (its offset is -1), then the following ranks; a range is the first bits of ya
     range_ = F.when(F.col("yo") < 0, F.lit(-100).cast("long")).otherwise(F.shiftright("ya", 59))
-    counts = cut(paired.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("r", range_))
+    counts = cut_bare(paired.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).withColumn("r", range_))
     before = W.partitionBy(*rank).orderBy("r").rowsBetween(W.unboundedPreceding, -1)
     ranges = counts.groupBy(*rank, "r").agg(F.sum("n").alias("n")).select(*rank, "r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("less"))
     inner = W.partitionBy(*rank, "r").orderBy("ya", "yb", "yo").rowsBetween(W.unboundedPreceding, -1)
@@ -52,7 +52,7 @@ def _deeper(state: DataFrame, k: int) -> tuple[DataFrame, int]:
     ranks = ranks.select(*key, (F.col(o) + F.col("less") + F.col("in")).alias(f"o{k + 1}"))
     most = counts.where("yo >= 0").agg(F.max("n")).first()[0] or 0
     # cut, so that Spark can split the rows of one rank in the join
-    return paired.join(broadcast_if_small(cut(ranks), MOST_ROWS), key).drop("ya", "yb", "yo"), most
+    return paired.join(broadcast_if_small(cut_bare(ranks), MOST_ROWS), key).drop("ya", "yb", "yo"), most
 
 
 def suffix_ranks(state: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
@@ -74,7 +74,7 @@ def later_runs(state: DataFrame) -> DataFrame:
     ranked, depth = suffix_ranks(state)
     offsets = [f"o{k}" for k in range(depth + 1)]
     left = F.max("line").over(W.partitionBy(*SEGMENT)) - F.col("line") + 1
-    table = cut(ranked.select(*SEGMENT, "line", "a", "b", *offsets, left.alias("left")))
+    table = cut_bare(ranked.select(*SEGMENT, "line", "a", "b", *offsets, left.alias("left")))
     place = F.struct("doc_id", "h", "line", "seg", "left")
     kind = table.select(place.alias("p")).schema["p"].dataType
     none = F.lit(0).cast("long")
@@ -83,9 +83,9 @@ def later_runs(state: DataFrame) -> DataFrame:
         on = table.select(*SEGMENT, F.col("line").alias("at"), F.col("a").alias("ya"), F.col("b").alias("yb"), F.col(f"o{k}").alias("yo"))
         wide = found.withColumn("at", F.when(F.col("left") - F.col("n") >= (1 << k), F.col("line") + F.col("n"))).join(on, [*SEGMENT, "at"], "left")
         wide = wide.withColumns({"na": F.when(F.col("ya").isNotNull(), F.xxhash64("ca", "cb", "ya", "yb", "yo")), "nb": F.when(F.col("ya").isNotNull(), F.xxhash64(F.lit(7), "ca", "cb", "ya", "yb", "yo"))})
-        wide = cut(wide.drop("ya", "yb", "yo", "at"))
+        wide = cut_bare(wide.drop("ya", "yb", "yo", "at"))
         # cut, so that Spark can split the rows of a very common run in the join
-        here = cut(wide.where("na is not null").groupBy("na", "nb").agg(F.min(place).alias("start"), F.first("n").alias("sn"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
+        here = cut_bare(wide.where("na is not null").groupBy("na", "nb").agg(F.min(place).alias("start"), F.first("n").alias("sn"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
         met = wide.join(broadcast_if_small(here.drop("sn"), MOST_ROWS), ["na", "nb"], "left")
         later = F.coalesce(~F.col("stands") & (F.col("start") < place), F.lit(False))
         found = met.select(

@@ -2,6 +2,7 @@
 names, for every operator."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers as public
@@ -137,3 +138,12 @@ def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
         got = stage(spark, d, str(tmp_path))
         assert got.columns == d.columns, name
         assert {(r["size"], r["h"], r["rep"], r["length"]) for r in got.collect()} <= {(1, 2, 9, 12)}, name
+
+
+def test_line_dedup_estimates_stay_small(spark):
+    """Nine rounds of joins do not multiply the plan's estimate of its bytes, which the driver holds as one number."""
+    d = docs(spark, [(i, "\n".join(f"{i}" if j == 300 else f"line {j}" for j in range(301)), None) for i in (1, 2)])
+    shared = linedup._shared_lines(linedup._texts(d, "doc_id", "text"), 5)
+    runs = linedup.later_runs(shared)
+    assert runs.agg(F.max("n")).first()[0] == 300
+    assert runs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**400
