@@ -147,3 +147,13 @@ def test_line_dedup_estimates_stay_small(spark):
     runs = linedup.later_runs(shared)
     assert runs.agg(F.max("n")).first()[0] == 300
     assert runs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**400
+
+
+def test_usual_fits_are_of_all_labelled_texts(spark):
+    """The median fit is that of all 2,400 distinct texts of a language; copies count once."""
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i * j % 26)}{chr(97 + j)}" for j in range(1 + i % 9)) + " " + "".join(chr(97 + int(c)) for c in str(i)) for i in range(2400)]
+    d = docs(spark, [(i, t, "en") for i, t in enumerate(texts + texts[:300])])
+    model = langid.WordBackoff({"en": {"the": 30, "abc": 9, "bcd": 5, "cab": 2}, "de": {"der": 30}})
+    fits = sorted(langid.Scorer(model).fit(t, "en") for t in texts)
+    mid = langid.usual_fits(d, model)["en"][0]
+    assert abs(mid - (fits[1199] + fits[1200]) / 2) < 1.1e-3
