@@ -223,10 +223,11 @@ def join_full_outer_revtr(spark, d):
 def join_full_outer_resolved(spark, d):
     """An OR of equalities as two equi-joins that have no pair in common, so that no pair is shuffled: a pair
     comes from the least of its common nations, or else from equal keys. Keys come once, with all their nations;
-    a nation's customers are dealt to eight joins."""
+    customers are dealt to as many tasks as a shuffle has, which few bytes would not be, and a nation's to eight joins."""
     nations_of = lambda t, k, n: table(spark, d, t).groupBy(k).agg(F.collect_set(n).alias(n))
     c, s = nations_of("customer", "c_custkey", "c_nationkey"), nations_of("supplier", "s_suppkey", "s_nationkey")
-    left = c.withColumns({"nation": F.explode("c_nationkey"), "deal": F.pmod(F.xxhash64("c_custkey"), F.lit(8))})
+    dealt = c.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    left = dealt.withColumns({"nation": F.explode("c_nationkey"), "deal": F.pmod(F.xxhash64("c_custkey"), F.lit(8))})
     right = s.withColumn("nation", F.explode("s_nationkey")).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
     one = (F.size("c_nationkey") == 1) | (F.size("s_nationkey") == 1)
     a = left.join(right, ["nation", "deal"]).where(one | (F.array_min(F.array_intersect("c_nationkey", "s_nationkey")) == F.col("nation")))
