@@ -45,12 +45,18 @@ def held(key, make):
     """``make()``, kept in the worker under ``key``; what another operator kept there goes first, so the
     memory of a worker is that of one operator however many stages it serves."""
     if key not in _held:
-        _held.clear()
-        _give_back()
+        forget()
         _held[key] = make()
     return _held[key]
 
 
+def forget() -> None:
+    """Lets go of what another operator kept in the worker, for one that keeps nothing itself."""
+    if _held:
+        _held.clear()
+        _give_back()
+
+
 def _give_back() -> None:
     """Returns freed memory to the system, where the C library can."""
     gc.collect()

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import held, small_batches
+from driftline.llm.common import forget, held, small_batches
 
 RUNS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -171,6 +171,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
         return WordBackoff({}, longest)
 
     def count(batches):
+        forget()
         tally: Counter = Counter()
         for pdf in batches:
             for lang, text in zip(pdf["l"], pdf["t"]):
@@ -213,10 +214,8 @@ def predict_languages(train: DataFrame, docs: DataFrame, text_col: str = "text",
     return told.withColumn("__lang", F.col("__p.lang")).withColumn("__score", F.col("__p.score")).drop("__p")
 
 
-def usual_fits(docs: DataFrame, model: WordBackoff, text_col: str = "text", lang_col: str = "lang", least_slack: float = 3.0) -> dict[str, tuple[float, float]]:
-    """Per language the median fit of all distinct labelled texts, to three digits, and the cut under which a
-    text is not in it: twenty times as far below the median as the lower quartile is, and ``least_slack`` at
-    least; so a few wrongly labelled texts do not move it. Fits are counted by value, so no task holds all."""
+def own_fits(docs: DataFrame, model: WordBackoff, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(l, h, f) of the labelled rows: language, hash of the text, and how the text fits it (null: nohow)."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid4().hex
     small_batches(docs.sparkSession)
 
@@ -226,7 +225,15 @@ def usual_fits(docs: DataFrame, model: WordBackoff, text_col: str = "text", lang
         return pd.Series([scorer.fit(t, lang) for t, lang in zip(texts, langs)], dtype="float64")
 
     keyed = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
-    told = keyed.select("l", F.xxhash64("t").alias("h"), own("t", "l").alias("f")).where("f is not null and not isnan(f)")
+    # nondeterministic, so that Spark does not make the fit once for a filter and once more for its value
+    return keyed.select("l", F.xxhash64("t").alias("h"), own.asNondeterministic()("t", "l").alias("f"))
+
+
+def usual_fits(docs: DataFrame, model: WordBackoff, text_col: str = "text", lang_col: str = "lang", least_slack: float = 3.0) -> dict[str, tuple[float, float]]:
+    """Per language the median fit of all distinct labelled texts, to three digits, and the cut under which a
+    text is not in it: twenty times as far below the median as the lower quartile is, and ``least_slack`` at
+    least; so a few wrongly labelled texts do not move it. Fits are counted by value, so no task holds all."""
+    told = own_fits(docs, model, text_col, lang_col).where("f is not null and not isnan(f)")
     counts = told.groupBy("l", "h").agg(F.first("f").alias("f")).groupBy("l", F.round("f", 3).alias("f")).agg(F.count(F.lit(1)).alias("n"))
     at = lambda p: F.percentile("f", F.lit(p), F.col("n"))
     rows = counts.groupBy("l").agg(at(0.5).alias("mid"), at(0.25).alias("low")).collect()

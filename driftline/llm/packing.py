@@ -80,8 +80,10 @@ def places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
 
 #: Chunks of these characters are lowered and split here as the tokenizer would; others go to it whole.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-# Fixed value: the tokenizer's own split, on its lowered text.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+#: What no text of plain chunks alone has.
+ODD = re.compile(r"[^ \n!-~À-ÖØ-öø-ÿ]")
+# Fixed value: the tokenizer's own split, on lowered text of plain chunks.
+SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\[-`{-~]+")
 
 
 def byte_characters() -> dict[int, str]:
@@ -92,45 +94,67 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(next(spare)) for b in range(256)}
 
 
-class WordTokens(dict):
-    """Token ids of texts as little-endian bytes; blank-separated chunks are remembered within a bound.
+class Recent(dict):
+    """Answers of ``make`` for strings of up to 48 characters: those asked for since the last ``turn`` and,
+    until the next one, those of the turn before."""
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks.
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (value := self.before.get(key)) is None:
+            value = self.make(key)
+        if len(key) <= 48:
+            self[key] = value
+        return value
+
+    def turn(self, most: int) -> None:
+        """Where there are more than ``most`` new ones, the older ones go."""
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
+
+
+class WordTokens:
+    """Token ids of texts as little-endian bytes; words are remembered within a bound, and so are
+    blank-separated chunks of texts with characters that are not plain.
+
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks,
+    and those of its words where all chunks are plain.
     """
 
-    def __init__(self, spec: str, remember: int = 50_000):
+    def __init__(self, spec: str, remember: int = 100_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.model, self.remember = self.tokenizer.model, remember
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Strings that stand for tokens of their own; chunks that hold one go to the tokenizer.
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         byte = byte_characters()
         self.written = {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
-        self.words: dict[str, bytes] = {}
+        self.words, self.chunks = Recent(self._word), Recent(self._chunk)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk) and not ("|" in chunk and self.special(chunk)):
-            ids = b"".join([self.words.get(w) or self._word(w) for w in SPLIT.findall(chunk.lower())])
-        else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= 48:
-            self[chunk] = ids
-        return ids
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, SPLIT.findall(text.lower())))
+
+    def _chunk(self, chunk: str) -> bytes:
+        if PLAIN.fullmatch(chunk) and not self._has_special(chunk):
+            return self._plain(chunk)
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.translate(self.written))])
-        if len(word) <= 48:
-            self.words[word] = ids
-        return ids
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.translate(self.written))])
+
+    def _has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
 
     def ids(self, text: str) -> bytes:
-        for memory in (self, self.words):
-            if len(memory) > self.remember:
-                memory.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        self.words.turn(self.remember)
+        self.chunks.turn(self.remember // 4)
+        if not (ODD.search(text) or self._has_special(text)):
+            return self._plain(text)
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

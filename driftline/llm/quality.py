@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -71,11 +70,9 @@ def _labelled(labels: DataFrame, max_labels: int) -> DataFrame:
 
 
 def _score_udf(log_ratio: np.ndarray, buckets: int):
-    key = uuid4().hex
-
     @F.pandas_udf("n long, sum double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        make = held(("features", key), lambda: Features(buckets))
+        make = held(("features", buckets), lambda: Features(buckets))
         n, sums = [], []
         for t in texts:
             b = make(t)
@@ -107,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     known = named.join(F.broadcast(learn), named["__id"] == F.col("__lid"), "left").select("__t", F.col("__lid").isNotNull().alias("__good"))
 
     def count(batches):
-        make, raw, good = Features(buckets), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        make, raw, good = held(("features", buckets), lambda: Features(buckets)), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for pdf in batches:
             for i in range(0, len(pdf), 64):  # a bounded number of texts at once
                 found = [make(t) for t in pdf["__t"].iloc[i : i + 64]]

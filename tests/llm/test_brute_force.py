@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -253,6 +254,22 @@ def test_op5_ids_equal_the_tokenizers(spark):
         assert np.frombuffer(words.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_op5_words_in_use_are_tokenised_once(monkeypatch):
+    """A word that every text has is tokenised once, however often the memory of words is full; plain texts,
+    contractions and special strings have the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    words, seen = packing.WordTokens(tok.to_str(), remember=20), Counter()
+    model = words.model
+    monkeypatch.setattr(words, "model", SimpleNamespace(tokenize=lambda w: seen.update([w]) or model.tokenize(w)))
+    for i in range(200):
+        t = f"usual Fran\xe7ais w{''.join(chr(97 + int(c)) for c in str(i))} it's ''s we'll _{i}_ x\ufffey\n<|endoftext|> usual"
+        for part in (t, t[: t.index(" x")]):
+            assert np.frombuffer(words.ids(part), "<u4").tolist() == tok.encode(part, add_special_tokens=False).ids, part
+    assert seen["usual"] == 1
+
+
 def test_op5_histogram_packing_equals_one_by_one():
     rnd = random.Random(1)
     for _ in range(30):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers as public
-from driftline.llm import ann, bpe, dartminhash, langid, licenses, linedup, packing, quality, sharding, winnow
+from driftline.llm import ann, bpe, common, dartminhash, langid, licenses, linedup, packing, quality, sharding, winnow
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h long, n int, line int, seg int, part int, flag int, bands int, rep int, pos int, comp int, length int"
 LONG = " ".join(f"word{i % 977} other{i % 31}" for i in range(60_000))
@@ -157,3 +157,19 @@ def test_usual_fits_are_of_all_labelled_texts(spark):
     fits = sorted(langid.Scorer(model).fit(t, "en") for t in texts)
     mid = langid.usual_fits(d, model)["en"][0]
     assert abs(mid - (fits[1199] + fits[1200]) / 2) < 1.1e-3
+
+
+def test_usual_fits_read_texts_once(spark, monkeypatch):
+    """Each text's fit is made by one Python step, not by one for the filter and another for the value."""
+    d, plans = docs(spark), []
+    model, collect = langid.fit(d), type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    assert langid.usual_fits(d, model)
+    assert [p.count("ArrowEvalPython") for p in plans] == [1]
+
+
+def test_workers_let_go_of_other_operators():
+    """A step that keeps nothing itself frees what the operator before it kept."""
+    common.held(("words", 0), lambda: "large")
+    common.forget()
+    assert not common._held
