@@ -54,10 +54,10 @@ def forget() -> None:
     """Lets go of what another operator kept in the worker, for one that keeps nothing itself."""
     if _held:
         _held.clear()
-        _give_back()
+        give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system, where the C library can."""
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns with clashing
 names, for every operator."""
 
+import weakref
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +175,17 @@ def test_workers_let_go_of_other_operators():
     common.held(("words", 0), lambda: "large")
     common.forget()
     assert not common._held
+
+
+def test_language_stage_frees_its_model(spark, monkeypatch):
+    """The driver gives the memory of the model back before the later stages run."""
+    made, seen, fit = [], [], langid.fit
+
+    def kept(docs):
+        model = fit(docs)
+        made.append(weakref.ref(model))
+        return model
+
+    monkeypatch.setattr(langid, "fit", kept)
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda: seen.append(made[0]()), raising=False)
+    assert corpus_pipeline.language(spark, docs(spark), "").columns and seen == [None]
